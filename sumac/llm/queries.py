@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import leaks, mixing
+from sumac.llm import leaks, mixing, sentences
 from sumac.runtime import table
 
 
@@ -43,7 +43,17 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "start_char", "end_char")
+
+
+def p7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units per document and their mean length."""
+    u = sentences.sentence_units(table(spark, sf_dir, "documents"))
+    return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg(F.col("end_char") - F.col("start_char")), 3).alias("mean_chars"), F.max("end_char").alias("last_char"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
 
 SQL = {
     "p5_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
