@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import leaks, mixing, sentences
+from sumac.llm import leaks, mixing, pairs, sentences
 from sumac.runtime import table
 
 
@@ -53,7 +53,21 @@ def p7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg(F.col("end_char") - F.col("start_char")), 3).alias("mean_chars"), F.max("end_char").alias("last_char"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "generations")).filter("precedence = 1").select("gen_id", "defect_type")
+
+
+def p4_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every triggered defect type of each record."""
+    return pairs.broken_pairs(table(spark, sf_dir, "generations"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "generations")
+    return pairs.defect_report(pairs.broken_pairs(g), g)
+
+
+QUERIES = {"p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
 
 SQL = {
     "p5_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
