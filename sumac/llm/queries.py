@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import leaks, mixing, pairs, sentences
+from sumac.llm import leaks, markup, mixing, pairs, sentences
 from sumac.runtime import table
 
 
@@ -67,7 +67,20 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defect_report(pairs.broken_pairs(g), g)
 
 
-QUERIES = {"p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.fields_of(table(spark, sf_dir, "judge_pairs"), table(spark, sf_dir, "answers"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.kinds_of(_fields(spark, sf_dir)).distinct()
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of every text field."""
+    return markup.markup_of(_fields(spark, sf_dir)).select("table_name", "topic_id", "answer_id", "field_name", "clean_text").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
 
 SQL = {
     "p5_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
