@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import leaks, markup, mixing, pairs, sentences
+from sumac.llm import leaks, markup, mixing, neardup, pairs, sentences
 from sumac.runtime import table
 
 
@@ -80,9 +80,29 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.markup_of(_fields(spark, sf_dir)).select("table_name", "topic_id", "answer_id", "field_name", "clean_text").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+def _near(spark: SparkSession, sf_dir: str, n: int, t: float, min_words: int) -> neardup.Join:
+    return neardup.Join(neardup.bodies(table(spark, sf_dir, "questions"), table(spark, sf_dir, "answers")), n, t, min_words)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, 3, 0.5, 12).pairs()
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose runs of five words agree to 0.8: class of equal texts, links to other classes, group."""
+    return _near(spark, sf_dir, 5, 0.8, 5).groups()
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+
+_RUNS = r"""w AS (SELECT t, id, list_filter(regexp_extract_all(lower(body_text), '[\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (
+  SELECT t, id, min_by(body_text, loaded_at) AS body_text FROM (SELECT 'questions' AS t, id, body_text, loaded_at FROM questions UNION ALL SELECT 'answers', id, body_text, loaded_at FROM answers) GROUP BY t, id)),
+s AS (SELECT DISTINCT t, id, array_to_string(w[k:k + 2], ' ') AS r FROM w, unnest(range(1, len(w) - 1)) AS u(k) WHERE len(w) >= 12),
+n AS (SELECT t, id, count(*) AS n FROM s GROUP BY ALL)"""
 
 SQL = {
+    "p3_found": f"""WITH {_RUNS}, c AS (SELECT a.t, a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.r = b.r AND a.id < b.id GROUP BY ALL)
+SELECT c.t AS table_name, id_a, id_b FROM c JOIN n x ON x.t = c.t AND x.id = id_a JOIN n y ON y.t = c.t AND y.id = id_b WHERE k >= 0.5 * (x.n + y.n - k)""",
     "p5_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM heldout_items),
 dr AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS r FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
