@@ -7,7 +7,7 @@ eps = 0.5 the window 2 eps is the whole space. So the pivots are sets of one run
 is in x, else 1, ties going to the rarer run. x lies in the region of its rarest run; by the triangle inequality
 a partner y has |x and y| >= t/(1+t) (|x|+|y|), so x is replicated to the regions of its next rarest runs
 as far as that leaves a common one possible, and no farther (the window). Within a region pairs are cut by
-the size, position and symmetric-difference bounds, the last on a 256-bit parity sketch; what is left is
+the size, position and symmetric-difference bounds, the last on a 512-bit parity sketch; what is left is
 compared exactly. A region larger than `cap` is divided again into blocks of its members' groups, each pair
 of groups a task of its own, so no region is ever held by one task.
 
@@ -32,27 +32,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from sumac.llm.words import hashed_words, mix, shingles
-from sumac.runtime import cut
+from sumac.llm.words import RUN_BITS, hashed_words, mix, shingles
+from sumac.runtime import broadcast_if_small, cut
 
 SKETCH_CHUNKS = 16
 
 
 def shingle_sets(records: DataFrame, n: int = 5, min_words: int = 5) -> DataFrame:
-    """records (table_name, id, loaded_at, text) to table_name, id, loaded_at, sig (16 bytes), n, runs (sorted 64-bit hashes)."""
+    """records (table_name, id, loaded_at, text) to table_name, id, loaded_at, sig (16 bytes), n, runs (sorted hashes of 8 bytes)."""
 
     def make(batches):
-        for x in batches:
-            out = []
-            h, b = hashed_words([t if isinstance(t, str) else None for t in x["text"]])
-            owner, runs = shingles(h, b, n)
-            at = np.searchsorted(owner, np.arange(len(x) + 1))
-            for k, (name, key, loaded) in enumerate(zip(x["table_name"], x["id"], x["loaded_at"], strict=True)):
-                if b[k + 1] - b[k] >= min_words and at[k + 1] > at[k]:
-                    own = np.sort(mix(runs[at[k] : at[k + 1]] ^ np.uint64(xxhash.xxh64_intdigest(name))))
-                    raw = own.tobytes()
-                    out.append((name, key, loaded, xxhash.xxh128_digest(raw), len(own), raw))
-            yield pd.DataFrame(out, columns=["table_name", "id", "loaded_at", "sig", "n", "runs"])
+        for whole in batches:
+            for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
+                out = []
+                h, b = hashed_words([t if isinstance(t, str) else None for t in x["text"]])
+                owner, runs = shingles(h, b, n)
+                at = np.searchsorted(owner, np.arange(len(x) + 1))
+                long_enough = np.diff(b) >= min_words
+                for k, (name, key, loaded) in enumerate(zip(x["table_name"], x["id"], x["loaded_at"], strict=True)):
+                    if long_enough[k] and at[k + 1] > at[k]:
+                        raw = runs[at[k] : at[k + 1]].tobytes()
+                        out.append((name, key, loaded, xxhash.xxh128_digest(raw + name.encode()), int(at[k + 1] - at[k]), raw))
+                yield pd.DataFrame(out, columns=["table_name", "id", "loaded_at", "sig", "n", "runs"])
 
     return records.select("table_name", F.col("id").cast("string").alias("id"), F.col("loaded_at").cast("timestamp").alias("loaded_at"), "text").filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(make, "table_name string, id string, loaded_at timestamp, sig binary, n int, runs binary")
 
@@ -85,74 +86,91 @@ def _prefix(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
+
+
 def place(classes: DataFrame, sketch, bits: int, t: float, buckets: int, cap: int) -> DataFrame:
-    """bucket, docs, entries: for each batch of classes, the blocks of regions they fall in."""
+    """bucket, docs, entries, marks: for each batch of classes, the regions they fall in, in columns.
+
+    Regions go to buckets by hash. A run whose sketch count exceeds cap has its region cut into blocks: its members
+    fall into groups by their own hash, and each pair of groups is a block, which both groups are sent to."""
     mask = np.uint64((1 << bits) - 1)
 
     def send(batches):
         counts = sketch.value
-        for x in batches:
-            if not len(x):
-                continue
-            n = x["n"].to_numpy(np.int64)
-            runs = np.frombuffer(b"".join(x["runs"]), np.uint64)
-            owner = np.repeat(np.arange(len(n)), n)
-            sig = np.frombuffer(b"".join(x["sig"]), np.uint64).reshape(-1, 2)
-            parity = np.zeros((len(n), 256), np.uint8)
-            np.add.at(parity, (owner, (runs >> np.uint64(40)).astype(np.int64) & 255), 1)
-            bitmap = np.packbits(parity & 1, axis=1)
-            c = counts[(runs & mask).astype(np.int64)]
-            order = np.lexsort((runs, c, owner))
-            owner, runs, c = owner[order], runs[order], c[order].astype(np.int64)
-            pos = np.arange(len(runs)) - np.repeat(np.cumsum(n) - n, n)
-            keep = (pos < _prefix(n, t)[owner]) & (c > 1)
-            owner, runs, c, pos = owner[keep], runs[keep], c[keep], pos[keep]
-            groups = (c + cap - 1) // cap
-            own = (sig[owner, 0] % groups.astype(np.uint64)).astype(np.int64)
-            rep = np.repeat(np.arange(len(runs)), groups)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(groups) - groups, groups)
-            i, j = np.minimum(own[rep], other), np.maximum(own[rep], other)
-            with np.errstate(over="ignore"):
-                key = np.where(groups[rep] == 1, runs[rep], mix(runs[rep] + mix((i * groups[rep] + j).astype(np.uint64) + np.uint64(1))))
-            side = np.where(i == j, 2, np.where(own[rep] == i, 0, 1)).astype(np.uint8)
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            out = []
-            for k in np.flatnonzero(np.diff(bounds)):
-                e = by[bounds[k] : bounds[k + 1]]
-                d, at = np.unique(owner[rep[e]], return_inverse=True)
-                docs = np.zeros(len(d), DOC)
-                docs["sig"], docs["n"], docs["bits"] = sig[d], n[d], bitmap[d].view(np.uint64)
-                entries = np.zeros(len(e), ENTRY)
-                entries["key"], entries["doc"], entries["pos"], entries["side"] = key[e], at, pos[rep[e]], side[e]
-                out.append((int(k), docs.tobytes(), entries.tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "docs", "entries"])
-
-    return classes.select("sig", "n", "runs").mapInPandas(send, "bucket int, docs binary, entries binary")
-
-
-DOC = np.dtype([("sig", np.uint64, 2), ("n", np.int32), ("bits", np.uint64, 4)])
-ENTRY = np.dtype([("key", np.uint64), ("doc", np.int32), ("pos", np.int32), ("side", np.uint8)])
+        for whole in batches:
+            for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
+                n = x["n"].to_numpy(np.int64)
+                runs = np.frombuffer(b"".join(x["runs"]), np.uint64)
+                sig = np.frombuffer(b"".join(x["sig"]), np.uint64).reshape(-1, 2)
+                owner = np.repeat(np.arange(len(n)), n)
+                parity = np.bincount(owner * BITMAP + ((runs >> np.uint64(30)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
+                bitmap = np.packbits((parity & 1).astype(np.uint8).reshape(len(n), BITMAP), axis=1)
+                c = counts[(runs & mask).astype(np.int64)].astype(np.int64)
+                rarity = (owner.astype(np.uint64) << np.uint64(50)) | (np.minimum(c, 8191).astype(np.uint64) << np.uint64(37)) | (runs >> np.uint64(RUN_BITS - 37))
+                order = np.argsort(rarity)
+                runs, c = runs[order], c[order]
+                pos = np.arange(len(runs)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (pos <= _prefix(n, t)[owner]) & (c > 1)  # one more than needed, for runs of the same rarity
+                owner, runs, c, pos = owner[keep], runs[keep], c[keep], pos[keep]
+                groups = (c + cap - 1) // cap
+                own = (sig[owner, 0] % groups.astype(np.uint64)).astype(np.int64)
+                rep = np.repeat(np.arange(len(runs)), groups)
+                other = np.arange(len(rep)) - np.repeat(np.cumsum(groups) - groups, groups)
+                i, j = np.minimum(own[rep], other), np.maximum(own[rep], other)
+                with np.errstate(over="ignore"):
+                    key = mix(runs[rep] + mix((i * groups[rep] + j).astype(np.uint64)))
+                side = np.where(i == j, 2, np.where(own[rep] == i, 0, 1)).astype(np.uint8)
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                out = []
+                for k in np.flatnonzero(np.diff(bounds)):
+                    e = by[bounds[k] : bounds[k + 1]]
+                    d, times = np.unique(owner[rep[e]], return_counts=True)
+                    entries = _pack((key[e] >> np.uint64(32)).astype(np.uint32))
+                    marks = _pack(times.astype(np.uint32), pos[rep[e]].astype(np.uint32), side[e])
+                    out.append((int(k), _pack(sig[d], n[d].astype(np.uint32), bitmap[d]), entries, marks))
+                yield pd.DataFrame(out, columns=["bucket", "docs", "entries", "marks"])
+
+    return classes.select("sig", "n", "runs").mapInPandas(send, "bucket int, docs binary, entries binary, marks binary")
+
+
+#: Bits of the parity sketch that bounds the symmetric difference of two sets from below.
+BITMAP = 512
+
+
+def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    sigs, ns, maps, docs, keys, poss, sides, base = [], [], [], [], [], [], [], 0
+    for d, e, m in zip(pdf["docs"], pdf["entries"], pdf["marks"], strict=True):
+        raw = zlib.decompress(d)
+        k = len(raw) // (20 + BITMAP // 8)
+        sigs.append(np.frombuffer(raw, np.uint64, 2 * k).reshape(k, 2))
+        ns.append(np.frombuffer(raw, np.uint32, k, 16 * k).astype(np.int64))
+        maps.append(np.frombuffer(raw, np.uint8, k * BITMAP // 8, 20 * k).reshape(k, BITMAP // 8))
+        key = np.frombuffer(zlib.decompress(e), np.uint32)
+        raw = zlib.decompress(m)
+        docs.append(np.repeat(np.arange(base, base + k), np.frombuffer(raw, np.uint32, k)))
+        keys.append(key)
+        poss.append(np.frombuffer(raw, np.uint32, len(key), 4 * k))
+        sides.append(np.frombuffer(raw, np.uint8, len(key), 4 * k + 4 * len(key)))
+        base += k
+    bitmaps = np.ascontiguousarray(np.concatenate(maps)).view(np.uint64)
+    return np.concatenate(sigs), np.concatenate(ns), bitmaps, np.concatenate(docs), np.concatenate(keys), np.concatenate(poss), np.concatenate(sides)
 
 
 def region_pairs(t: float):
     """Candidates of one bucket of regions: pairs that the bounds do not exclude."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, entries, base = [], [], 0
-        for d, e in zip(pdf["docs"], pdf["entries"], strict=True):
-            d, e = np.frombuffer(d, DOC), np.frombuffer(e, ENTRY).copy()
-            e["doc"] += base
-            base += len(d)
-            docs.append(d)
-            entries.append(e)
-        docs, entries = np.concatenate(docs), np.concatenate(entries)
-        n_all = docs["n"].astype(np.int64)
-        order = np.lexsort((entries["doc"], n_all[entries["doc"]], entries["key"]))
-        key, doc, pos, side = (np.ascontiguousarray(entries[f][order]) for f in ("key", "doc", "pos", "side"))
-        n, bits = n_all[doc], np.ascontiguousarray(docs["bits"])
-        first = pos < _prefix(n, 2 * t / (1 + t))  # as the smaller one of a pair it need be placed no farther
+        sig, n_all, bitmaps, doc, key, pos, side = _unpack(pdf)
+        order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | n_all[doc].astype(np.uint64))
+        doc, key, side = doc[order], key[order], side[order]
+        n = n_all[doc].astype(np.int32)
+        left = n - pos[order].astype(np.int32)
+        first = n - left <= _prefix(n, 2 * t / (1 + t))  # as the smaller one of a pair it need be placed no farther
+        split = bool((side != 2).any())
         found, step, live = [], 1, np.arange(len(key))
         while True:
             live = live[live + step < len(key)]
@@ -162,25 +180,25 @@ def region_pairs(t: float):
                 break
             a = live[first[live]]
             b = a + step
-            need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9)
-            ok = (1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need) & ((side[a] == 2) | (side[a] != side[b]))
-            a, b, need = a[ok], b[ok], need[ok]
-            diff = np.zeros(len(a), np.int64)
-            x, y = doc[a], doc[b]
-            for k in range(4):
-                diff += np.bitwise_count(bits[x, k] ^ bits[y, k])
-            ok = diff <= n[a] + n[b] - 2 * need
+            total = n[a] + n[b]
+            need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int32)
+            ok = np.minimum(left[a], left[b]) >= need
+            if split:
+                ok &= (side[a] == 2) | (side[a] != side[b])
+            x, y, most = doc[a[ok]], doc[b[ok]], (total - 2 * need)[ok]
+            diff = np.zeros(len(x), np.int32)
+            for k in range(BITMAP // 64):
+                diff += np.bitwise_count(bitmaps[x, k] ^ bitmaps[y, k])
+            ok = diff <= most
             if ok.any():
-                found.append(np.stack([x[ok], y[ok]], axis=1))
+                found.append(np.minimum(x[ok], y[ok]) * len(sig) + np.maximum(x[ok], y[ok]))
             step += 1
-        if not found:
-            return pd.DataFrame({"sig_a": pd.Series([], dtype=object), "sig_b": pd.Series([], dtype=object)})
-        p = np.concatenate(found).astype(np.int64)
-        a, b = (np.ascontiguousarray(docs["sig"][p[:, k]]) for k in (0, 1))
+        p = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        a, b = sig[p // max(len(sig), 1)], sig[p % max(len(sig), 1)]
         swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-        a[swap], b[swap] = b[swap], a[swap].copy()
-        both = np.unique(np.concatenate([a, b], axis=1), axis=0)
-        return pd.DataFrame({"sig_a": [r.tobytes() for r in np.ascontiguousarray(both[:, :2])], "sig_b": [r.tobytes() for r in np.ascontiguousarray(both[:, 2:])]})
+        a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        keep = (a != b).any(axis=1)
+        return pd.DataFrame({"sig_a": [r.tobytes() for r in a[keep]], "sig_b": [r.tobytes() for r in b[keep]]}, dtype=object)
 
     return find
 
@@ -193,21 +211,27 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class Join:
-    """members (table_name, id, sig), classes (sig, n, runs) and links (sig_a, sig_b, shared, similarity) of a collection."""
+    """members (table_name, id, sig), classes (sig, n, runs) and links (sig_a, sig_b, shared, similarity) of a collection.
+
+    The sets stay where they were made: of equal sets one row is kept by an anti join with the others' keys, which
+    are broadcast only if a count shows at most `few` of them, as are the keys of the sets that candidates need."""
 
-    def __init__(self, records: DataFrame, n: int = 5, t: float = 0.8, min_words: int = 5, bits: int = 20, cap: int = 4096, per_bucket: int = 1_000_000):
+    def __init__(self, records: DataFrame, n: int = 5, t: float = 0.8, min_words: int = 5, bits: int = 20, cap: int = 4096, per_bucket: int = 2_000_000, few: int = 200_000):
         spark = records.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         sets = shingle_sets(records, n, min_words).persist(StorageLevel.MEMORY_AND_DISK)
-        self.members = sets.groupBy("table_name", "id").agg(F.min_by("sig", F.struct(F.col("loaded_at").isNull(), "loaded_at", "sig")).alias("sig"))
-        self.classes = sets.select("sig", "n", "runs").repartition(parts, "sig").dropDuplicates(["sig"]).persist(StorageLevel.MEMORY_AND_DISK)
+        self.members = sets.groupBy("table_name", "id").agg(F.min_by("sig", F.struct(F.col("loaded_at").isNull(), "loaded_at", "sig")).alias("sig")).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = self.members.groupBy("sig").agg(F.min("id").alias("id"))
+        others = sets.select("sig", "id").distinct().join(kept, ["sig", "id"], "left_anti")
+        self.classes = sets.join(broadcast_if_small(others, few), ["sig", "id"], "left_anti").select("sig", "n", "runs")
         counts = count_sketch(self.classes, bits)
-        buckets = max(parts, int(counts.sum(dtype=np.int64) * (1 - t) // per_bucket) + 1)
+        buckets = int(counts.sum(dtype=np.int64) * (1 - t) // per_bucket) + 1
+        buckets = buckets if buckets > 16 else max(buckets, 2)
         placed = place(self.classes, spark.sparkContext.broadcast(counts), bits, t, buckets, cap)
-        pairs = placed.groupBy("bucket").applyInPandas(region_pairs(t), "sig_a binary, sig_b binary")
-        own = self.classes
-        checked = pairs.repartition(parts, "sig_a").dropDuplicates(["sig_a", "sig_b"]).join(own.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("runs").alias("runs_a")).hint("merge"), "sig_a")
-        checked = checked.repartition(parts, "sig_b").join(own.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("runs").alias("runs_b")).hint("merge"), "sig_b")
+        pairs = cut(placed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(region_pairs(t), "sig_a binary, sig_b binary").distinct())
+        needed = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
+        own = self.classes.join(broadcast_if_small(needed, few), "sig", "left_semi").dropDuplicates(["sig"])
+        checked = pairs.join(own.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("runs").alias("runs_a")), "sig_a")
+        checked = checked.join(own.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("runs").alias("runs_b")), "sig_b")
         shared = checked.select("sig_a", "sig_b", "n_a", "n_b", common("runs_a", "runs_b").alias("shared"))
         union = F.col("n_a") + F.col("n_b") - F.col("shared")
         self.links = cut(shared.filter(F.col("shared") >= t * union - 1e-9).select("sig_a", "sig_b", "shared", (F.col("shared") / union).alias("similarity")))

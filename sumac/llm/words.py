@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
 
 #: Runs of letters or digits of any script, after lower-casing.
@@ -17,16 +16,25 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+class _Hashes(dict):
+    """Word hashes, kept while they fit."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a batch, one after another, and the bounds of each text in them."""
-    each = [words(t) for t in texts]
+    get = _HASHES.__getitem__
+    each = [np.fromiter(map(get, WORD.findall(t.lower())), np.uint64) if t else np.empty(0, np.uint64) for t in texts]
     bounds = np.concatenate([[0], np.cumsum([len(w) for w in each])]).astype(np.int64)
-    flat = [w for ws in each for w in ws]
-    if not flat:
-        return np.empty(0, np.uint64), bounds
-    codes, uniques = pd.factorize(np.array(flat, dtype=object))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in uniques), np.uint64, len(uniques))
-    return hashes[codes], bounds
+    return np.concatenate(each) if each else np.empty(0, np.uint64), bounds
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,15 +54,17 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Bits of a run's hash beside its text's number in one sortable word.
+RUN_BITS = 50
+
+
 def shingles(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed runs of n words per text: (text number, hash), sorted by both."""
+    """Distinct runs of n words per text as hashes of RUN_BITS bits: (text number, hash), sorted by both; fewer than 2 ** 14 texts."""
     runs = run_hashes(h, n)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(runs)]
-    inside = np.arange(len(runs)) + n <= bounds[owner + 1] if len(runs) else np.zeros(0, bool)
-    owner, runs = owner[inside], runs[inside]
-    order = np.lexsort((runs, owner))
-    owner, runs = owner[order], runs[order]
     if not len(runs):
         return owner, runs
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (runs[1:] != runs[:-1])])
-    return owner[new], runs[new]
+    inside = np.arange(len(runs)) + n <= bounds[owner + 1]
+    both = np.sort((owner[inside].astype(np.uint64) << np.uint64(RUN_BITS)) | (runs[inside] >> np.uint64(64 - RUN_BITS)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return (both >> np.uint64(RUN_BITS)).astype(np.int64), both & np.uint64((1 << RUN_BITS) - 1)
