@@ -219,10 +219,17 @@ class Join:
     def __init__(self, records: DataFrame, n: int = 5, t: float = 0.8, min_words: int = 5, bits: int = 20, cap: int = 4096, per_bucket: int = 2_000_000, few: int = 200_000):
         spark = records.sparkSession
         sets = shingle_sets(records, n, min_words).persist(StorageLevel.MEMORY_AND_DISK)
-        self.members = sets.groupBy("table_name", "id").agg(F.min_by("sig", F.struct(F.col("loaded_at").isNull(), "loaded_at", "sig")).alias("sig")).persist(StorageLevel.MEMORY_AND_DISK)
-        kept = self.members.groupBy("sig").agg(F.min("id").alias("id"))
-        others = sets.select("sig", "id").distinct().join(kept, ["sig", "id"], "left_anti")
+        first = F.min_by("sig", F.struct(F.col("loaded_at").isNull(), "loaded_at", "sig")).alias("sig")
+        members = sets.groupBy("table_name", "id").agg(first, (F.max("sig") != F.min("sig")).alias("several")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.members = members.drop("several")
+        self.equal = members.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").persist(StorageLevel.MEMORY_AND_DISK)
+        equal = broadcast_if_small(self.equal, few)
+        others = members.join(equal, "sig").filter("id <> least").select("sig", "id")
+        changed = members.filter("several").select("table_name", "id", F.col("sig").alias("good"))
+        if not changed.isEmpty():
+            others = others.unionByName(sets.join(broadcast_if_small(changed, few), ["table_name", "id"]).filter("sig <> good").select("sig", "id").distinct())
         self.classes = sets.join(broadcast_if_small(others, few), ["sig", "id"], "left_anti").select("sig", "n", "runs")
+        self.few = few
         counts = count_sketch(self.classes, bits)
         buckets = int(counts.sum(dtype=np.int64) * (1 - t) // per_bucket) + 1
         buckets = buckets if buckets > 16 else max(buckets, 2)
@@ -239,10 +246,11 @@ class Join:
     def pairs(self) -> DataFrame:
         """table_name, id_a, id_b: all pairs of ids, those of equal sets included."""
         m = self.members
-        a, b = m.select("table_name", F.col("id").alias("x"), F.col("sig").alias("sig_a")), m.select(F.col("id").alias("y"), F.col("sig").alias("sig_b"))
+        ends = self.links.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
+        some = m.join(broadcast_if_small(ends, self.few), "sig", "left_semi")
+        a, b = some.select("table_name", F.col("id").alias("x"), F.col("sig").alias("sig_a")), some.select(F.col("id").alias("y"), F.col("sig").alias("sig_b"))
         linked = self.links.select("sig_a", "sig_b").join(a, "sig_a").join(b, "sig_b").select("table_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        many = m.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
-        dup = m.join(many, "sig", "left_semi")
+        dup = m.join(broadcast_if_small(self.equal, self.few), "sig", "left_semi")
         equal = dup.select("table_name", F.col("id").alias("id_a"), "sig").join(dup.select(F.col("id").alias("id_b"), "sig"), "sig").filter("id_a < id_b").select("table_name", "id_a", "id_b")
         return linked.unionByName(equal)
 
