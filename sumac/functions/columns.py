@@ -162,8 +162,10 @@ def number_or_null(c: Column) -> Column:
 
 
 def judge_label(raw: Column) -> Column:
-    """label and parse_ok of a judge's JSON; labels outside 0 to 3 do not parse."""
-    label = F.when(F.get_json_object(raw, "$.label").rlike(r"^[0-3]$"), F.get_json_object(raw, "$.label").try_cast("int"))
+    """label and parse_ok of a judge's JSON, fenced or bare; broken JSON and labels outside 0 to 3 do not parse."""
+    bare = F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$", "")
+    label = F.try_variant_get(F.try_parse_json(bare), "$.label", "int")
+    label = F.when(label.between(0, 3), label)
     return F.struct(label.alias("label"), label.isNotNull().alias("parse_ok"))
 
 
@@ -184,9 +186,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """L2 normalised; a zero vector passes through."""
+    """L2 normalised; a zero vector passes through. The norm is an array's element, so it is worked out once a vector."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.zip_with(a, F.array_repeat(F.when(n > 0, n).otherwise(F.lit(1.0)), F.size(a)), lambda x, y: x.cast("double") / y)
 
 
 def plus(a: Column, b: Column) -> Column:

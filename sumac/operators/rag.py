@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,8 +109,6 @@ def cacheable(attempts: Column) -> Column:
 
 def generate(prompts: DataFrame, model, column: str = "prompt") -> DataFrame:
     """Hook of a generator or judge: model is a function of a list of prompts, called a batch at a time on the executors."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
         return pd.Series(model(list(s)), index=s.index)
