@@ -46,7 +46,7 @@ P_MD = re.compile(
     re.S | re.M,
 )
 P_WIKI = re.compile(
-    r"(?P<table>^[ \t]*\{\|.*?^[ \t]*\|\}|\{\|[^\n]*\n.*?\n\|\})|(?P<heading>^={1,6}[ \t]*[^\s=][^=\n]*?[ \t]*={1,6}[ \t]*$)|(?P<template>\{\{(?![{\s])[^{}\n]*(?:\n[^{}\n]*)*\}\})|(?P<file>\[\[(?:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|Archivo|Categoría)\s*:[^\]\n]*\]\])|(?P<link>\[\[[^\[\]\n]+\]\])|(?P<ext>\[https?://[^\s\]]+(?:\s[^\]\n]*)?\])|(?P<switch>__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOINDEX|INDEX|HIDDENCAT)__)|(?P<ref><ref\b[^>]*>.*?</ref>|<ref\b[^>]*/>|</?(?:nowiki|references|gallery|math|syntaxhighlight)\b[^>]*>)|(?P<bold>(?<![\w'])'''''?(?=[^\s'])[^\n]*?(?<=[^\s'])'''''?(?![\w']))|(?P<em>(?<![\w'`)\]])''(?=[^\s'(])(?:(?!'')[^\n])*?(?<=[^\s'(])''(?![\w']))|(?P<list>(?:^(?:\*+|#+|[:;]+)[ \t]*[^\s*#][^\n]*(?:\n|\Z))+)",
+    r"(?P<table>^[ \t]*\{\|.*?^[ \t]*\|\}|\{\|[^\n]*\n.*?\n\|\})|(?P<heading>^={1,6}[ \t]*[^\s=][^=\n]*?[ \t]*={1,6}[ \t]*$)|(?P<template>\{\{(?![{\s])[^{}\n]*(?:\n[^{}\n]*)*\}\})|(?P<file>\[\[(?:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|Archivo|Categoría)\s*:[^\]\n]*\]\])|(?P<link>\[\[[^\[\]\n]+\]\])|(?P<ext>\[https?://[^\s\]]+(?:\s[^\]\n]*)?\])|(?P<switch>__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOINDEX|INDEX|HIDDENCAT)__)|(?P<ref><ref\b[^>]*>.*?</ref>|<ref\b[^>]*/>|</?(?:nowiki|references|gallery|math|syntaxhighlight)\b[^>]*>)|(?P<bold>(?<![\w'])'''(?:'')?(?=[^\s'])[^\n]*?(?<=[^\s'])'''(?:'')?(?![\w']))|(?P<em>(?<![\w'`)\]])''(?=[^\s'(])(?:(?!'')[^\n])*?(?<=[^\s'(])''(?![\w']))|(?P<list>(?:^(?:\*+|#+|[:;]+)[ \t]*[^\s*#][^\n]*(?:\n|\Z))+)",
     re.S | re.M,
 )
 P_LATEX = re.compile(

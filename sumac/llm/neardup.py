@@ -39,7 +39,7 @@ SKETCH_CHUNKS = 16
 
 
 def shingle_sets(records: DataFrame, n: int = 5, min_words: int = 5) -> DataFrame:
-    """records (table_name, id, loaded_at, text) to table_name, id, loaded_at, sig (16 bytes), n, runs (sorted hashes of 8 bytes)."""
+    """records (table_name, id, loaded_at, text) to table_name, id, loaded_at, sig (16 bytes), n, runs (hashes of 8 bytes)."""
 
     def make(batches):
         for whole in batches:
@@ -51,8 +51,9 @@ def shingle_sets(records: DataFrame, n: int = 5, min_words: int = 5) -> DataFram
                 long_enough = np.diff(b) >= min_words
                 for k, (name, key, loaded) in enumerate(zip(x["table_name"], x["id"], x["loaded_at"], strict=True)):
                     if long_enough[k] and at[k + 1] > at[k]:
-                        raw = runs[at[k] : at[k + 1]].tobytes()
-                        out.append((name, key, loaded, xxhash.xxh128_digest(raw + name.encode()), int(at[k + 1] - at[k]), raw))
+                        own = np.uint64(xxhash.xxh64_intdigest(name) >> (64 - RUN_BITS))  # tables share no runs
+                        raw = (runs[at[k] : at[k + 1]] ^ own).tobytes()
+                        out.append((name, key, loaded, xxhash.xxh128_digest(raw), int(at[k + 1] - at[k]), raw))
                 yield pd.DataFrame(out, columns=["table_name", "id", "loaded_at", "sig", "n", "runs"])
 
     return records.select("table_name", F.col("id").cast("string").alias("id"), F.col("loaded_at").cast("timestamp").alias("loaded_at"), "text").filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(make, "table_name string, id string, loaded_at timestamp, sig binary, n int, runs binary")

@@ -1,0 +1,17 @@
+"""Every training-data query runs, and those with SQL equal it."""
+
+import pytest
+
+from sumac.llm.queries import QUERIES, SQL
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(same, name):
+    same(QUERIES[name], SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_runs(spark, name):
+    assert QUERIES[name](spark, SMALL).count() >= 1
