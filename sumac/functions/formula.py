@@ -233,9 +233,9 @@ def _split(node: Node) -> Node:
     """No commutative operator with more operands than there are labels."""
     kids = [n for _, n in node.edges]
     if len(kids) > MAX_KIDS and node.tag.startswith("U!"):
-        part = ceil(len(kids) / MAX_KIDS)
-        kids = [_operator(node.tag, kids[k : k + part]) if len(kids[k : k + part]) > 1 else kids[k] for k in range(0, len(kids), part)]
-        return _operator(node.tag, kids)
+        part = ceil(len(kids) / ceil(len(kids) / MAX_KIDS))
+        groups = [kids[k : k + part] for k in range(0, len(kids), part)]
+        return _operator(node.tag, [_operator(node.tag, g) if len(g) > 1 else g[0] for g in groups])
     return node
 
 
