@@ -38,6 +38,14 @@ REFUSALS = [
     r"\b(?:can ?not|can'?t) be (?:answered|determined|decided|resolved) (?:from|with|using|based|given)",
     r"\b(?:does not|doesn'?t|do not|don'?t) (?:contain|provide|include|give|offer|have)\b.{0,60}\b(?:enough|information|material|details?|answer)",
     r"\b(?:not|isn'?t) (?:enough|sufficient) (?:information|material|context|detail|data|evidence)|insufficient (?:information|context|material|detail|data)|\bno answer (?:is|can be) (?:possible|given)|\bi (?:do not|don'?t) know\b|\bi have no idea\b|\bsays? nothing (?:about|on)\b|\bdecline to\b|\bi(?:'m| am) (?:only )?an? (?:ai|language) (?:model|assistant)",
+    r"\b(?:nothing|none|no|not|without|neither|lack(?:s|ing)?)\b.{0,70}\b(?:context|passages?|excerpts?|snippets?|sources? (?:given|provided|retrieved)|(?:given|provided|retrieved) (?:sources?|documents?|material|text))\b",
+    r"\b(?:context|passages?|excerpts?|snippets?|(?:given|provided|retrieved) (?:sources?|documents?|material|text))\b.{0,80}\b(?:nothing|not|no|never|neither|lacks?|omits?|silent|fails? to|unrelated|insufficient|irrelevant|inadequate|only)\b",
+    r"\b(?:only|merely|just) (?:be )?(?:a )?guess|\bnot to guess\b|\b(?:have|has|am|must|would|will|shall) (?:to )?(?:pass on|leave) this|beyond (?:my|what i)|outside (?:my|the) (?:scope|knowledge|material)|\bno (?:basis|way|means) (?:for|of|to) (?:answer|know|tell|say|decid|determin)|\bcan ?not (?:tell|know|be sure|confirm)\b",
+    r"\b(?:Kontext|Passagen?|Auszüg\w*|Textstellen?|Quellen?|Unterlagen)\b.{0,80}\b(?:nichts?|kein\w*|nur|ungenügend|unzureichend)\b|\b(?:nichts?|kein\w*)\b.{0,60}\b(?:Kontext|Passagen?|Auszüg\w*|Textstellen?|Quellen?|Unterlagen)\b",
+    r"\b(?:contexte|passages?|extraits?|sources?|documents?)\b.{0,80}\b(?:ne|n'\w+|pas|rien|aucune?|insuffisant\w*)\b|\b(?:rien|aucune?)\b.{0,60}\b(?:contexte|passages?|extraits?|sources?|documents?)\b",
+    r"\b(?:contexto|pasajes?|fragmentos?|fuentes?|documentos?)\b.{0,80}\b(?:no|nada|ning\w+|insuficiente\w*)\b|\b(?:nada|ning\w+)\b.{0,60}\b(?:contexto|pasajes?|fragmentos?|fuentes?|documentos?)\b",
+    r"(?:контекст|отрыв|фрагмент|источник)\w*.{0,80}\b(?:не|нет|ничего|недостаточно)\b|\b(?:нет|ничего)\b.{0,60}(?:контекст|отрыв|фрагмент|источник)",
+    r"(?:上下文|段落|资料|材料|文中|原文|摘录).{0,40}(?:没有|未|不足|无法|不包含)|(?:文脈|文章|資料|抜粋|コンテキスト).{0,60}(?:ありません|ない|不足|含まれ)|(?:บริบท|ข้อความ).{0,60}(?:ไม่)|(?:السياق|النص|المقاطع).{0,80}(?:لا|ليس|غير)|(?:संदर्भ|अंश|पाठ).{0,80}(?:नहीं|अपर्याप्त)",
     r"\b(?:kann|können|könnte|darf)\b.{0,80}\bnicht\b.{0,60}\b(?:beantworten|antworten|helfen|lösen|bearbeiten|sagen)|keine (?:\w+ )?(?:angaben|informationen|antwort)|\bweiß (?:ich )?nicht|ich weiß es nicht|reicht (?:\w+ )?nicht aus|nicht genügend|nicht genug",
     r"\bne (?:peux|puis|peut|saurais|pouvons)\b.{0,30}\b(?:répondre|aider|résoudre|donner|traiter)|\bne (?:suffit|suffisent|contient|contiennent|permet|permettent)\b|\bje ne sais pas\b|pas assez d'|impossible de répondre",
     r"\bno (?:puedo|podemos|es posible|soy capaz)\b.{0,40}\b(?:responder|ayudar|contestar|resolver|dar|contestarla)|\bno (?:contiene|hay|incluye|ofrece)\b.{0,40}\b(?:suficiente|información)|\bno lo sé\b|\bno sé\b",
@@ -50,7 +58,7 @@ REFUSALS = [
 ]
 REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I | re.S)
 #: What may stand beside a refusal and still answers nothing.
-SOFT = re.compile(r"(?i)^(?:i'?m |i am )?(?:very |so )?(?:sorry|apologi[sz]e|unfortunately|regrettably)\b|^my apologies|^please (?:provide|give|ask|consult|try)|^leider|^es tut mir leid|^bitte|^désolée?|^malheureusement|^je suis désolée?|^lo siento|^lamentablemente|^к сожалению|^извините|^抱歉|^对不起|^很遗憾|^申し訳|^すみません|^残念|^ขออภัย|^عذرا|^آسف|^क्षमा|^खेद")
+SOFT = re.compile(r"(?i)^(?:i'?m |i am )?(?:very |so )?(?:sorry|apologi[sz]e|unfortunately|regrettably)\b|^(?:my|with) apologies|^please (?:provide|give|ask|consult|try|see|refer)|^(?:try|consult|ask|see) (?:another|a|other)|^i (?:would )?(?:suggest|recommend)|^leider|^es tut mir leid|^bitte|^désolée?|^malheureusement|^je suis désolée?|^lo siento|^lamentablemente|^к сожалению|^извините|^抱歉|^对不起|^很遗憾|^申し訳|^すみません|^残念|^ขออภัย|^عذرا|^آسف|^क्षमा|^खेद")
 ANSWERS = re.compile(r"(?i)\bbut\b.{0,60}\b(?:as follows|here is|are|is)\b|\bhowever\b.{0,40}\b(?:as follows|here is)\b|wrong to claim|aber .{0,40} wie folgt|mais .{0,40} comme suit|pero .{0,40} como sigue")
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』")
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
