@@ -172,7 +172,7 @@ def region_pairs(t: float):
         left = n - pos[order].astype(np.int32)
         first = n - left <= _prefix(n, 2 * t / (1 + t))  # as the smaller one of a pair it need be placed no farther
         split = bool((side != 2).any())
-        found, step, live = [], 1, np.arange(len(key))
+        found, held, step, live = [], 0, 1, np.arange(len(key))
         while True:
             live = live[live + step < len(key)]
             live = live[key[live] == key[live + step]]
@@ -193,6 +193,9 @@ def region_pairs(t: float):
             ok = diff <= most
             if ok.any():
                 found.append(np.minimum(x[ok], y[ok]) * len(sig) + np.maximum(x[ok], y[ok]))
+                held += len(found[-1])
+                if held > 4_000_000:  # near copies meet in many regions of a bucket
+                    found, held = [np.unique(np.concatenate(found))], 0
             step += 1
         p = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         a, b = sig[p // max(len(sig), 1)], sig[p % max(len(sig), 1)]
