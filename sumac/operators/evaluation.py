@@ -54,7 +54,7 @@ def measures(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (5, 10
     r = trec_order(j, keys).withColumn("is_rel", F.when(F.col("rel") >= RELEVANT, 1).otherwise(0)).withColumn("is_non", F.when(F.col("rel") < RELEVANT, 1).otherwise(0))
     w = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("seen", F.sum("is_rel").over(w)).withColumn("non_above", F.sum("is_non").over(w))
-    r = r.join(F.broadcast(ideal(qrels, cutoffs)), "qid")  # one row a topic
+    r = r.join(ideal(qrels, cutoffs), "qid")
     at = lambda x, k: F.sum(F.when(F.col("rank") <= k, x).otherwise(0.0))
     gain = F.coalesce(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + F.lit(1.0))
     ap = F.when(F.col("is_rel") == 1, F.col("seen") / F.col("rank")).otherwise(0.0)

@@ -64,8 +64,8 @@ def rerank(candidates: DataFrame, similarity: DataFrame, alpha: float = 0.5, poo
     best = similarity.groupBy("qid", "doc_id", "formula").agg(F.max("sim").alias("sim"))
     n = similarity.groupBy("qid").agg(F.countDistinct("formula").alias("n_formulas"))
     score = {"mean": F.sum("sim") / F.first("n_formulas"), "max": F.max("sim"), "sum": F.sum("sim")}[how]
-    formula = best.join(F.broadcast(n), "qid").groupBy("qid", "doc_id").agg(score.alias("formula_score"))  # one row a topic
-    c = candidates.withColumn("in_pool", F.col("rank") <= pool).join(formula, ["qid", "doc_id"], "left").join(F.broadcast(n.select("qid", F.lit(True).alias("has"))), "qid", "left")
+    formula = best.join(n, "qid").groupBy("qid", "doc_id").agg(score.alias("formula_score"))
+    c = candidates.withColumn("in_pool", F.col("rank") <= pool).join(formula, ["qid", "doc_id"], "left").join(n.select("qid", F.lit(True).alias("has")), "qid", "left")
     c = c.withColumn("fs", F.coalesce("formula_score", F.lit(0.0)))
     text, form = minmax(F.col("score"), ["qid", "in_pool"]), minmax(F.col("fs"), ["qid", "in_pool"])
     c = c.withColumn("blend", F.when(F.col("in_pool") & F.col("has"), F.round(F.lit(1 - alpha) * text + F.lit(alpha) * form, 9)))

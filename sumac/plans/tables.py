@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.functions.columns import dot, query_text
+from sumac.functions.columns import query_text
 from sumac.operators.references import normal_key
+from sumac.operators.search import exact_search
 from sumac.runtime import broadcast_if_small, table
 
 
@@ -46,11 +47,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    """run, qid, doc_id, score: first half, second half and whole of the vectors."""
-    p = _pairs(spark, d)
-    part = lambda name, at, n: F.struct(F.lit(name).alias("run"), F.round(dot(F.slice("q", at, n), F.slice("v", at, n)), 6).alias("score"))
-    e = p.select("qid", "doc_id", F.explode(F.array(part("a", 1, 32), part("b", 33, 32), part("c", 1, 64))).alias("r"))
-    return e.select("r.run", "qid", "doc_id", "r.score")
+    """run, qid, doc_id, score: the first thousand by the first half, the second half and the whole of the vectors."""
+    parts = {"a": (0, 32), "b": (32, 64), "c": (0, 64)}
+    return exact_search(vectors(spark, d), vector_queries(spark, d), DEPTH, parts=parts).select("run", "qid", "doc_id", "score")
 
 
 def vector_qrels(spark: SparkSession, d: str) -> DataFrame:
@@ -60,16 +59,19 @@ def vector_qrels(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("qid", "doc_id", rel.alias("rel")).filter("rel IS NOT NULL")
 
 
+#: Depth of every run.
+DEPTH = 1000
 KEY = r"nullif(regexp_replace(regexp_replace(CAST({0} AS VARCHAR), '^\s+|\s+$', '', 'g'), '\.0$', ''), '')"
 ANS = "ans AS (SELECT id, unnest(min_by(struct_pack(parent_id := parent_id, score := score, body_text := body_text, formulas := formulas), loaded_at)) FROM answers GROUP BY id)"
 TOP = "top AS (SELECT topic_id AS qid, trim(concat_ws(' ', title, question)) AS text FROM topics WHERE trim(concat_ws(' ', title, question)) <> '')"
 LAB = f"lab AS (SELECT DISTINCT judgement_id, topic_id AS qid, {KEY.format('answer_id')} AS doc_id, label AS rel, source, judge_model, judged_at FROM judgements WHERE parse_ok AND label IS NOT NULL)"
 QRELS = f"{LAB}, qrels AS (SELECT qid, doc_id, rel FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY judged_at DESC, judgement_id DESC) AS n FROM lab) WHERE n = 1)"
 VEC = "vec AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings), vq AS (SELECT doc_id AS qid, v AS q, label AS q_label FROM vec WHERE doc_id % 20 = 0)"
-RUNS = f"""{VEC}, runs AS (
+RUNS = f"""{VEC}, pairs AS (
 SELECT 'a' AS run, qid, doc_id, round(list_inner_product(q[1:32], v[1:32]), 6) AS score FROM vec CROSS JOIN vq
 UNION ALL SELECT 'b', qid, doc_id, round(list_inner_product(q[33:64], v[33:64]), 6) FROM vec CROSS JOIN vq
-UNION ALL SELECT 'c', qid, doc_id, round(list_inner_product(q, v), 6) FROM vec CROSS JOIN vq)"""
+UNION ALL SELECT 'c', qid, doc_id, round(list_inner_product(q, v), 6) FROM vec CROSS JOIN vq),
+runs AS (SELECT run, qid, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY run, qid ORDER BY score DESC, doc_id) AS n FROM pairs) WHERE n <= {DEPTH})"""
 VQRELS = "vqrels AS (SELECT * FROM (SELECT qid, doc_id, CAST(CASE WHEN q_label = label THEN 3 - (qid + doc_id) % 2 WHEN (qid + doc_id) % 3 = 0 THEN (qid + doc_id) % 2 END AS INTEGER) AS rel FROM vec CROSS JOIN vq) WHERE rel IS NOT NULL)"
 TREC = "trec AS (SELECT *, row_number() OVER (PARTITION BY run, qid ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS rank FROM runs)"
 
