@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from sumac.runtime import cut as checkpointed
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -90,7 +92,7 @@ def pareto_sample(docs: DataFrame, seed: int = 42, bins: int = 1024, rounds: int
     odds = (u / (1 - u)) / (p / (1 - p))
     docs = docs.select("*", F.floor("copies").cast("int").alias("whole"), F.when(p > 1e-12, odds / (1 + odds)).alias("rank"))
     have = docs.groupBy("source").agg(F.round(F.sum(F.col("copies") - F.floor("copies"))).cast("long").alias("left"))
-    cut = have.select("source", F.lit(0.0).alias("lo"), F.lit(1.0).alias("width"), "left")  # one row per source
+    cut = checkpointed(have.select("source", F.lit(0.0).alias("lo"), F.lit(1.0).alias("width"), "left"))  # one row per source
     for _ in range(rounds):
         j = docs.filter("rank IS NOT NULL").join(F.broadcast(cut), "source").filter("rank >= lo AND rank < lo + width")
         n = j.groupBy("source", "lo", "width", "left", F.least(F.lit(bins - 1), F.floor((F.col("rank") - F.col("lo")) / F.col("width") * bins).cast("int")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +100,7 @@ def pareto_sample(docs: DataFrame, seed: int = 42, bins: int = 1024, rounds: int
         n = n.select("*", below.alias("below")).filter("below < left AND left <= below + n")
         n = n.select("source", (F.col("lo") + F.col("bin") * F.col("width") / bins).alias("lo2"), (F.col("width") / bins).alias("width2"), (F.col("left") - F.col("below")).alias("left2"))
         # a source without a cut inside its bins takes all of its documents, or none
-        cut = cut.join(n, "source", "left").select("source", F.coalesce("lo2", F.when(F.col("left") > 0, F.lit(2.0)).otherwise(F.lit(0.0))).alias("lo"), F.coalesce("width2", F.lit(0.0)).alias("width"), F.coalesce("left2", F.lit(0)).alias("left"))
+        cut = checkpointed(cut.join(n, "source", "left").select("source", F.coalesce("lo2", F.when(F.col("left") > 0, F.lit(2.0)).otherwise(F.lit(0.0))).alias("lo"), F.coalesce("width2", F.lit(0.0)).alias("width"), F.coalesce("left2", F.lit(0)).alias("left")))
     j = docs.join(F.broadcast(cut), "source")
     edge = j.filter("rank >= lo AND rank < lo + width")
     edge = edge.select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id")) <= F.col("left")).alias("extra"))  # some 1 / bins ** rounds of a source
