@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Order of the layout edges, and labels of operands by position.
-LAYOUT = "nabouc" + "dwe"
+LAYOUT = "naboucdwe"
 POSITIONS = string.digits + string.ascii_uppercase + string.ascii_lowercase
 #: Content elements by the type of their operator.
 FUNCTIONS = frozenset("sin cos tan cot sec csc sinh cosh tanh coth sech csch arccos arccot arccsc arcsec arcsin arctan arccosh arccoth arccsch arcsech arcsinh arctanh abs exp log ln min max ceiling floor arg gcd lcm real imaginary".split())

@@ -46,17 +46,17 @@ def kappa(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
         *marginal(F.col("human"), F.col("judge"), 4, "g"),
         *marginal(b("human"), b("judge"), 2, "b"),
     )
-    n = F.col("n").cast("double")
+    n = F.when(F.col("n") > 0, F.col("n").cast("double"))
     chance = sum((F.col(f"gh{g}") * F.col(f"gj{g}") for g in GRADES), F.lit(0)) / (n * n)
     chance2 = sum((F.col(f"bh{g}") * F.col(f"bj{g}") for g in (0, 1)), F.lit(0)) / (n * n)
     expected = sum((F.col(f"gh{x}") * F.col(f"gj{y}") * F.lit(abs(x - y) / top) for x in GRADES for y in GRADES), F.lit(0.0)) / (n * n)
-    k = lambda po, pe: F.round(F.when(pe < 1, (po - pe) / (F.lit(1.0) - pe)).otherwise(F.lit(1.0)), 6)
+    k = lambda po, pe: F.round(F.when(pe < 1, (po - pe) / (F.lit(1.0) - pe)).when(pe.isNotNull(), F.lit(1.0)), 6)
     return a.select(
         *by,
         "n",
         F.round(F.col("same") / n, 6).alias("agree"),
         k(F.col("same") / n, chance).alias("kappa"),
-        F.round(F.when(expected > 0, F.lit(1.0) - (F.col("off") / n) / expected).otherwise(F.lit(1.0)), 6).alias("kappa_linear"),
+        F.round(F.when(expected > 0, F.lit(1.0) - (F.col("off") / n) / expected).when(expected.isNotNull(), F.lit(1.0)), 6).alias("kappa_linear"),
         F.round(F.col("same2") / n, 6).alias("agree_binary"),
         k(F.col("same2") / n, chance2).alias("kappa_binary"),
     )

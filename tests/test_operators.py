@@ -165,3 +165,43 @@ def test_run_files(spark, tmp_path):
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         writers.write_qrels(q, str(tmp_path / "q"))
     assert "| a |" in writers.markdown([{"a": 1}], ["a"], "t")
+
+
+def test_search_in_blocks_and_without_broadcast(spark):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(k, [float(y) for y in r]) for k, r in enumerate(rng.normal(size=(60, 4)))], "doc_id bigint, v array<double>")
+    q = v.filter("doc_id % 20 = 0").selectExpr("doc_id AS qid", "v AS q")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "rank").collect()))
+    assert rows(S.exact_search(v, q, 5, max_queries=1)) == rows(S.exact_search(v, q, 5))
+    docs = spark.createDataFrame([(k, f"ring {'field ' * (k % 4)} x{k}") for k in range(20)] + [(90, None), (91, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "ring field"), (2, "x3 nothing"), (3, None)], "qid bigint, text string")
+    index = S.TextIndex(docs)
+    assert rows(S.bm25(index, asked, 5, max_query_terms=0)) == rows(S.bm25(index, asked, 5))
+    assert {r.qid for r in S.bm25(index, asked).collect()} == {1, 2}
+
+
+def test_union_guard(spark):
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+
+
+def test_lossless_join_fails_loudly(spark):
+    from sumac.operators import agreement as A
+
+    h = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "qid string, doc_id string, rel int")
+    with pytest.raises(Exception, match="missing or repeated"):
+        A.paired(h, h.filter("doc_id = 'a'"), lossless=True).collect()
+    assert A.paired(h, h, lossless=True).count() == 2
+
+
+def test_kappa_by_hand(spark):
+    from sumac.operators import agreement as A
+
+    p = spark.createDataFrame([(3, 3), (3, 0), (0, 0), (0, 0), (None, 1)], "human int, judge int")
+    got = A.kappa(p).first()
+    # observed 3/4; chance (2*1 + 2*3)/16 = 1/2
+    assert got.n == 4 and got.kappa == 0.5 and got.kappa_binary == 0.5 and got.agree == 0.75
+    assert A.kappa(p.limit(0)).first().n == 0
+    s = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 3.0, 2.0)], "system string, x double, y double")
+    t = A.kendall(s).first()
+    assert t.tau == 1.0 and t.tau_b == pytest.approx(2 / math.sqrt(6), abs=1e-6)
+    assert A.spearman(s).first().rho == pytest.approx(math.sqrt(3) / 2, abs=1e-6)
