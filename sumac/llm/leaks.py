@@ -101,22 +101,23 @@ class Tiles:
             rest = np.flatnonzero(length < self.run)
             shown = set(zip(found[0]["doc"], found[0]["item"], strict=True))
             rest = rest[[(x, y) not in shown for x, y in zip(doc[rest], item[rest], strict=True)]] if len(rest) else rest
-            for s in range(self.run - self.q + 1):  # windows that hold the tile after s of their words
-                a = at[rest] - s
-                k = rest[(a >= i0[rest]) & (a + self.run <= i1[rest])]
-                if not len(k):
-                    continue
-                pattern = self.words[(at[k] - s)[:, None] + np.arange(self.run)]
-                col = (pos[k] - s - self.errors)[:, None] + np.arange(self.run + 2 * self.errors)
-                inside = (col >= d0[k][:, None]) & (col < d1[k][:, None])
-                text = np.where(inside, w[np.clip(col, 0, len(w) - 1)], np.uint64(0))
-                close = (text[:, :, None] == pattern[:, None, :]).any(axis=1).sum(axis=1) >= self.run - self.errors
-                k, pattern, text = k[close], pattern[close], text[close]
-                if len(k):
-                    best = myers(pattern, text)
-                    good = best <= self.errors
-                    k = k[good]
-                    found.append(pd.DataFrame({"doc": doc[k], "item": item[k], "distance": best[good], "n_words": self.run, "doc_word": np.maximum(pos[k] - s - d0[k], 0), "item_word": at[k] - s - i0[k]}))
+            for part in (rest[i : i + 20_000] for i in range(0, len(rest), 20_000)):
+                for s in range(self.run - self.q + 1):  # windows that hold the tile after s of their words
+                    a = at[part] - s
+                    k = part[(a >= i0[part]) & (a + self.run <= i1[part])]
+                    if not len(k):
+                        continue
+                    pattern = self.words[(at[k] - s)[:, None] + np.arange(self.run)]
+                    col = (pos[k] - s - self.errors)[:, None] + np.arange(self.run + 2 * self.errors)
+                    inside = (col >= d0[k][:, None]) & (col < d1[k][:, None])
+                    text = np.where(inside, w[np.clip(col, 0, len(w) - 1)], np.uint64(0))
+                    close = (text[:, :, None] == pattern[:, None, :]).any(axis=1).sum(axis=1) >= self.run - self.errors
+                    k, pattern, text = k[close], pattern[close], text[close]
+                    if len(k):
+                        best = myers(pattern, text)
+                        good = best <= self.errors
+                        k = k[good]
+                        found.append(pd.DataFrame({"doc": doc[k], "item": item[k], "distance": best[good], "n_words": self.run, "doc_word": np.maximum(pos[k] - s - d0[k], 0), "item_word": at[k] - s - i0[k]}))
         out = pd.concat(found).sort_values(["doc", "item", "distance", "n_words", "doc_word", "item_word"], ascending=[True, True, True, False, True, True]).drop_duplicates(["doc", "item"])
         return pd.DataFrame({"doc_id": ids[out.doc.to_numpy()], "item_id": self.ids[out["item"].to_numpy()], **{c: out[c].to_numpy() for c in ("distance", "n_words", "doc_word", "item_word")}})
 

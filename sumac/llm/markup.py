@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("html", "markdown", "wiki", "latex")
+#: Control characters that set blocks and links apart inside.
+CONTROL = re.compile(r"[\f\x0e\x0f]")
 MATH = re.compile(r"\$\$.+?\$\$|\$(?!\s)[^$\n]*(?:\n[^$\n]+)*\$|\\\(.+?\\\)|(?<!\\)\\\[.+?\\\]", re.S)
 
 #: Names of HTML elements.
@@ -96,10 +98,7 @@ def constructs(text: str) -> tuple[list[Construct], str]:
 
 
 def markup_kinds(text: str | None) -> list[str]:
-    if not text:
-        return []
-    has = {c.kind for c in constructs(text)[0]}
-    return [k for k in KINDS if k in has]
+    return residue(text)[0]
 
 
 def _inner(c: Construct, text: str) -> str:
@@ -177,10 +176,10 @@ def _inner(c: Construct, text: str) -> str:
     return raw.strip("*_~") if w in ("bold", "bold2", "strike", "em", "em2") else raw
 
 
-def blocks(text: str) -> list[dict]:
+def blocks(text: str, cs: list[Construct] | None = None) -> list[dict]:
     """Blocks of a marked text: type (paragraph, heading, list, code, table, formula), text, label of both passes."""
-    text = re.sub(r"[\f\x0e\x0f]", " ", text)
-    cs, _ = constructs(text)
+    text = CONTROL.sub(" ", text)
+    cs = constructs(text)[0] if cs is None else cs
     out, at = [], 0
     for c in cs:
         if (c.kind, c.what) in (("markdown", "quote"), ("markdown", "list"), ("markdown", "ordered"), ("markdown", "atx")) or c.start < at:
@@ -253,11 +252,20 @@ def classify(got: list[dict], short: int = 40, long: int = 120, stop_low: float
 
 
 def clean_text(text: str | None) -> str | None:
-    if not text or not constructs(text)[0]:
-        return text
+    return residue(text)[1]
+
+
+def residue(text: str | None) -> tuple[list[str], str | None]:
+    """Kinds of markup in a text and its clean text, from one scan and both passes over its blocks."""
+    if not text:
+        return [], text
+    cs = constructs(CONTROL.sub(" ", text))[0]
+    if not cs:
+        return [], text
+    has = {c.kind for c in cs}
     out: list[str] = []
     last = ""
-    for b in blocks(text):
+    for b in blocks(text, cs):
         if b["label"] == "bad":
             continue
         t = {"heading": f"# {b['text']}", "list": f"- {b['text']}", "code": f"```\n{b['text']}\n```"}.get(b["type"], b["text"].strip())
@@ -265,7 +273,7 @@ def clean_text(text: str | None) -> str | None:
             t = "\n".join(" ".join(x.split()) if "$" not in x else x.strip() for x in t.split("\n"))
         out.append(("\n" if last == b["type"] == "list" else "\n\n" if out else "") + t)
         last = b["type"]
-    return "".join(out)
+    return [k for k in KINDS if k in has], "".join(out)
 
 
 def markup_of(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -273,8 +281,7 @@ def markup_of(texts: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<markup_kinds:array<string>,clean_text:string>")
     def both(ts: pd.Series) -> pd.DataFrame:
-        ts = [t if isinstance(t, str) else None for t in ts]
-        return pd.DataFrame({"markup_kinds": [markup_kinds(t) for t in ts], "clean_text": [clean_text(t) for t in ts]})
+        return pd.DataFrame([residue(t if isinstance(t, str) else None) for t in ts], columns=["markup_kinds", "clean_text"], dtype=object)
 
     made = both(F.col(text))
     return texts.select("*", made.alias("_m")).select("*", "_m.markup_kinds", "_m.clean_text").drop("_m")
@@ -282,12 +289,8 @@ def markup_of(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def kinds_of(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts without the text, with one row per markup_kind."""
-
-    @F.pandas_udf("array<string>")
-    def find(ts: pd.Series) -> pd.Series:
-        return pd.Series([markup_kinds(t if isinstance(t, str) else None) for t in ts], index=ts.index, dtype=object)
-
-    return texts.select(*[c for c in texts.columns if c != text], F.explode(find(F.col(text))).alias("markup_kind"))
+    made = markup_of(texts, text)
+    return made.select(*[c for c in texts.columns if c != text], F.explode("markup_kinds").alias("markup_kind"))
 
 
 def fields_of(judge_pairs: DataFrame, answers: DataFrame) -> DataFrame:

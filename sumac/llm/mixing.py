@@ -12,7 +12,7 @@ narrow bin are ordered. Random numbers are hashes of the document id and a seed.
 
 Defined cases: a null or blank source takes no part; names are compared without blanks around them and
 case; a null or blank text has 0 tokens; repeated rows of a document count once; sources without documents
-are reported with size 0; a source that cannot reach its share is used up to its cap and reported.
+or without tokens are reported with size 0 and not used; a source that cannot reach its share is used up to its cap and reported.
 """
 
 from __future__ import annotations
@@ -79,9 +79,9 @@ def capacity(docs: DataFrame, mix: DataFrame) -> DataFrame:
 def expected_copies(docs: DataFrame, cap: DataFrame, mix_tokens: int | None = None, weight: Column | None = None) -> DataFrame:
     """docs with copies, the expected number of copies: target over size, in proportion to weight, at most the cap."""
     docs = docs.select("*", (F.lit(1.0) if weight is None else weight).cast("double").alias("_w"))
-    mean = docs.groupBy("source").agg((F.sum(F.col("_w") * F.col("n_tokens")) / F.sum("n_tokens")).alias("_mean"))
+    mean = docs.groupBy("source").agg(F.try_divide(F.sum(F.col("_w") * F.col("n_tokens")), F.sum("n_tokens")).alias("_mean"))
     want = (F.lit(mix_tokens).cast("double") if mix_tokens else F.col("total").cast("double")) * F.col("target_share") / F.col("size")
-    rate = cap.filter("size > 0").join(mean, "source").select("source", "max_repeats", (want / F.col("_mean")).alias("_rate"))
+    rate = cap.filter("size > 0").join(mean.filter("_mean > 0"), "source").select("source", "max_repeats", (want / F.col("_mean")).alias("_rate"))
     return docs.join(F.broadcast(rate), "source").select("doc_id", "source", "n_tokens", F.least(F.col("max_repeats").cast("double"), F.col("_rate") * F.col("_w")).alias("copies"))
 
 
@@ -118,4 +118,4 @@ def shares(sample: DataFrame, cap: DataFrame) -> DataFrame:
     used = sample.groupBy("source").agg(F.count_if(F.col("times") > 0).alias("n_used"), F.max("times").alias("most_times"), F.sum(F.col("times") * F.col("n_tokens")).alias("used_tokens"))
     all_used = used.agg(F.sum("used_tokens").alias("mix_tokens"))
     out = cap.join(used, "source", "left").crossJoin(F.broadcast(all_used))  # one row
-    return out.select("source", "target_share", "max_repeats", "n_docs", "size", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("most_times", F.lit(0)).alias("most_times"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.round(F.coalesce(F.col("used_tokens") / F.col("mix_tokens"), F.lit(0.0)), 6).alias("share"))
+    return out.select("source", "target_share", "max_repeats", "n_docs", "size", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("most_times", F.lit(0)).alias("most_times"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.round(F.coalesce(F.try_divide("used_tokens", "mix_tokens"), F.lit(0.0)), 6).alias("share"))

@@ -53,3 +53,12 @@ def test_caps_and_empty(spark):
     _, s, c = sample(spark, share=(0.9, 0.1), cap=(2, 1))
     assert {r.times for r in s.filter("source = 'a'").collect()} == {2}
     assert s.limit(0).count() == 0 and mixing.pareto_sample(sample(spark)[0].limit(0)).count() == 0
+
+
+@needs_files
+def test_sources_without_tokens(spark):
+    docs = mixing.sized(spark.createDataFrame([(1, None, "a", 0), (2, "", "a", 0)], D))
+    cap = mixing.capacity(docs, spark.createDataFrame([("a", 1.0, 3)], M))
+    s = mixing.pareto_sample(mixing.expected_copies(docs, cap))
+    got = mixing.shares(s, cap).collect()
+    assert s.count() == 0 and [(r["size"], r.used_tokens, r.share) for r in got] == [(0, 0, 0.0)]

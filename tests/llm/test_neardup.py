@@ -48,6 +48,12 @@ def test_pairs_brute_force(spark):
         assert set(found) == brute(rows, n, t, 6)
 
 
+def test_without_broadcasts(spark):
+    rows = collection(6, 80)
+    got = neardup.Join(spark.createDataFrame(rows, SCHEMA), 3, 0.5, 6, bits=10, cap=7, per_bucket=200, few=0)
+    assert {tuple(r) for r in got.pairs().collect()} == brute(rows, 3, 0.5, 6)
+
+
 def test_hot_copies_and_groups(spark):
     text = " ".join(f"v{k}" for k in range(40))
     rows = [("x", f"{k:03}", dt(2020, 1, 1), text, k) for k in range(30)] + [("x", f"e{k:02}", dt(2020, 1, 1), text + f" more{k}", k) for k in range(20)] + [("x", "z", dt(2020, 1, 1), " ".join(f"u{k}" for k in range(40)), 0)]
