@@ -43,8 +43,8 @@ P_HTML = re.compile(
     re.S | re.I,
 )
 P_MD = re.compile(
-    r"(?P<fence>^(?P<f>```+|~~~+)[^\n`]*\n.*?(?:^(?P=f)[ \t]*$|\Z))|(?P<atx>^ {0,3}#{1,6}[ \t]+[^\n]+)|(?P<setext>^[^\n]*\w[^\n]*\n(?:={3,}|-{3,})[ \t]*$)|(?P<table>^\|?[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$(?:\n[^\n]*\|[^\n]*)*)|(?P<quote>^ {0,3}>(?:[ \t][^\n]*|$)(?:\n>[^\n]*)*)|(?P<list>(?:^[ \t]*(?:[-*+])[ \t]+\S[^\n]*(?:\n|\Z))+)|(?P<ordered>(?:^[ \t]*\d{1,3}[.)][ \t]+\S[^\n]*(?:\n|\Z)){2,})|(?P<rule>^(?:-{3,}|\*{3,}|_{3,}|(?:\* ){2,}\*)[ \t]*$)|(?P<linkdef>^ {0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*)"
-    r"|(?P<image>!\[[^\]\n]*\]\([^)\n]*\))|(?P<link>\[[^\]\n]+\]\([^)\s]+[^)\n]*\)|\[[^\]\n]+\]\[[^\]\n]*\](?!\]))|(?P<auto><https?://[^>\s]+>)|(?P<code>(?<!`)`(?!`)[^`\n]+`(?!`)|``(?!`)(?:(?!'')[^`\n])*``(?!`))|(?P<bold>\*\*(?=[^\s*])(?:[^*\n]|\n(?!\n)|(?<=\s)\*(?=\s))*?(?<=[^\s*])\*\*(?!\*))|(?P<bold2>(?<![\w_])__(?=[^\s_])(?![A-Z]{3,}__)[^\n]*?(?<=[^\s_])__(?![\w_]))|(?P<strike>~~(?=[^\s~])(?:[^~\n]|\n(?!\n))*?(?<=[^\s~])~~(?!~))|(?P<em>(?<![\w*\\])\*(?=[^\s*])(?:[^*\n]|\n(?!\n))*?(?<=[^\s*])\*(?![\w*]))|(?P<em2>(?<![\w_\\])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_]))",
+    r"^(?:(?P<fence>(?P<f>```+|~~~+)[^\n`]*\n.*?(?:^(?P=f)[ \t]*$|\Z))|(?P<atx> {0,3}#{1,6}[ \t]+[^\n]+)|(?P<setext>(?=[^\n]*\w)[^\n]++\n(?:={3,}|-{3,})[ \t]*$)|(?P<table>(?=[^\n]*\|)[^\n]++\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$(?:\n[^\n]*\|[^\n]*)*)|(?P<quote> {0,3}>(?:[ \t][^\n]*|$)(?:\n>[^\n]*)*)|(?P<list>(?:^[ \t]*(?:[-*+])[ \t]+\S[^\n]*(?:\n|\Z))+)|(?P<ordered>(?:^[ \t]*\d{1,3}[.)][ \t]+\S[^\n]*(?:\n|\Z)){2,})|(?P<rule>(?:-{3,}|\*{3,}|_{3,}|(?:\* ){2,}\*)[ \t]*$)|(?P<linkdef> {0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*))"
+    r"|(?=[!\[<`*_~])(?:(?P<image>!\[[^\]\n]*\]\([^)\n]*\))|(?P<link>\[[^\]\n]+\]\([^)\s]+[^)\n]*\)|\[[^\]\n]+\]\[[^\]\n]*\](?!\]))|(?P<auto><https?://[^>\s]+>)|(?P<code>(?<!`)`(?!`)[^`\n]+`(?!`)|``(?!`)(?:(?!'')[^`\n])*``(?!`))|(?P<bold>\*\*(?=[^\s*])(?:[^*\n]|\n(?!\n)|(?<=\s)\*(?=\s))*?(?<=[^\s*])\*\*(?!\*))|(?P<bold2>(?<![\w_])__(?=[^\s_])(?![A-Z]{3,}__)[^\n]*?(?<=[^\s_])__(?![\w_]))|(?P<strike>~~(?=[^\s~])(?:[^~\n]|\n(?!\n))*?(?<=[^\s~])~~(?!~))|(?P<em>(?<![\w*\\])\*(?=[^\s*])(?:[^*\n]|\n(?!\n))*?(?<=[^\s*])\*(?![\w*]))|(?P<em2>(?<![\w_\\])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])))",
     re.S | re.M,
 )
 P_WIKI = re.compile(
