@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sumac.llm.once import once
 from sumac.llm.sentences import ABBREVIATIONS, MATH, spans
 
 #: Defect types in order of precedence.
@@ -233,7 +234,7 @@ def defects(question: str | None, response: str | None) -> list[str]:
 
 def broken_pairs(pairs: DataFrame, key: str = "gen_id", question: str = "question", response: str = "response") -> DataFrame:
     """key, defect_type, precedence: one row per record and triggered type; precedence 1 is the record's defect."""
-    one = pairs.select(F.col(key).alias("_key"), F.col(question).alias("_q"), F.col(response).alias("_r")).filter("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct("_r", "_q")).alias("p")).select("_key", F.col("p._q").alias("_q"), F.col("p._r").alias("_r"))
+    one = once(pairs.select(F.col(key).alias("_key"), F.col(response).alias("_r"), F.col(question).alias("_q")), "_key")
     text = lambda t: t if isinstance(t, str) else None
 
     @F.pandas_udf("array<string>")
