@@ -283,7 +283,7 @@ def markup_of(texts: DataFrame, text: str = "text") -> DataFrame:
     def both(ts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([residue(t if isinstance(t, str) else None) for t in ts], columns=["markup_kinds", "clean_text"], dtype=object)
 
-    made = both(F.col(text))
+    made = both.asNondeterministic()(F.col(text))  # else a filter inferred for a later explode runs it again
     return texts.select("*", made.alias("_m")).select("*", "_m.markup_kinds", "_m.clean_text").drop("_m")
 
 

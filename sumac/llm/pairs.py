@@ -241,7 +241,7 @@ def broken_pairs(pairs: DataFrame, key: str = "gen_id", question: str = "questio
     def find(q: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([defects(text(a), text(b)) for a, b in zip(q, r, strict=True)], index=q.index, dtype=object)
 
-    return one.select(F.col("_key").alias(key), F.posexplode(find("_q", "_r")).alias("pos", "defect_type")).select(key, "defect_type", (F.col("pos") + 1).alias("precedence"))
+    return one.select(F.col("_key").alias(key), F.posexplode(find.asNondeterministic()("_q", "_r")).alias("pos", "defect_type")).select(key, "defect_type", (F.col("pos") + 1).alias("precedence"))
 
 
 def defect_report(found: DataFrame, pairs: DataFrame, key: str = "gen_id", by: str = "config_name") -> DataFrame:
