@@ -168,7 +168,7 @@ def n10_run_contexts(spark, d):
     return c.select("qid", F.md5(F.array_join("contexts", "|")).alias("contexts_md5"), F.size("contexts").cast("bigint").alias("n"))
 
 
-@query()
+@query(f"WITH {_GEN} SELECT gen_id, length(coalesce(prompt, '')) || ' characters' AS response FROM g")
 def n11_generation_hook(spark, d):
     """A deterministic stand-in for the generator, called in batches on the executors."""
     g = R.generate(gens(spark, d).select("gen_id", "prompt"), lambda ps: [f"{len(p or '')} characters" for p in ps])
