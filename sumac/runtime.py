@@ -27,7 +27,9 @@ def session(app: str = "sumac", cores: str = "*") -> SparkSession:
 
 def guarded(spark: SparkSession) -> SparkSession:
     """Turn off the partitioning that Spark 4.1 claims for unions: with adaptive plans it joins rows of a union
-    more than once (m6_rerank gave 20,500 rows for 12,500). The setting costs at most an exchange after a union."""
+    more than once (m6_rerank gave 20,500 rows for 12,500). The setting costs at most an exchange after a union.
+    Times are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     except Exception:  # a Spark without the setting has not got the fault
