@@ -1,20 +1,25 @@
 """Sentence units of every document, across languages and scripts.
 
 Blocks are cut at blank lines. Formulas, file names and numbers are opaque. Spaced scripts: every run of
-closing marks is a node of a terminator lattice, whose arcs are possible units; a node's cost comes from
-the word before it (abbreviation, initial, ordinal, numbering), the quotation or bracket it stands in and
-the opening after it; the cheapest path through the lattice gives the units. Spaceless scripts: the text
+closing marks outside a number, name or quotation that goes on is a node of a terminator lattice, whose arcs are possible units.
+The odds that a unit ends at a mark come from the word before it (abbreviation, initial, ordinal, numbering), a
+quotation or bracket closing there, the opening after it and the style of the unit, so they depend on where the arc
+starts. An arc costs the logarithm of the odds against going on at each mark within it and against ending at its
+last; a unit that opens with a closing mark, or in lower case between units that do not, costs more. The cheapest
+path through the lattice of a block gives its units. Starts that no later mark can tell apart are held as one, the
+cheaper, so the search is exact and few starts are open at a time. Spaceless scripts: the text
 around a gap or a closing quotation is segmented by a word lattice over a dictionary, and the gap is
 classified by the particle that ends the left side and the word that opens the right one. A gap between
 two Thai characters closes a unit unless the right side is the repetition mark, which belongs to the left.
 
 Defined cases: null, empty and blank texts give no units; repeated rows of a document count once (the
 first text in order); units cover all that is not white space; offsets are code points, end exclusive.
-Each document is read whole by one call; its cost is linear in its length.
+Each document is read whole by one call.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -113,28 +118,30 @@ def quoted(text: str) -> list[int]:
     return inside
 
 
-def _ends(text: str, shown: str, a: int, b: int, close: int, unit_start: int, inside: list[int]) -> float:
-    """Cost of going on past the mark text[a:b], closed up to `close`, less that of ending there: above 0 it ends."""
-    mark, rest = text[a:b], text[close:]
-    nxt = rest.lstrip()
-    if not nxt:
-        return 9
-    gap = len(rest) > len(nxt)
+#: Cost of a unit that opens with a closing mark, and of one in lower case between units that are not.
+ORPHAN_MARK, MIXED_STYLE = 6.0, 3.0
+#: Cost of a decision against odds of exp(score), for the scores of _ends.
+AGAINST = {s: math.log1p(math.exp(s)) for s in range(-9, 10)}
+NOT_BLANK = re.compile(r"\S")
+NEXT_WORD = re.compile(rf"[{re.escape(OPENING)}]*([^\W\d_]+)")
+#: Characters before a mark that hold the words which _ends reads.
+NEAR = 400
+
+
+def _ends(text: str, shown: str, a: int, b: int, close: int, after: int, unit_start: int, lower_style: bool, upper_style: bool) -> int:
+    """Logarithm of the odds that the unit from unit_start ends at the mark text[a:b], closed up to `close`; the text goes on at `after`."""
+    mark, nxt = text[a:b], text[after : after + LONGEST]
+    gap = after > close
     wide = any(m in "。！？｡" for m in mark) or (bool(WIDE.match(text[a - 1 : a])) and mark[0] != ".")
     closed = text[b:close].strip()
-    if inside[a] >= close:  # the quotation goes on
-        return -9
-    word = re.match(r"[^\W\d_]+", nxt.lstrip(OPENING))
-    lower_next = bool(word) and word[0][0].islower()
-    first = re.search(r"[^\W\d_]", shown[unit_start:a])
-    lower_style = bool(first) and first[0].islower() and first.start() <= 1
-    body = shown[unit_start:a]
-    upper_style = not lower_style and body.isupper() and sum(map(str.isupper, body)) > 3
-    goes_on = bool(word) and word[0].lower() in GOES_ON and (upper_style or not word[0][0].isupper())
-    caseless_next = bool(word) and word[0][0].lower() == word[0][0].upper()
+    word = NEXT_WORD.match(text, after)
+    word = word[1] if word else ""
+    lower_next = word[:1].islower()
+    goes_on = bool(word) and word.lower() in GOES_ON and (upper_style or not word[0].isupper())
+    caseless_next = bool(word) and word[0].lower() == word[0].upper()
     ellipsis = "…" in mark or ".." in mark
     if ellipsis:
-        return 3 if word and word[0][0].isupper() and gap and not upper_style else -3
+        return 3 if word[:1].isupper() and gap and not upper_style else -3
     if any(q in closed for q in '"”’»“」』'):
         if wide or bool(WIDE.match(nxt)):
             return -3 if set(lattice(nxt[:LONGEST])[:1]) & FOLLOWERS or not (set(lattice(nxt[:LONGEST])[:1]) & OPENERS) else 3
@@ -193,22 +200,47 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+class _Start:
+    """A unit that begins at a node of the lattice, as far as it has been read."""
+
+    __slots__ = ("at", "cost", "node", "lower", "mixed", "has_lower", "uppers", "words")
+
+    def __init__(self, shown: str, at: int, cost: float, node: int, mixed: bool):
+        self.at, self.cost, self.node, self.mixed = at, cost, node, mixed
+        letter = re.search(r"[^\W\d_]", shown[at : at + 2])
+        self.lower = bool(letter) and letter[0].islower()
+        self.has_lower, self.uppers, self.words = self.lower, 0, -2  # its first piece begins with the mark before it
+
+    def read(self, piece: str, upper: bool, words: int) -> None:
+        self.words += words
+        if not self.has_lower:
+            self.has_lower = not upper
+            if upper and self.uppers < 4:
+                self.uppers = min(4, self.uppers + sum(map(str.isupper, piece)))
+
+    def state(self) -> tuple:
+        """What later marks depend on, once three words have been read."""
+        return self.lower, self.mixed, self.has_lower, 0 if self.has_lower else self.uppers, self.at if self.words < 3 else -1
+
+
 def block_spans(whole: str, lo: int, hi: int) -> list[tuple[int, int]]:
     text = whole[lo:hi]
     shown = MATH.sub(lambda m: "\ue000" * len(m[0]), text)
     inside = quoted(shown)
-    nodes: list[tuple[int, float, int]] = []  # end, first mark, start of the mark
-    cuts, start = [], 0
+    begin = NOT_BLANK.search(shown)
+    if not begin:
+        return []
+    nodes = [(0, -1)]  # end of a unit, node at its start
+    live, read = [_Start(shown, begin.start(), 0.0, 0, False)], begin.start()
     marks = [(m.start(), m.end(), False) for m in MARKS.finditer(shown)]
     if re.search(r"[฀-๿]", shown):
         marks += [(m.start(), m.end(), True) for m in THAI_GAP.finditer(shown)]
     for a, b, thai in sorted(marks):
-        if a < start:
-            continue
         if thai:
             if inside[a] < 0 and gap_closes(shown[max(0, a - 40) : a], shown[b : b + 40]):
-                cuts.append(a)
-                start = b
+                best = min(live, key=lambda s: s.cost)
+                nodes.append((a, best.node))
+                live, read = [_Start(shown, b, best.cost, len(nodes) - 1, False)], b
             continue
         close = b
         while True:
@@ -221,12 +253,45 @@ def block_spans(whole: str, lo: int, hi: int) -> list[tuple[int, int]]:
                 close = k + 1
             else:
                 break
-        first = start + len(shown[start:]) - len(shown[start:].lstrip())
-        cost = _ends(text, shown, a, b, close, first, inside)
-        nodes.append((close, cost, a))
-        if cost > 0:
-            cuts.append(close)
-            start = close
+        after = NOT_BLANK.search(text, close)
+        if not after:
+            break
+        after = after.start()
+        if inside[a] >= close or (after == b and text[a:b] == "."):  # the quotation goes on, or a number or a name
+            continue
+        piece = shown[read:a]
+        upper, words, read = ("A" + piece).isupper(), max(0, len(piece.split()) - 1), a
+        word = NEXT_WORD.match(text, after)
+        upper_next, lower_next = bool(word) and word[1][0].isupper(), bool(word) and word[1][0].islower()
+        orphan = ORPHAN_MARK if MARKS.match(shown, after) else 0.0
+        scores: dict[tuple, int] = {}
+        ends: dict[bool, tuple[float, int]] = {}  # the cheapest units that end here, by whether the next is of another style
+        for s in live:
+            s.read(piece, upper, words)
+            upper_style = not s.lower and not s.has_lower and s.uppers > 3
+            key = (s.lower, upper_style, s.at if s.words < 3 else -1)
+            score = scores.get(key)
+            if score is None:
+                near = s.at if a - s.at <= NEAR or len(shown[a - NEAR : a].split()) < 5 else a - NEAR
+                score = scores[key] = _ends(text, shown, a, b, close, after, near, s.lower, upper_style)
+            cost = s.cost + AGAINST[-score] + orphan + (MIXED_STYLE if s.mixed and upper_next else 0.0)
+            mixed = lower_next and not s.lower
+            if mixed not in ends or cost < ends[mixed][0]:
+                ends[mixed] = (cost, s.node)
+            s.cost += AGAINST[score]
+        kept: dict[tuple, _Start] = {}
+        for s in live:
+            if (k := s.state()) not in kept or s.cost < kept[k].cost:
+                kept[k] = s
+        live = list(kept.values())
+        for mixed, (cost, node) in ends.items():
+            nodes.append((close, node))
+            live.append(_Start(shown, after, cost, len(nodes) - 1, mixed))
+    cuts, node = [], min(live, key=lambda s: s.cost).node
+    while node:
+        cuts.append(nodes[node][0])
+        node = nodes[node][1]
+    cuts.reverse()
     out, at = [], 0
     for c in [*cuts, len(text)]:
         piece = text[at:c]

@@ -1,7 +1,10 @@
 """Sentence units by script."""
 
+import random
+
 import pytest
 
+from sumac.llm import sentences
 from sumac.llm.sentences import gap_closes, lattice, sentence_units, spans
 
 CASES = [
@@ -49,3 +52,18 @@ def test_frames(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, unit_no int")
     n = {r.doc_id: r["count"] for r in sentence_units(d).groupBy("doc_id").count().collect()}
     assert n == {1: 2, 4: 20_000} and sentence_units(d.limit(0)).count() == 0
+
+
+def test_later_marks_revise_an_early_cut():
+    for units in (["It holds for approxx. the ring is closed.", "Then it is so."], ["it holds for approxx.", "the ring is closed.", "then it is so."], ["What ? !", "Yes."]):
+        text = " ".join(units)
+        assert [text[a:b] for a, b in spans(text)] == units
+
+
+def test_starts_held_as_one_lose_no_path(monkeypatch):
+    r = random.Random(1)
+    parts = ["The", "ring", "approxx.", "etc.", "e.g.", "usw.", "N.", "x.", "12.", "am", "RING", "CLOSED.", "is?", "!", "so.", '"Is it?"', "(so.)", "Then", "...", "$x$."]
+    texts = [" ".join(r.choices(parts, k=r.randint(3, 25))) for _ in range(300)]
+    found = [spans(t) for t in texts]
+    monkeypatch.setattr(sentences._Start, "state", lambda self: (id(self),))
+    assert [spans(t) for t in texts] == found
