@@ -258,30 +258,37 @@ class Join:
         equal = dup.select("table_name", F.col("id").alias("id_a"), "sig").join(dup.select(F.col("id").alias("id_b"), "sig"), "sig").filter("id_a < id_b").select("table_name", "id_a", "id_b")
         return linked.unionByName(equal)
 
-    def groups(self, rounds: int = 100) -> DataFrame:
+    def groups(self) -> DataFrame:
         """table_name, id, class_id, n_links, group_id: class of equal texts, its links to other classes, least id of all it is linked to in any number of steps."""
         least = self.members.groupBy("sig").agg(F.min("id").alias("class_id"))
         degree = self.links.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
         ends = self.links.join(least.select(F.col("sig").alias("sig_a"), F.col("class_id").alias("a")), "sig_a").join(least.select(F.col("sig").alias("sig_b"), F.col("class_id").alias("b")), "sig_b")
         ends = ends.join(self.members.groupBy("sig").agg(F.min("table_name").alias("table_name")).select(F.col("sig").alias("sig_a"), "table_name"), "sig_a")
-        label = components(ends.select("table_name", "a", "b"), rounds)
+        label = components(ends.select("table_name", "a", "b"))
         out = self.members.join(least, "sig").join(degree, "sig", "left").join(label.select("table_name", F.col("node").alias("class_id"), "group_id"), ["table_name", "class_id"], "left")
         return out.select("table_name", "id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """table_name, node, group_id of an undirected graph (table_name, a, b): least label over neighbours, then labels of labels, until nothing changes."""
-    both = cut(edges.select("table_name", F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select("table_name", F.col("b").alias("node"), F.col("a").alias("to"))).distinct())
-    label = cut(both.groupBy("table_name", "node").agg(F.least("node", F.min("to")).alias("group_id")))
-    for _ in range(rounds):
-        near = both.join(label.select("table_name", F.col("node").alias("to"), F.col("group_id").alias("g")), ["table_name", "to"]).groupBy("table_name", "node").agg(F.min("g").alias("g"))
-        new = label.join(near, ["table_name", "node"]).select("table_name", "node", F.least("group_id", "g").alias("new"), "group_id")
-        jump = label.select("table_name", F.col("node").alias("new"), F.col("group_id").alias("up"))
-        new = cut(new.join(jump, ["table_name", "new"], "left").select("table_name", "node", F.least(F.col("new"), F.coalesce("up", "new")).alias("new"), "group_id"))
-        label, done = new.select("table_name", "node", F.col("new").alias("group_id")), new.filter("new <> group_id").isEmpty()
-        if done:
+def components(edges: DataFrame) -> DataFrame:
+    """table_name, node, group_id of an undirected graph (table_name, a, b), group_id being the least node of the component.
+
+    Large stars and small stars in turn: each node's greater neighbours, then its lesser ones, are tied to the least node
+    among it and its neighbours, until all edges lead to roots. A chain is halved about every round, and edges never grow
+    in number."""
+    t = F.col("table_name")
+    edge = lambda df, u, v: df.select(t, F.col(u).alias("u"), F.col(v).alias("v"))
+    nodes = edges.select(t, F.explode(F.array("a", "b")).alias("node")).distinct()
+    e = cut(edges.filter("a <> b").select(t, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        ends = e.select(t, F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+        if ends.groupBy(t, "x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
-    return label
+        both = edge(e, "u", "v").unionByName(edge(e, "v", "u"))
+        least = both.groupBy(t, "u").agg(F.least("u", F.min("v")).alias("m"))
+        large = cut(edge(both.filter("v > u").join(least, ["table_name", "u"]), "v", "m").distinct())
+        least = large.groupBy(t, "u").agg(F.min("v").alias("m"))
+        e = cut(edge(large.join(least, ["table_name", "u"]).filter("v <> m"), "v", "m").unionByName(edge(least, "u", "m")).distinct())
+    return nodes.join(e.select(t, F.col("u").alias("node"), F.col("v").alias("group_id")), ["table_name", "node"], "left").select(t, "node", F.coalesce("group_id", "node").alias("group_id"))
 
 
 def bodies(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -73,3 +73,11 @@ def test_components(spark):
     e = [("t", f"{k:03}", f"{k + 1:03}") for k in range(60)] + [("t", "a", "b"), ("u", "000", "001")]
     got = {(r.table_name, r.node): r.group_id for r in neardup.components(spark.createDataFrame(e, "table_name string, a string, b string")).collect()}
     assert got["t", "060"] == "000" and got["t", "b"] == "a" and got["u", "001"] == "000"
+
+
+def test_long_chains_are_one_component(spark):
+    ids = [f"{k:04}" for k in range(1500)]
+    random.Random(5).shuffle(ids)
+    e = [("t", a, b) for a, b in zip(ids, ids[1:])] + [("u", a, b) for a, b in zip(ids[:400], ids[1:400])] + [("u", "z", "z")]
+    got = [tuple(r) for r in neardup.components(spark.createDataFrame(e, "table_name string, a string, b string")).collect()]
+    assert sorted(got) == sorted([("t", k, "0000") for k in ids] + [("u", k, min(ids[:400])) for k in ids[:400]] + [("u", "z", "z")])
