@@ -48,7 +48,7 @@ P_MD = re.compile(
     re.S | re.M,
 )
 P_WIKI = re.compile(
-    r"(?P<table>^[ \t]*\{\|.*?^[ \t]*\|\}|\{\|[^\n]*\n.*?\n\|\})|(?P<heading>^={1,6}[ \t]*[^\s=][^=\n]*?[ \t]*={1,6}[ \t]*$)|(?P<template>\{\{(?![{\s])[^{}\n]*(?:\n[^{}\n]*)*\}\})|(?P<file>\[\[(?:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|Archivo|Categoría)\s*:[^\]\n]*\]\])|(?P<link>\[\[[^\[\]\n]+\]\])|(?P<ext>\[https?://[^\s\]]+(?:\s[^\]\n]*)?\])|(?P<switch>__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOINDEX|INDEX|HIDDENCAT)__)|(?P<ref><ref\b[^>]*>.*?</ref>|<ref\b[^>]*/>|</?(?:nowiki|references|gallery|math|syntaxhighlight)\b[^>]*>)|(?P<bold>(?<![\w'])'''(?:'')?(?=[^\s'])[^\n]*?(?<=[^\s'])'''(?:'')?(?![\w']))|(?P<em>(?<![\w'`)\]])''(?=[^\s'(])(?:(?!'')[^\n])*?(?<=[^\s'(])''(?![\w']))|(?P<list>(?:^(?:\*+|#+|[:;]+)[ \t]*[^\s*#][^\n]*(?:\n|\Z))+)",
+    r"(?P<table>^[ \t]*\{\|.*?^[ \t]*\|\}|\{\|[^\n]*\n.*?\n\|\})|(?P<heading>^={1,6}[ \t]*[^\s=][^=\n]*?[ \t]*={1,6}[ \t]*$)|(?P<template>\{\{(?![{\s])[^{}\n]*(?:\n[^{}\n]*)*\}\})|(?P<file>\[\[(?:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|Archivo|Categoría)\s*:[^\]\n]*\]\])|(?P<link>\[\[[^\[\]\n]+\]\])|(?P<ext>\[https?://[^\s\]]+(?:\s[^\]\n]*)?\])|(?P<switch>__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOINDEX|INDEX|HIDDENCAT)__)|(?P<ref><ref\b[^>]*>.*?</ref>|<ref\b[^>]*/>|</?(?:nowiki|references|gallery|math|syntaxhighlight)\b[^>]*>)|(?P<bold>(?<![\w'])'''(?:'')?(?=[^\s'])[^\n]*?(?<=[^\s'])'''(?:'')?(?![\w']))|(?P<em>(?<![\w'`)\]])''(?=[^\s'(])(?:(?!'')[^\n])*?(?<=[^\s'(])''(?![\w']))",
     re.S | re.M,
 )
 P_LATEX = re.compile(
@@ -62,6 +62,13 @@ MAY_WIKI = re.compile(r"\[\[|\{\{|\{\||(?<![\w'])''|^=|__[A-Z]|\[http|<(?:ref|no
 MAY_LATEX = re.compile(r"\\[A-Za-z\\%&#_]|``|\n%")
 
 
+#: Markdown blocks whose text is open to further constructs, and the text of one of their lines.
+OPEN = frozenset(("quote", "list", "ordered", "atx"))
+LINE = re.compile(r"^[ \t]*(?:[-+*]|\d{1,3}[.)]|#{1,6}|>)?[ \t]*([^\n]+)", re.M)
+#: Constructs that stand on lines of their own.
+ON_LINES = frozenset(("fence", "setext", "table", "rule", "linkdef", "heading", "verb", "env"))
+
+
 class Construct:
     __slots__ = ("start", "end", "kind", "what", "m")
 
@@ -76,9 +83,13 @@ def constructs(text: str) -> tuple[list[Construct], str]:
     if MAY_HTML.search(shown):
         found += [Construct("html", next(k for k in ("comment", "pre", "code", "raw", "tag", "entity", "doctype") if m.group(k) is not None), m) for m in P_HTML.finditer(shown)]
     if MAY_MD.search(shown):
-        found += [Construct("markdown", "fence" if m["fence"] is not None else m.lastgroup, m) for m in P_MD.finditer(shown)]
+        for m in P_MD.finditer(shown):
+            found.append(Construct("markdown", "fence" if m["fence"] is not None else m.lastgroup, m))
+            if m.lastgroup in OPEN:
+                for line in LINE.finditer(shown, m.start(), m.end()):
+                    found += [Construct("markdown", x.lastgroup, x) for x in P_MD.finditer(shown, line.start(1), line.end())]
     if MAY_WIKI.search(shown):
-        found += [Construct("wiki", m.lastgroup, m) for m in P_WIKI.finditer(shown) if m.lastgroup != "list"]
+        found += [Construct("wiki", m.lastgroup, m) for m in P_WIKI.finditer(shown)]
     if MAY_LATEX.search(shown):
         found += [Construct("latex", next(k for k in ("verb", "env", "arg", "bare", "group", "quote", "br", "comment", "esc", "other") if m.group(k) is not None), m) for m in P_LATEX.finditer(shown)]
     found.sort(key=lambda c: (c.start, -c.end))
@@ -88,12 +99,14 @@ def constructs(text: str) -> tuple[list[Construct], str]:
         if c.start >= end:
             out.append(c)
             end = c.end
-            if (c.kind, c.what) in (("markdown", "quote"), ("markdown", "list"), ("markdown", "ordered"), ("markdown", "atx")):
+            if c.what in OPEN and c.kind != "latex":
                 end = c.start + 1  # their text is open to further constructs
     for k, c in enumerate(out):
-        if c.kind == "markdown" and c.what == "list" and c.m[0].lstrip()[:1] == "*" and c.start and not shown[: c.start].endswith("\n\n"):
+        if c.kind == "markdown" and c.what == "list" and c.m[0].lstrip()[:1] == "*":
             decided = [(abs(o.start - c.start), n, o.kind) for n, o in enumerate(out) if n != k and o.kind in ("markdown", "wiki") and o.what != "list"]
-            c.kind = min(decided)[2] if decided else "markdown"
+            inside = [x for x in decided if c.start < out[x[1]].start < c.end]
+            if inside or (decided and c.start and not shown[: c.start].endswith("\n\n")):
+                c.kind = min(inside or decided)[2]
     return out, shown
 
 
@@ -101,6 +114,17 @@ def markup_kinds(text: str | None) -> list[str]:
     return residue(text)[0]
 
 
+def _plain(text: str) -> str:
+    """The text a construct keeps, without the constructs inside it."""
+    out, at = [], 0
+    for c in constructs(text)[0]:
+        if (c.what in OPEN and c.kind != "latex") or c.what in ON_LINES or c.start < at:
+            continue
+        out += [text[at : c.start], _inner(c, text)]
+        at = c.end
+    return "".join([*out, text[at:]])
+
+
 def _inner(c: Construct, text: str) -> str:
     """What a construct leaves in the clean text; blocks are set apart by form feeds and a letter for their type."""
     raw, m, w = text[c.start : c.end], c.m, c.what
@@ -133,47 +157,47 @@ def _inner(c: Construct, text: str) -> str:
         if w == "env" or w in ("comment",):
             return "\f\n"
         if w == "arg":
-            inner, cmd = text[m.start("inner") : m.end("inner")], m["cmd"]
+            inner, cmd = _plain(text[m.start("inner") : m.end("inner")]), m["cmd"]
             if cmd in ("chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph", "title"):
                 return block("H", inner)
             return f" ({inner})" if cmd == "footnote" else inner
         if w == "bare":
             return "\f\n\fL" if m["cmd2"] == "item" else "…" if m["cmd2"] in ("ldots", "dots") else ""
         if w == "group":
-            return re.sub(r"^\{\\[A-Za-z]+\s*|\}$", "", raw)
+            return _plain(re.sub(r"^\{\\[A-Za-z]+\s*|\}$", "", raw))
         if w == "quote":
-            return f"“{raw[2:-2]}”"
+            return f"“{_plain(raw[2:-2])}”"
         if w == "esc":
             return raw[1:]
-        return "\n" if w == "br" else re.sub(r"^\\[A-Za-z]+\*?\{|\}$", "", raw)
+        return "\n" if w == "br" else _plain(re.sub(r"^\\[A-Za-z]+\*?\{|\}$", "", raw))
     if c.kind == "wiki":
         if w == "table":
-            rows = [re.sub(r"\s*(?:\|\||!!)\s*", " | ", x.strip().lstrip("|!").strip()) for x in raw.split("\n")[1:-1] if not x.strip().startswith("|-")]
+            rows = [re.sub(r"\s*(?:\|\||!!)\s*", " | ", _plain(x.strip().lstrip("|!").strip())) for x in raw.split("\n")[1:-1] if not x.strip().startswith("|-")]
             return block("T", "\n".join(rows))
         if w == "heading":
-            return block("H", raw.strip().strip("=").strip())
+            return block("H", _plain(raw.strip().strip("=").strip()))
         if w == "template":
             parts = raw[2:-2].split("|")
             return parts[-1] if parts[0].strip() in ("math", "mvar", "lang", "nowrap") and len(parts) > 1 else ""
         if w in ("link", "ext"):
-            return "\x0e" + (raw[2:-2].split("|")[-1] if w == "link" else raw[1:-1].partition(" ")[2]) + "\x0f"
+            return "\x0e" + _plain(raw[2:-2].split("|")[-1] if w == "link" else raw[1:-1].partition(" ")[2]) + "\x0f"
         if w in ("bold", "em"):
-            return raw.strip("'")
+            return _plain(raw.strip("'"))
         return ""
     if w == "fence":
         return block("C", "\n".join(x for k, x in enumerate(raw.rstrip().split("\n")) if k and not re.fullmatch(r"\s*(?:```+|~~~+)\s*", x)))
     if w == "setext":
-        return block("H", raw.split("\n")[0])
+        return block("H", _plain(raw.split("\n")[0]))
     if w == "table":
-        rows = [x.strip().strip("|").strip() for x in raw.split("\n")]
+        rows = [_plain(x.strip().strip("|").strip()) for x in raw.split("\n")]
         return block("T", "\n".join(re.sub(r"\s*\|\s*", " | ", x) for k, x in enumerate(rows) if k != 1))
     if w in ("image", "rule", "linkdef"):
         return block("P", "\x0e" + raw + "\x0f") if w == "linkdef" else ""
     if w == "link":
-        return "\x0e" + re.match(r"\[([^\]]*)\]", raw)[1] + "\x0f"
+        return "\x0e" + _plain(re.match(r"\[([^\]]*)\]", raw)[1]) + "\x0f"
     if w == "code":
         return raw.strip("`")
-    return raw.strip("*_~") if w in ("bold", "bold2", "strike", "em", "em2") else raw
+    return _plain(raw.strip("*_~")) if w in ("bold", "bold2", "strike", "em", "em2") else raw
 
 
 def blocks(text: str, cs: list[Construct] | None = None) -> list[dict]:
@@ -182,7 +206,7 @@ def blocks(text: str, cs: list[Construct] | None = None) -> list[dict]:
     cs = constructs(text)[0] if cs is None else cs
     out, at = [], 0
     for c in cs:
-        if (c.kind, c.what) in (("markdown", "quote"), ("markdown", "list"), ("markdown", "ordered"), ("markdown", "atx")) or c.start < at:
+        if (c.what in OPEN and c.kind != "latex") or c.start < at:
             continue
         out += [text[at : c.start], _inner(c, text)]
         at = c.end

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sumac.llm.markup import blocks, classify, clean_text, fields_of, kinds_of, markup_kinds, markup_of
+from sumac.llm.markup import blocks, classify, clean_text, fields_of, kinds_of, markup_kinds, markup_of, residue
 
 PLAIN = [
     "The product 2 * 426 * 419 and a < b and c > d in plain text.",
@@ -69,3 +69,12 @@ def test_frames(spark):
     got = {tuple(r) for r in kinds_of(fields_of(j, a)).distinct().collect()}
     assert got == {("judge_pairs", "A.1", "1", "question", "markdown"), ("answers", "", "2", "body_text", "html")}
     assert markup_of(fields_of(j, a.limit(0)).limit(0)).count() == 0
+
+
+def test_markup_inside_lines_and_kept_constructs():
+    assert residue(": see [[Foo]]") == (["wiki"], ": see Foo")
+    assert residue("We use\n* a [[Ring]] and so on\n* the ideal") == (["wiki"], "We use\n\n- a Ring and so on\n- the ideal")
+    assert residue("- it is **b** and `c`\n- d") == (["markdown"], "- it is b and c\n- d")
+    assert residue("> say *so* now")[1] == "say so now" and residue("# A **b** head")[1] == "# A b head"
+    assert residue("\\section{\\emph{x} y}")[1] == "# x y" and residue("{|\n| [[A|b]] || '''c'''\n|}")[1] == "b | c"
+    assert residue("It is ``so it is'' in the ring.")[1] == "It is “so it is” in the ring."
