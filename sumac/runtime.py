@@ -44,10 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary folder and a cluster an error, since a folder of one machine is lost to the others."""
     sc = guarded(spark).sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="sumac-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -65,8 +68,10 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows, found without reading more than that many from any partition."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether df has at most max_rows rows: a count in all partitions at once, of which only numbers travel.
+
+    Frames asked for are narrow keys, cheap to make again, or kept."""
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
