@@ -1,11 +1,12 @@
 """Sentence units by script."""
 
 import random
+import time
 
 import pytest
 
 from sumac.llm import sentences
-from sumac.llm.sentences import gap_closes, lattice, sentence_units, spans
+from sumac.llm.sentences import THAI_PRIOR, WIDE_PRIOR, gap_score, lattice, sentence_units, spans
 
 CASES = [
     ["It is so.", "Is it?", "Yes!"],
@@ -37,10 +38,40 @@ def test_spaceless_scripts():
     assert [text[a:b] for a, b in spans(text)] == units
     thai = "ถ้า $x$ แล้วริงจะกระทำ เส้นโค้งนั้นชัดแจ้งจริงหรือไม่\nเราจะแสดงว่า"
     assert [thai[a:b] for a, b in spans(thai)] == ["ถ้า $x$ แล้วริงจะกระทำ", "เส้นโค้งนั้นชัดแจ้งจริงหรือไม่", "เราจะแสดงว่า"]
-    assert not gap_closes("ต่าง", "ๆ") and gap_closes("หรือไม่", "ถ้า") and not gap_closes("ก", "ข", False)
+    assert gap_score("ต่าง", "ๆ", THAI_PRIOR) < 0 < gap_score("หรือไม่", "ถ้า", WIDE_PRIOR) and gap_score("ก", "ข", WIDE_PRIOR) < 0 < gap_score("ก", "ข", THAI_PRIOR)
     assert "".join(lattice("以上より環は閉である")) == "以上より環は閉である" and "以上より" in lattice("以上より環")
 
 
+HELD_OUT = [
+    ["It costs $5.", "He paid $6."], ["Lt. Col. Smith came.", "He left."], ["Gen. Lee won.", "Then he left."], ["See Jan. 5 for it.", "It was in Jan.", "He left."], ["Op. 12 is short.", "Next."],
+    ["Los EE. UU. ganaron.", "Luego."], ["Acme Corp. announced it.", "Good."], ["The answer is no.", "We go on."], ["I like art.", "He does not."], ["Mt. Everest is high.", "So."],
+    ["He lives in the U.S. and works.", "Yes."], ["He (i.e. Bob) left!", "(Really.)", "And then?"], ["The price is $3.50.", "It fell."], ["Is $x$ closed?", "$y$ is."],
+    ["我们去了商店", "他买了苹果"], ["昨日は店に行きました", "彼は林檎を買った"], ["我们 的书"], ["この本は面白い とても"],
+]
+
+
+@pytest.mark.parametrize("units", HELD_OUT)
+def test_wordings_that_are_not_in_the_data(units):
+    text = " ".join(units)
+    assert [text[a:b] for a, b in spans(text)] == units
+
+
+def test_the_word_lattice_decides(monkeypatch):
+    text, quote = "我们去了商店 他买了苹果", "她说：“走吧。我不信。”因此我们没有走。"
+    assert len(spans(text)) == 2 and len(spans("甲乙 丙丁", frozenset({"丙丁"}))) == 1
+    with_lattice = spans(quote)
+    monkeypatch.setattr(sentences, "lattice", lambda text, words=None: list(text))
+    assert len(spans(text)) == 2 and spans(quote) != with_lattice  # 他 is one character, 因此 two
+
+
+@pytest.mark.parametrize("part", ["“", '"a. ', "! ", "!a", " ", "\r", "\\(", "$ a ", "\n", "a", "“a. „b! «c? "])
+def test_a_megabyte_takes_seconds(part):
+    text = part * (1_000_000 // len(part))
+    start = time.process_time()
+    spans(text)
+    assert time.process_time() - start < 12
+
+
 def test_blocks_and_offsets():
     text = "Rigid lattice\n\n  It is\nso.  Then \n \nEnd without mark"
     assert [text[a:b] for a, b in spans(text)] == ["Rigid lattice", "It is\nso.", "Then", "End without mark"]
