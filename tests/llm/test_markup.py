@@ -1,7 +1,10 @@
 """Markup kinds and clean text."""
 
+import time
+
 import pytest
 
+from sumac.llm import markup
 from sumac.llm.markup import blocks, classify, clean_text, fields_of, kinds_of, markup_kinds, markup_of, residue
 
 PLAIN = [
@@ -78,3 +81,43 @@ def test_markup_inside_lines_and_kept_constructs():
     assert residue("> say *so* now")[1] == "say so now" and residue("# A **b** head")[1] == "# A b head"
     assert residue("\\section{\\emph{x} y}")[1] == "# x y" and residue("{|\n| [[A|b]] || '''c'''\n|}")[1] == "b | c"
     assert residue("It is ``so it is'' in the ring.")[1] == "It is “so it is” in the ring."
+
+
+NO_MARKUP = [
+    "We test if a <b and c> d then stop.", "A List<i> holds them.", "It lies in c:\\temp\\item today.", "Costs $5 and $6 in all.", "The product 2 *3* 4 is small.", "Take a_i and b_j, or _i_ alone.", "f'' and g'' are here",
+]
+MARKUP = [
+    ("See \\textcolor{red}{the x} here.", ["latex"], "See the x here."), ("An <blink>old</blink> tag.", ["html"], "An old tag."), ("A <my-tag a='1'>x</my-tag>.", ["html"], "A x."), ("So \\frobnicate it is.", ["latex"], "So it is."),
+    ("Costs $5 <b>bold</b> and $6", ["html"], "Costs $5 bold and $6"), ("A **bold** word and 2 *3* 4.", ["markdown"], "A bold word and 2 3 4."), ("Some <b>x</b> of List<i>.", ["html"], "Some x of List<i>."),
+    ("See '''this''' note:\n* first one\n* second one", ["wiki"], "See this note:\n\n- first one\n- second one"), ("See **this** note:\n* first one\n* second one", ["markdown"], "See this note:\n\n- first one\n- second one"),
+]
+
+
+@pytest.mark.parametrize("text", NO_MARKUP)
+def test_running_text_is_no_markup(text):
+    assert residue(text) == ([], text)
+
+
+@pytest.mark.parametrize(("text", "kinds", "clean"), MARKUP)
+def test_wordings_that_are_not_in_the_data(text, kinds, clean):
+    assert residue(text) == (kinds, clean)
+
+
+def test_short_blocks_inherit_the_nearest_label():
+    nav = "<p><a href='/a'>Home and news of the day</a></p><p>Menu</p><p><a href='/b'>Archive of the last year</a></p>"
+    prose = "<p>It is known that the ring is closed in the field, and so we have that it is one of them for all that we know of it.</p><p>Menu</p>"
+    assert residue(nav)[1] == "" and "Menu" in residue(prose)[1] and residue(prose + nav)[1].count("Menu") == 1
+
+
+def test_kinds_come_from_the_classified_blocks(monkeypatch):
+    text = "See '''this''' note:\n* first one\n* second one"
+    monkeypatch.setattr(markup, "classify", lambda got, cs: [b | {"kinds": set(), "label": "good"} for b in got])
+    assert residue(text)[0] == []
+
+
+@pytest.mark.parametrize("part", ["* a *b* [[c]]\n", "<!-- ", "<pre> ", "[[a|", "[a](", "__a ", "'''a ", "\\emph{a ", "{{a ", "<a href='", "{|\n", "$a ", "\\( ", "* a\n\nx\n", "~~a ", "``a ", "= a  ", "<ref> ", "| a\n", "<b a=", "<zz ", "\\a"])
+def test_a_megabyte_takes_seconds(part):
+    text = part * (1_000_000 // len(part))
+    start = time.process_time()
+    residue(text)
+    assert time.process_time() - start < 20
