@@ -1,18 +1,21 @@
-"""Near-duplicate records: an exact Jaccard metric-space join and the groups it makes.
+"""Near-duplicate records: an exact Jaccard join over regions, and the groups it makes.
 
 Texts become sets of hashed word runs; equal sets form a class and go on as one. Distance is 1 - Jaccard.
-Voronoi cells around document pivots cannot prune here: a partner within eps of x may lie in any cell
-whose pivot is nearer than d(x, p) + 2 eps, texts lie near distance 1 from all but their near copies, and at
-eps = 0.5 the window 2 eps is the whole space. So the pivots are sets of one run: d(x, {s}) is 1 - 1/|x| if s
-is in x, else 1, ties going to the rarer run. x lies in the region of its rarest run; by the triangle inequality
-a partner y has |x and y| >= t/(1+t) (|x|+|y|), so x is replicated to the regions of its next rarest runs
-as far as that leaves a common one possible, and no farther (the window). Within a region pairs are cut by
-the size, position and symmetric-difference bounds, the last on a 512-bit parity sketch; what is left is
-compared exactly. A region larger than `cap` is divided again into blocks of its members' groups, each pair
+Voronoi regions of document pivots are exact as well, but prune nothing on texts: a partner within eps of x may lie in
+the region of any pivot p with d(x, p) <= d(x, p0) + 2 eps, p0 being the nearest; texts lie near distance 1 from all
+but their near copies, and at eps = 0.5 the window 2 eps is the whole space. `window_copies` measures how many regions
+a document would have to be copied to (figures in the README: all of them). So a region here is the set of texts
+that hold one run, which is what a Voronoi region of the pivot {run} comes to, and the windows are those of a prefix
+filter: x lies in the region of its rarest run; a partner y has |x and y| >= t/(1+t) (|x|+|y|), so x is copied to the
+regions of its next rarest runs as far as that leaves a common one possible, and no farther. Within a region pairs
+are cut by the size, position and symmetric-difference bounds, the last on a parity sketch of BITMAP bits; what is left
+is compared exactly. A region of more than `cap` texts is divided again into blocks of its members' groups, each pair
 of groups a task of its own, so no region is ever held by one task.
 
-The rarity order needs only be the same everywhere: it comes from a count sketch of fixed size over all sets,
-which is all that is broadcast. A sketch count of one proves that a run occurs once; it is not sent.
+The rarity order needs only be the same everywhere: it comes from a count sketch over all sets, of a cell a run up to
+2 ** MAX_BITS cells of a byte. Beyond that cells are shared and rare runs are told apart less well, which costs time
+but loses nothing: at r runs a cell the counts are off by some sqrt(r). Which regions are divided doesn't hang on the sketch
+but on exact counts of the runs that it shows as frequent.
 
 Defined cases: null bodies and bodies with fewer than `min_words` words or runs take no part; of rows
 with the same id the one loaded first counts; ids are compared as strings; ties and equal texts are linked like
@@ -22,7 +25,6 @@ others; empty tables give no rows; a text of any length is one set.
 from __future__ import annotations
 
 import zlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,12 @@ from pyspark.storagelevel import StorageLevel
 from sumac.llm.words import RUN_BITS, hashed_words, mix, shingles
 from sumac.runtime import broadcast_if_small, cut
 
-SKETCH_CHUNKS = 16
+#: Cells of the largest count sketch (16 MB), and of one chunk of it.
+MAX_BITS, CHUNK_BITS = 24, 16
+#: Groups in which partial counts are added before the last sum.
+FAN = 64
+#: Bits of the parity sketch that bounds the symmetric difference of two sets from below.
+BITMAP = 256
 
 
 def shingle_sets(records: DataFrame, n: int = 5, min_words: int = 5) -> DataFrame:
@@ -59,27 +66,43 @@ def shingle_sets(records: DataFrame, n: int = 5, min_words: int = 5) -> DataFram
     return records.select("table_name", F.col("id").cast("string").alias("id"), F.col("loaded_at").cast("timestamp").alias("loaded_at"), "text").filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(make, "table_name string, id string, loaded_at timestamp, sig binary, n int, runs binary")
 
 
+def squeezed(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact up to 128, then eight steps for each doubling; never out of order."""
+    big = np.round(128 + 8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts <= 128, counts, np.minimum(big, 255)).astype(np.uint8)
+
+
 def count_sketch(classes: DataFrame, bits: int) -> np.ndarray:
-    """Counts of all runs of all classes in 2 ** bits cells; never below a run's true count."""
-    size = 1 << bits
+    """Counts of all runs of all classes in 2 ** bits cells, squeezed. Partial counts are added in two steps, so that
+    a task holds one in FAN of the partials of a chunk."""
+    size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
+    packed = lambda c: zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1)
 
     def partial(batches):
-        c = np.zeros(size, np.int64)
+        c = np.zeros(size, np.uint32)
         for x in batches:
             if len(x):
-                c += np.bincount((np.frombuffer(b"".join(x["runs"]), np.uint64) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        if c.any():
-            yield pd.DataFrame([(k, zlib.compress(p.astype(np.int32).tobytes(), 1)) for k, p in enumerate(np.split(c, SKETCH_CHUNKS))], columns=["k", "c"])
+                np.add.at(c, (np.frombuffer(b"".join(x["runs"]), np.uint64) & np.uint64(size - 1)).astype(np.int64), 1)
+        for k in range(size // chunk):
+            part = c[k * chunk : (k + 1) * chunk]
+            if part.any():
+                yield pd.DataFrame({"k": [k], "c": [packed(part)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(np.add, (np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64) for c in pdf["c"]))
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
-
-    # SKETCH_CHUNKS rows of fixed size
-    rows = classes.select("runs").mapInPandas(partial, "k int, c binary").groupBy("k").applyInPandas(add, "k int, c binary").collect()
-    out = np.zeros((SKETCH_CHUNKS, size // SKETCH_CHUNKS), np.int32)
-    for r in rows:
-        out[r.k] = np.frombuffer(zlib.decompress(r.c), np.int32)
+        total = np.zeros(chunk, np.int64)
+        for c in pdf["c"]:
+            total += np.frombuffer(zlib.decompress(c), np.uint32)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [packed(total)]})
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(zlib.decompress(add(pdf)["c"].iloc[0]), np.uint32)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [zlib.compress(squeezed(total).tobytes(), 1)]})
+
+    made = classes.select("runs").mapInPandas(partial, "k int, c binary")
+    some = made.groupBy("k", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("p")).applyInPandas(add, "k int, c binary")
+    out = np.zeros((size // chunk, chunk), np.uint8)
+    for r in some.groupBy("k").applyInPandas(last, "k int, c binary").collect():  # 2 ** bits bytes at most
+        out[r.k] = np.frombuffer(zlib.decompress(r.c), np.uint8)
     return out.ravel()
 
 
@@ -91,32 +114,70 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def place(classes: DataFrame, sketch, bits: int, t: float, buckets: int, cap: int) -> DataFrame:
-    """bucket, docs, entries, marks: for each batch of classes, the regions they fall in, in columns.
+def _ordered(x: pd.DataFrame, counts: np.ndarray, bits: int, t: float, always: bool = True):
+    """Of a batch of classes: sizes, owner, run, rank of the runs in their prefixes, rarest first.
 
-    Regions go to buckets by hash. A run whose sketch count exceeds cap has its region cut into blocks: its members
-    fall into groups by their own hash, and each pair of groups is a block, which both groups are sent to."""
-    mask = np.uint64((1 << bits) - 1)
+    A count of one proves that a run occurs once, so it is not placed. One run more than needed is, for runs of the same rarity."""
+    n = x["n"].to_numpy(np.int64)
+    runs = np.frombuffer(b"".join(x["runs"]), np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    c = counts[(runs & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    rarity = (owner.astype(np.uint64) << np.uint64(50)) | (c.astype(np.uint64) << np.uint64(42)) | (runs >> np.uint64(RUN_BITS - 42))
+    order = np.argsort(rarity)
+    pos = np.arange(len(runs)) - np.repeat(np.cumsum(n) - n, n)
+    c = c[order]
+    keep = (pos <= _prefix(n, t)[owner]) & (c > 1)
+    return n, runs, owner[keep], runs[order[keep]], c[keep], pos[keep]
 
-    def send(batches):
+
+def hot_runs(classes: DataFrame, sketch, bits: int, t: float, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that more than cap classes are placed by, with exact counts; at most placed entries / cap of them.
+
+    Only runs whose cell lies above its like by half of cap are counted, batch by batch before the shuffle."""
+    low = int(squeezed(np.array([cap // 2]))[0])
+
+    def count(batches):
         counts = sketch.value
+        usual = int(np.median(counts[:: max(1, len(counts) >> 20)]))
+        least = max(low, usual + 1)
         for whole in batches:
             for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
-                n = x["n"].to_numpy(np.int64)
+                if not len(x):
+                    continue
                 runs = np.frombuffer(b"".join(x["runs"]), np.uint64)
-                sig = np.frombuffer(b"".join(x["sig"]), np.uint64).reshape(-1, 2)
-                owner = np.repeat(np.arange(len(n)), n)
-                parity = np.bincount(owner * BITMAP + ((runs >> np.uint64(30)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
+                if (counts[(runs & np.uint64((1 << bits) - 1)).astype(np.int64)] >= least).any():
+                    _, _, _, placed, c, _ = _ordered(x, counts, bits, t)
+                    r, k = np.unique(placed[c >= least], return_counts=True)
+                    yield pd.DataFrame({"run": r.astype(np.int64), "k": k.astype(np.int64)})
+
+    rows = classes.select("n", "runs").mapInPandas(count, "run bigint, k bigint").groupBy("run").agg(F.sum("k").alias("k")).filter(F.col("k") > cap).collect()
+    rows.sort(key=lambda r: r.run)
+    return np.array([r.run for r in rows], np.uint64), np.array([r.k for r in rows], np.int64)
+
+
+def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, cap: int) -> DataFrame:
+    """bucket, docs, entries, marks: for each batch of classes, the regions they fall in, in columns.
+
+    Regions go to buckets by hash. A hot run has its region cut into blocks: its members fall into groups by their own
+    hash, and each pair of groups is a block, which both groups are sent to."""
+
+    def send(batches):
+        counts, (hot_run, hot_count) = sketch.value, hot.value
+        for whole in batches:
+            for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
+                if not len(x):
+                    continue
+                n, every, owner, runs, _, pos = _ordered(x, counts, bits, t)
+                all_owner = np.repeat(np.arange(len(n)), n)
+                parity = np.bincount(all_owner * BITMAP + ((every >> np.uint64(30)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
                 bitmap = np.packbits((parity & 1).astype(np.uint8).reshape(len(n), BITMAP), axis=1)
-                c = counts[(runs & mask).astype(np.int64)].astype(np.int64)
-                rarity = (owner.astype(np.uint64) << np.uint64(50)) | (np.minimum(c, 8191).astype(np.uint64) << np.uint64(37)) | (runs >> np.uint64(RUN_BITS - 37))
-                order = np.argsort(rarity)
-                runs, c = runs[order], c[order]
-                pos = np.arange(len(runs)) - np.repeat(np.cumsum(n) - n, n)
-                keep = (pos <= _prefix(n, t)[owner]) & (c > 1)  # one more than needed, for runs of the same rarity
-                owner, runs, c, pos = owner[keep], runs[keep], c[keep], pos[keep]
-                groups = (c + cap - 1) // cap
-                own = (sig[owner, 0] % groups.astype(np.uint64)).astype(np.int64)
+                ref = np.frombuffer(b"".join(s[:8] for s in x["sig"]), np.uint64)
+                groups = np.ones(len(runs), np.int64)
+                if len(hot_run):
+                    at = np.minimum(np.searchsorted(hot_run, runs), len(hot_run) - 1)
+                    is_hot = hot_run[at] == runs
+                    groups[is_hot] = -(-hot_count[at[is_hot]] // cap)
+                own = (mix(ref[owner] + np.uint64(1)) % groups.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(runs)), groups)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(groups) - groups, groups)
                 i, j = np.minimum(own[rep], other), np.maximum(own[rep], other)
@@ -132,24 +193,20 @@ def place(classes: DataFrame, sketch, bits: int, t: float, buckets: int, cap: in
                     d, times = np.unique(owner[rep[e]], return_counts=True)
                     entries = _pack((key[e] >> np.uint64(32)).astype(np.uint32))
                     marks = _pack(times.astype(np.uint32), pos[rep[e]].astype(np.uint32), side[e])
-                    out.append((int(k), _pack(sig[d], n[d].astype(np.uint32), bitmap[d]), entries, marks))
+                    out.append((int(k), _pack(ref[d], n[d].astype(np.uint32), bitmap[d]), entries, marks))
                 yield pd.DataFrame(out, columns=["bucket", "docs", "entries", "marks"])
 
     return classes.select("sig", "n", "runs").mapInPandas(send, "bucket int, docs binary, entries binary, marks binary")
 
 
-#: Bits of the parity sketch that bounds the symmetric difference of two sets from below.
-BITMAP = 512
-
-
 def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    sigs, ns, maps, docs, keys, poss, sides, base = [], [], [], [], [], [], [], 0
+    refs, ns, maps, docs, keys, poss, sides, base = [], [], [], [], [], [], [], 0
     for d, e, m in zip(pdf["docs"], pdf["entries"], pdf["marks"], strict=True):
         raw = zlib.decompress(d)
-        k = len(raw) // (20 + BITMAP // 8)
-        sigs.append(np.frombuffer(raw, np.uint64, 2 * k).reshape(k, 2))
-        ns.append(np.frombuffer(raw, np.uint32, k, 16 * k).astype(np.int64))
-        maps.append(np.frombuffer(raw, np.uint8, k * BITMAP // 8, 20 * k).reshape(k, BITMAP // 8))
+        k = len(raw) // (12 + BITMAP // 8)
+        refs.append(np.frombuffer(raw, np.uint64, k))
+        ns.append(np.frombuffer(raw, np.uint32, k, 8 * k).astype(np.int64))
+        maps.append(np.frombuffer(raw, np.uint8, k * BITMAP // 8, 12 * k).reshape(k, BITMAP // 8))
         key = np.frombuffer(zlib.decompress(e), np.uint32)
         raw = zlib.decompress(m)
         docs.append(np.repeat(np.arange(base, base + k), np.frombuffer(raw, np.uint32, k)))
@@ -158,14 +215,14 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
         sides.append(np.frombuffer(raw, np.uint8, len(key), 4 * k + 4 * len(key)))
         base += k
     bitmaps = np.ascontiguousarray(np.concatenate(maps)).view(np.uint64)
-    return np.concatenate(sigs), np.concatenate(ns), bitmaps, np.concatenate(docs), np.concatenate(keys), np.concatenate(poss), np.concatenate(sides)
+    return np.concatenate(refs), np.concatenate(ns), bitmaps, np.concatenate(docs), np.concatenate(keys), np.concatenate(poss), np.concatenate(sides)
 
 
 def region_pairs(t: float):
     """Candidates of one bucket of regions: pairs that the bounds do not exclude."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, n_all, bitmaps, doc, key, pos, side = _unpack(pdf)
+        ref, n_all, bitmaps, doc, key, pos, side = _unpack(pdf)
         order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | n_all[doc].astype(np.uint64))
         doc, key, side = doc[order], key[order], side[order]
         n = n_all[doc].astype(np.int32)
@@ -192,21 +249,26 @@ def region_pairs(t: float):
                 diff += np.bitwise_count(bitmaps[x, k] ^ bitmaps[y, k])
             ok = diff <= most
             if ok.any():
-                found.append(np.minimum(x[ok], y[ok]) * len(sig) + np.maximum(x[ok], y[ok]))
+                found.append(np.minimum(x[ok], y[ok]) * len(ref) + np.maximum(x[ok], y[ok]))
                 held += len(found[-1])
                 if held > 4_000_000:  # near copies meet in many regions of a bucket
                     found, held = [np.unique(np.concatenate(found))], 0
             step += 1
         p = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        a, b = sig[p // max(len(sig), 1)], sig[p % max(len(sig), 1)]
-        swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-        a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-        keep = (a != b).any(axis=1)
-        return pd.DataFrame({"sig_a": [r.tobytes() for r in a[keep]], "sig_b": [r.tobytes() for r in b[keep]]}, dtype=object)
+        a, b = ref[p // max(len(ref), 1)], ref[p % max(len(ref), 1)]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+        return pd.DataFrame({"ref_a": pairs[:, 0].astype(np.int64), "ref_b": pairs[:, 1].astype(np.int64)})
 
     return find
 
 
+@F.pandas_udf(T.LongType())
+def first_bytes(sig: pd.Series) -> pd.Series:
+    """The first 8 bytes of a signature as a number."""
+    return pd.Series(np.frombuffer(b"".join(x[:8] for x in sig), np.int64), index=sig.index)
+
+
 @F.pandas_udf(T.IntegerType())
 def common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Runs that two sets share."""
@@ -218,34 +280,43 @@ class Join:
     """members (table_name, id, sig), classes (sig, n, runs) and links (sig_a, sig_b, shared, similarity) of a collection.
 
     The sets stay where they were made: of equal sets one row is kept by an anti join with the others' keys, which
-    are broadcast only if a count shows at most `few` of them, as are the keys of the sets that candidates need."""
+    are broadcast only if a count shows at most `few` of them, as are the keys of the sets that candidates need.
+    Candidates name a set by the first 8 bytes of its signature; should two sets share them, both are compared."""
 
-    def __init__(self, records: DataFrame, n: int = 5, t: float = 0.8, min_words: int = 5, bits: int = 20, cap: int = 4096, per_bucket: int = 2_000_000, few: int = 200_000):
+    def __init__(self, records: DataFrame, n: int = 5, t: float = 0.8, min_words: int = 5, cap: int = 4096, per_bucket: int = 2_000_000, few: int = 200_000, max_bits: int = MAX_BITS):
         spark = records.sparkSession
         sets = shingle_sets(records, n, min_words).persist(StorageLevel.MEMORY_AND_DISK)
         first = F.min_by("sig", F.struct(F.col("loaded_at").isNull(), "loaded_at", "sig")).alias("sig")
-        members = sets.groupBy("table_name", "id").agg(first, (F.max("sig") != F.min("sig")).alias("several")).persist(StorageLevel.MEMORY_AND_DISK)
+        members = cut(sets.groupBy("table_name", "id").agg(first, (F.max("sig") != F.min("sig")).alias("several")))
         self.members = members.drop("several")
-        self.equal = members.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").persist(StorageLevel.MEMORY_AND_DISK)
-        equal = broadcast_if_small(self.equal, few)
-        others = members.join(equal, "sig").filter("id <> least").select("sig", "id")
+        self.equal = members.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        others = members.join(broadcast_if_small(self.equal, few), "sig").filter("id <> least").select("sig", "id")
         changed = members.filter("several").select("table_name", "id", F.col("sig").alias("good"))
         if not changed.isEmpty():
             others = others.unionByName(sets.join(broadcast_if_small(changed, few), ["table_name", "id"]).filter("sig <> good").select("sig", "id").distinct())
         self.classes = sets.join(broadcast_if_small(others, few), ["sig", "id"], "left_anti").select("sig", "n", "runs")
         self.few = few
-        counts = count_sketch(self.classes, bits)
-        buckets = int(counts.sum(dtype=np.int64) * (1 - t) // per_bucket) + 1
-        buckets = buckets if buckets > 16 else max(buckets, 2)
-        placed = place(self.classes, spark.sparkContext.broadcast(counts), bits, t, buckets, cap)
-        pairs = cut(placed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(region_pairs(t), "sig_a binary, sig_b binary").distinct())
-        needed = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-        own = self.classes.join(broadcast_if_small(needed, few), "sig", "left_semi").dropDuplicates(["sig"])
-        checked = pairs.join(own.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("runs").alias("runs_a")), "sig_a")
-        checked = checked.join(own.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("runs").alias("runs_b")), "sig_b")
+        total = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("runs"), F.coalesce(F.sum(F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 2), F.lit(0)).alias("placed")).first()
+        bits = min(max_bits, max(CHUNK_BITS, int(total.runs).bit_length() + 1))
+        sketch = spark.sparkContext.broadcast(count_sketch(self.classes, bits))
+        cap = max(cap, int(total.placed) >> 20)  # so that at most a million regions are divided
+        hot, size = hot_runs(self.classes, sketch, bits, t, cap)
+        copies = int(total.placed) + int((size * (-(-size // cap) - 1)).sum())
+        buckets = max(2, copies // per_bucket + 1)
+        held = spark.sparkContext.broadcast((hot, size))
+        self.plan = {"runs": int(total.runs), "bits": bits, "placed": int(total.placed), "hot": len(hot), "copies": copies, "buckets": buckets}
+        placed = place(self.classes, sketch, held, bits, t, buckets, cap)
+        pairs = cut(placed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(region_pairs(t), "ref_a bigint, ref_b bigint").distinct())
+        sketch.unpersist()
+        held.unpersist()
+        needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
+        own = self.classes.select("*", first_bytes(F.col("sig")).alias("ref")).join(broadcast_if_small(needed, few), "ref", "left_semi").dropDuplicates(["sig"])
+        side = lambda x: own.select(F.col("ref").alias(f"ref_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("runs").alias(f"runs_{x}"))
+        checked = pairs.join(side("a"), "ref_a").join(side("b"), "ref_b")
         shared = checked.select("sig_a", "sig_b", "n_a", "n_b", common("runs_a", "runs_b").alias("shared"))
         union = F.col("n_a") + F.col("n_b") - F.col("shared")
         self.links = cut(shared.filter(F.col("shared") >= t * union - 1e-9).select("sig_a", "sig_b", "shared", (F.col("shared") / union).alias("similarity")))
+        sets.unpersist()
 
     def pairs(self) -> DataFrame:
         """table_name, id_a, id_b: all pairs of ids, those of equal sets included."""
@@ -269,6 +340,33 @@ class Join:
         return out.select("table_name", "id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
 
 
+def window_copies(sets: DataFrame, pivots: int, eps: float) -> DataFrame:
+    """n_docs, mean_copies, mean_nearest: Voronoi regions of document pivots that a set must be copied to for an exact join.
+
+    A measurement, used by no query: the regions of all pivots p with d(x, p) <= d(x, p0) + 2 eps. The pivots are the
+    `pivots` sets of least hashed signature, a bounded sample."""
+    chosen = [np.frombuffer(r.runs, np.uint64) for r in sets.orderBy(F.xxhash64("sig"), "sig").limit(pivots).select("runs").collect()]
+    held = sets.sparkSession.sparkContext.broadcast(chosen)
+
+    def measure(batches):
+        size = np.array([len(p) for p in held.value])
+        runs, at = np.concatenate(held.value), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(runs, kind="stable")
+        runs, at = runs[order], at[order]
+        for x in batches:
+            out = []
+            for raw in x["runs"]:
+                r = np.frombuffer(raw, np.uint64)
+                lo, hi = np.searchsorted(runs, r, "left"), np.searchsorted(runs, r, "right")
+                shared = np.bincount(np.concatenate([at[a:b] for a, b in zip(lo, hi, strict=True) if b > a] or [at[:0]]), minlength=len(size))
+                d = 1 - shared / (len(r) + size - shared)
+                out.append((int((d <= d.min() + 2 * eps + 1e-9).sum()), float(d.min())))
+            yield pd.DataFrame(out, columns=["copies", "nearest"])
+
+    made = sets.select("runs").mapInPandas(measure, "copies bigint, nearest double")
+    return made.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("copies").alias("mean_copies"), F.avg("nearest").alias("mean_nearest"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """table_name, node, group_id of an undirected graph (table_name, a, b), group_id being the least node of the component.
 

@@ -3,6 +3,8 @@
 import random
 from datetime import datetime as dt
 
+import numpy as np
+
 from sumac.llm import neardup
 from sumac.llm.words import words
 
@@ -42,7 +44,7 @@ def collection(seed, size=120):
 def test_pairs_brute_force(spark):
     for seed, n, t, cap in ((1, 3, 0.5, 4096), (2, 3, 0.5, 5), (3, 5, 0.8, 4096), (4, 1, 0.7, 3)):
         rows = collection(seed)
-        got = neardup.Join(spark.createDataFrame(rows, SCHEMA), n, t, 6, bits=10, cap=cap, per_bucket=300).pairs()
+        got = neardup.Join(spark.createDataFrame(rows, SCHEMA), n, t, 6, max_bits=10, cap=cap, per_bucket=300).pairs()
         found = [tuple(r) for r in got.collect()]
         assert len(found) == len(set(found))
         assert set(found) == brute(rows, n, t, 6)
@@ -50,7 +52,7 @@ def test_pairs_brute_force(spark):
 
 def test_without_broadcasts(spark):
     rows = collection(6, 80)
-    got = neardup.Join(spark.createDataFrame(rows, SCHEMA), 3, 0.5, 6, bits=10, cap=7, per_bucket=200, few=0)
+    got = neardup.Join(spark.createDataFrame(rows, SCHEMA), 3, 0.5, 6, max_bits=10, cap=7, per_bucket=200, few=0)
     assert {tuple(r) for r in got.pairs().collect()} == brute(rows, 3, 0.5, 6)
 
 
@@ -81,3 +83,21 @@ def test_long_chains_are_one_component(spark):
     e = [("t", a, b) for a, b in zip(ids, ids[1:])] + [("u", a, b) for a, b in zip(ids[:400], ids[1:400])] + [("u", "z", "z")]
     got = [tuple(r) for r in neardup.components(spark.createDataFrame(e, "table_name string, a string, b string")).collect()]
     assert sorted(got) == sorted([("t", k, "0000") for k in ids] + [("u", k, min(ids[:400])) for k in ids[:400]] + [("u", "z", "z")])
+
+
+def test_divided_regions_lose_no_link(spark):
+    rows = [("x", f"{k:03}", dt(2020, 1, 1), " ".join(f"c{j}" for j in range(30)) + f" own{k} tail{k} last{k}", k) for k in range(60)]
+    j = neardup.Join(spark.createDataFrame(rows, SCHEMA), 3, 0.5, 6, cap=5, per_bucket=300)
+    assert j.plan["hot"] > 0 and j.plan["copies"] > j.plan["placed"] and {tuple(r) for r in j.pairs().collect()} == brute(rows, 3, 0.5, 6)
+
+
+def test_squeezed_counts_keep_their_order():
+    c = np.concatenate([np.arange(5000), 2 ** np.arange(13, 32)])
+    s = neardup.squeezed(c).astype(int)
+    assert (np.diff(s) >= 0).all() and (s[:129] == np.arange(129)).all() and s[-1] == 255
+
+
+def test_windows_of_document_pivots_are_the_whole_space(spark):
+    sets = neardup.shingle_sets(spark.createDataFrame(collection(7), SCHEMA), 3, 6)
+    got = neardup.window_copies(sets, 16, 0.5).first()
+    assert got.mean_copies == 16 and got.n_docs > 100
