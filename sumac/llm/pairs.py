@@ -1,6 +1,6 @@
 """Broken prompt and response pairs: ordered rules, every triggered defect type emitted.
 
-Rules, in order of precedence: emptiness, refusal phrases in ten languages, copied question, script or
+Rules, in order of precedence: emptiness, refusals by structure in sixteen languages (`refusals`), copied question, script or
 language mismatch, unclosed delimiters and abrupt endings. `defects` gives all that hold for a record with
 their order; the first is its defect. is_refusal and finish_reason are not read.
 
@@ -15,13 +15,15 @@ import html
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sumac.llm import refusals
 from sumac.llm.once import once
-from sumac.llm.sentences import ABBREVIATIONS, MATH, spans
+from sumac.llm.sentences import ABBREVIATIONS, BLANK, MATH, spans
 
 #: Defect types in order of precedence.
 TYPES = ("empty", "refusal", "copies_question", "other_language", "truncated")
@@ -33,34 +35,6 @@ BARE = re.compile(rf"(?:{LABELS})", re.I)
 PLACEHOLDER = re.compile(r"(?:null|none|n ?a|nan|nil|todo|tbd|undefined|empty|blank|placeholder|no answer|no response|your answer here|insert answer here|x{3,}|lorem ipsum)", re.I)
 THANKS = re.compile(r"(?i)\b(?:thanks?(?: you)?(?: (?:very|so) much| a lot)?(?: in advance)?|many thanks|please|hello|hi|dear all|vielen dank(?: im voraus)?|danke(?: schön)?|merci(?: d avance| d'avance| beaucoup)?|gracias(?: de antemano)?|спасибо(?: заранее)?|谢谢|ありがとうございます|どうも)\b")
 
-#: Phrases of a refusal, by language.
-REFUSALS = [
-    r"\b(?:can ?not|can'?t|could not|couldn'?t|unable to|not able to|won'?t be able to|not going to|must (?:decline|refuse)(?: to)?|(?:have to|i) (?:decline|refuse)(?: to)?|impossible(?: for me)? to|not possible(?: for me)? to)\s+(?:\w+ ){0,2}?(?:answer|respond|help|solve|provide|give|work out|determine|assist|decide|say|comment|offer|address|complete|fulfil)",
-    r"\b(?:can ?not|can'?t) be (?:answered|determined|decided|resolved) (?:from|with|using|based|given)",
-    r"\b(?:does not|doesn'?t|do not|don'?t) (?:contain|provide|include|give|offer|have)\b.{0,60}\b(?:enough|information|material|details?|answer)",
-    r"\b(?:not|isn'?t) (?:enough|sufficient) (?:information|material|context|detail|data|evidence)|insufficient (?:information|context|material|detail|data)|\bno answer (?:is|can be) (?:possible|given)|\bi (?:do not|don'?t) know\b|\bi have no idea\b|\bsays? nothing (?:about|on)\b|\bdecline to\b|\bi(?:'m| am) (?:only )?an? (?:ai|language) (?:model|assistant)",
-    r"\b(?:nothing|none|no|not|without|neither|lack(?:s|ing)?)\b.{0,70}\b(?:context|passages?|excerpts?|snippets?|sources? (?:given|provided|retrieved)|(?:given|provided|retrieved) (?:sources?|documents?|material|text))\b",
-    r"\b(?:context|passages?|excerpts?|snippets?|(?:given|provided|retrieved) (?:sources?|documents?|material|text))\b.{0,80}\b(?:nothing|not|no|never|neither|lacks?|omits?|silent|fails? to|unrelated|insufficient|irrelevant|inadequate|only)\b",
-    r"\b(?:only|merely|just) (?:be )?(?:a )?guess|\bnot to guess\b|\b(?:have|has|am|must|would|will|shall) (?:to )?(?:pass on|leave) this|beyond (?:my|what i)|outside (?:my|the) (?:scope|knowledge|material)|\bno (?:basis|way|means) (?:for|of|to) (?:answer|know|tell|say|decid|determin)|\bcan ?not (?:tell|know|be sure|confirm)\b",
-    r"\b(?:Kontext|Passagen?|Auszüg\w*|Textstellen?|Quellen?|Unterlagen)\b.{0,80}\b(?:nichts?|kein\w*|nur|ungenügend|unzureichend)\b|\b(?:nichts?|kein\w*)\b.{0,60}\b(?:Kontext|Passagen?|Auszüg\w*|Textstellen?|Quellen?|Unterlagen)\b",
-    r"\b(?:contexte|passages?|extraits?|sources?|documents?)\b.{0,80}\b(?:ne|n'\w+|pas|rien|aucune?|insuffisant\w*)\b|\b(?:rien|aucune?)\b.{0,60}\b(?:contexte|passages?|extraits?|sources?|documents?)\b",
-    r"\b(?:contexto|pasajes?|fragmentos?|fuentes?|documentos?)\b.{0,80}\b(?:no|nada|ning\w+|insuficiente\w*)\b|\b(?:nada|ning\w+)\b.{0,60}\b(?:contexto|pasajes?|fragmentos?|fuentes?|documentos?)\b",
-    r"(?:контекст|отрыв|фрагмент|источник)\w*.{0,80}\b(?:не|нет|ничего|недостаточно)\b|\b(?:нет|ничего)\b.{0,60}(?:контекст|отрыв|фрагмент|источник)",
-    r"(?:上下文|段落|资料|材料|文中|原文|摘录).{0,40}(?:没有|未|不足|无法|不包含)|(?:文脈|文章|資料|抜粋|コンテキスト).{0,60}(?:ありません|ない|不足|含まれ)|(?:บริบท|ข้อความ).{0,60}(?:ไม่)|(?:السياق|النص|المقاطع).{0,80}(?:لا|ليس|غير)|(?:संदर्भ|अंश|पाठ).{0,80}(?:नहीं|अपर्याप्त)",
-    r"\b(?:kann|können|könnte|darf)\b.{0,80}\bnicht\b.{0,60}\b(?:beantworten|antworten|helfen|lösen|bearbeiten|sagen)|keine (?:\w+ )?(?:angaben|informationen|antwort)|\bweiß (?:ich )?nicht|ich weiß es nicht|reicht (?:\w+ )?nicht aus|nicht genügend|nicht genug",
-    r"\bne (?:peux|puis|peut|saurais|pouvons)\b.{0,30}\b(?:répondre|aider|résoudre|donner|traiter)|\bne (?:suffit|suffisent|contient|contiennent|permet|permettent)\b|\bje ne sais pas\b|pas assez d'|impossible de répondre",
-    r"\bno (?:puedo|podemos|es posible|soy capaz)\b.{0,40}\b(?:responder|ayudar|contestar|resolver|dar|contestarla)|\bno (?:contiene|hay|incluye|ofrece)\b.{0,40}\b(?:suficiente|información)|\bno lo sé\b|\bno sé\b",
-    r"не (?:могу|можем|в состоянии|удаётся|удается)\b.{0,40}(?:ответить|помочь|решить|дать)|недостаточно|не содержит|не знаю|невозможно ответить",
-    r"(?:无法|不能|没法)(?:回答|解答|提供|给出|帮助|解决|作答)|没有足够|不足以|信息不足|不知道|无可奉告",
-    r"(?:お?答え|回答|解答|お手伝い|解決)(?:することが|することは|は|が)?(?:できません|できない|いたしかねます|しかねます)|情報が(?:不足|足り|含まれて|十分)|十分な情報|わかりません|分かりません",
-    r"ไม่สามารถ(?:ตอบ|ช่วย|ให้)|ข้อมูลไม่เพียงพอ|ไม่มีข้อมูล|ไม่ทราบ",
-    r"لا (?:أستطيع|يمكنني|يمكن)\s*(?:\S+\s*){0,3}?(?:الإجابة|المساعدة|حل)|معلومات كافية|لا أعرف|لا أعلم|لا يحتوي",
-    r"(?:उत्तर|जवाब|मदद|सहायता)\s*(?:\S+\s*){0,2}?नहीं|पर्याप्त जानकारी|जानकारी नहीं|नहीं जानता|पता नहीं",
-]
-REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I | re.S)
-#: What may stand beside a refusal and still answers nothing.
-SOFT = re.compile(r"(?i)^(?:i'?m |i am )?(?:very |so )?(?:sorry|apologi[sz]e|unfortunately|regrettably)\b|^(?:my|with) apologies|^please (?:provide|give|ask|consult|try|see|refer)|^(?:try|consult|ask|see) (?:another|a|other)|^i (?:would )?(?:suggest|recommend)|^leider|^es tut mir leid|^bitte|^désolée?|^malheureusement|^je suis désolée?|^lo siento|^lamentablemente|^к сожалению|^извините|^抱歉|^对不起|^很遗憾|^申し訳|^すみません|^残念|^ขออภัย|^عذرا|^آسف|^क्षमा|^खेद")
-ANSWERS = re.compile(r"(?i)\bbut\b.{0,60}\b(?:as follows|here is|are|is)\b|\bhowever\b.{0,40}\b(?:as follows|here is)\b|wrong to claim|aber .{0,40} wie folgt|mais .{0,40} comme suit|pero .{0,40} como sigue")
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』")
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
@@ -97,19 +71,22 @@ def language(text: str | None) -> str:
     if not text:
         return ""
     t = prose(text)
-    n = {name: len(p.findall(t)) for name, p in SCRIPT_OF}
-    n["latin"] = len(SCRIPT_OF[0][1].findall(PROPER.sub(" ", t)))
-    wide = n["kana"] + n["han"]
-    n["han"] = n["kana"] = 0
-    n["wide"] = 2 * wide
-    top = max(n, key=n.get)
-    if n[top] < 6:
-        return ""
-    if top == "wide":
-        kana = len(SCRIPT_OF[2][1].findall(t))
-        return "ja" if kana * 5 > wide else "zh"
-    if top != "latin":
-        return top
+    if t.isascii():
+        if len(SCRIPT_OF[0][1].findall(PROPER.sub(" ", t))) < 6:
+            return ""
+    else:
+        n = {name: len(p.findall(t)) for name, p in SCRIPT_OF}
+        n["latin"] = len(SCRIPT_OF[0][1].findall(PROPER.sub(" ", t)))
+        kana, wide = n["kana"], n["kana"] + n["han"]
+        n["han"] = n["kana"] = 0
+        n["wide"] = 2 * wide
+        top = max(n, key=n.get)
+        if n[top] < 6:
+            return ""
+        if top == "wide":
+            return "ja" if kana * 5 > wide else "zh"
+        if top != "latin":
+            return top
     hits: Counter = Counter()
     for w in WORD.findall(t.lower()):
         for lang in COMMON_OF.get(w, ()):
@@ -120,6 +97,11 @@ def language(text: str | None) -> str:
     return first[0][0]
 
 
+@lru_cache(maxsize=4096)
+def _language(question: str) -> str:
+    return language(question)
+
+
 def is_blank(response: str | None) -> bool:
     if response is None:
         return True
@@ -133,33 +115,42 @@ def is_blank(response: str | None) -> bool:
 
 
 def is_refusal(response: str) -> bool:
-    """Every unit of the response refuses or only apologises, and at least one refuses."""
-    t = QUOTED.sub(" ", LABEL.sub(" ", CODE.sub(" ", response)))
-    t = t.replace("’", "'")
-    refuses = False
-    for s, e in spans(t):
-        unit = t[s:e].strip("*_ #>-")
-        if not WORD.search(unit):
-            continue
-        if ANSWERS.search(unit):
-            return False
-        if REFUSAL.search(unit):
-            refuses = True
-        elif not SOFT.search(unit) and len(WORD.findall(unit)) > 1:
-            return False
-    return refuses
+    """Every unit of the response refuses or only apologises, and at least one refuses; read block by block up to the first that does not."""
+    t = QUOTED.sub(" ", LABEL.sub(" ", CODE.sub(" ", response))).replace("’", "'")
+
+    def units():
+        at = 0
+        for m in [*BLANK.finditer(t), None]:
+            block = t[at : m.start() if m else len(t)]
+            yield from (block[a:b] for a, b in spans(block))
+            at = m.end() if m else len(t)
+
+    return refusals.is_refusal(units())
+
+
+@lru_cache(maxsize=4096)
+def _plain_question(question: str) -> tuple[tuple[str, ...], frozenset]:
+    q = _plain(question)
+    return tuple(q), frozenset(_runs(q))
+
+
+def _plain(t: str) -> list[str]:
+    return WORD.findall(THANKS.sub(" ", LABEL.sub(" ", TAG.sub(" ", t))).lower())
+
+
+def _runs(w: list[str]) -> list[tuple[str, ...]]:
+    return list(zip(w, w[1:], w[2:]))
 
 
 def is_copy(response: str, question: str | None, part: float = 0.5, own: float = 0.1) -> bool:
     """Nothing but the question: at most `own` of the response's runs of three words are its own, and more than `part` of the question's are there."""
     if not question:
         return False
-    plain = lambda t: WORD.findall(THANKS.sub(" ", LABEL.sub(" ", TAG.sub(" ", t))).lower())
-    q, r = plain(question), plain(response)
+    q, there = _plain_question(question)
+    r = _plain(response)
     if len(q) < 3 or len(r) < 3:
-        return bool(q) and q == r
-    runs = lambda w: [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-    there, here = set(runs(q)), runs(r)
+        return bool(q) and list(q) == r
+    here = _runs(r)
     if sum(x not in there for x in here) > max(own * len(here), 2 if len(here) > 8 else 0):
         return False
     return len(there & set(here)) > part * len(there)
@@ -224,7 +215,8 @@ def defects(question: str | None, response: str | None) -> list[str]:
         out.append("refusal")
     if is_copy(response, question):
         out.append("copies_question")
-    a, b = language(question), language(response)
+    a = _language(question) if question else ""
+    b = language(response) if a else ""
     if a and b and a != b:
         out.append("other_language")
     if is_truncated(response):

@@ -2,7 +2,8 @@
 
 import pytest
 
-from sumac.llm.pairs import broken_pairs, defect_report, defects, language
+import refusal_wordings as wordings
+from sumac.llm.pairs import broken_pairs, defect_report, defects, is_refusal, language
 
 Q = "How to show that the filtered part of the field is controlled by $r$\n\nBy choosing a basis, every graded eigenvalue is closed under limits. Can somebody give a hint?"
 FINE = [
@@ -45,3 +46,16 @@ def test_frames(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "empty", 1), (3, "empty", 1)]
     assert {r.config_name: (r.n_records, r.n_empty) for r in defect_report(found, g).collect()} == {"c": (2, 1), None: (2, 1)}
     assert broken_pairs(g.limit(0)).count() == 0
+
+
+def scores(refusals, answers):
+    found, wrong = sum(map(is_refusal, refusals)), sum(map(is_refusal, answers))
+    return found / len(refusals), found / (found + wrong)
+
+
+def test_refusals_in_wordings_that_are_not_in_the_data():
+    for part in (slice(0, None, 2), slice(1, None, 2)):
+        recall, precision = scores(wordings.REFUSALS[part], wordings.ANSWERS[part])
+        assert recall >= 0.95 and precision >= 0.95
+    recall, precision = scores(wordings.FINAL_REFUSALS, wordings.FINAL_ANSWERS)
+    assert recall >= 0.5 and precision >= 0.9
