@@ -39,10 +39,11 @@ from sumac.runtime import broadcast_if_small, cut
 
 #: Cells of the largest count sketch (16 MB), and of one chunk of it.
 MAX_BITS, CHUNK_BITS = 24, 16
-#: Groups in which partial counts are added before the last sum.
-FAN = 64
-#: Bits of the parity sketch that bounds the symmetric difference of two sets from below.
-BITMAP = 256
+#: Partial counts of a chunk that one task adds before the last sum.
+FAN = 256
+#: Bits of the parity sketch that bounds the symmetric difference of two sets from below; sets of at most SHORT runs go
+#: with its two halves laid over each other, which tells sets of their size apart as well.
+BITMAP, SHORT = 512, 110
 
 
 def shingle_sets(records: DataFrame, n: int = 5, min_words: int = 5) -> DataFrame:
@@ -74,7 +75,7 @@ def squeezed(counts: np.ndarray) -> np.ndarray:
 
 def count_sketch(classes: DataFrame, bits: int) -> np.ndarray:
     """Counts of all runs of all classes in 2 ** bits cells, squeezed. Partial counts are added in two steps, so that
-    a task holds one in FAN of the partials of a chunk."""
+    a task holds FAN partials of a chunk, and the last one in FAN of all."""
     size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
     packed = lambda c: zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1)
 
@@ -99,7 +100,7 @@ def count_sketch(classes: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [zlib.compress(squeezed(total).tobytes(), 1)]})
 
     made = classes.select("runs").mapInPandas(partial, "k int, c binary")
-    some = made.groupBy("k", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("p")).applyInPandas(add, "k int, c binary")
+    some = made.groupBy("k", F.floor(F.spark_partition_id() / FAN).alias("p")).applyInPandas(add, "k int, c binary")
     out = np.zeros((size // chunk, chunk), np.uint8)
     for r in some.groupBy("k").applyInPandas(last, "k int, c binary").collect():  # 2 ** bits bytes at most
         out[r.k] = np.frombuffer(zlib.decompress(r.c), np.uint8)
@@ -171,6 +172,7 @@ def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, ca
                 all_owner = np.repeat(np.arange(len(n)), n)
                 parity = np.bincount(all_owner * BITMAP + ((every >> np.uint64(30)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
                 bitmap = np.packbits((parity & 1).astype(np.uint8).reshape(len(n), BITMAP), axis=1)
+                folded = bitmap[:, : BITMAP // 16] ^ bitmap[:, BITMAP // 16 :]
                 ref = np.frombuffer(b"".join(s[:8] for s in x["sig"]), np.uint64)
                 groups = np.ones(len(runs), np.int64)
                 if len(hot_run):
@@ -193,36 +195,45 @@ def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, ca
                     d, times = np.unique(owner[rep[e]], return_counts=True)
                     entries = _pack((key[e] >> np.uint64(32)).astype(np.uint32))
                     marks = _pack(times.astype(np.uint32), pos[rep[e]].astype(np.uint32), side[e])
-                    out.append((int(k), _pack(ref[d], n[d].astype(np.uint32), bitmap[d]), entries, marks))
+                    few = n[d] <= SHORT
+                    out.append((int(k), _pack(ref[d], n[d].astype(np.uint32), folded[d[few]], bitmap[d[~few]]), entries, marks))
                 yield pd.DataFrame(out, columns=["bucket", "docs", "entries", "marks"])
 
     return classes.select("sig", "n", "runs").mapInPandas(send, "bucket int, docs binary, entries binary, marks binary")
 
 
 def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    refs, ns, maps, docs, keys, poss, sides, base = [], [], [], [], [], [], [], 0
+    """refs, sizes, bitmaps whole (zero for short sets), bitmaps folded of the sets, and of the entries set, key, position, side."""
+    refs, ns, whole, half, docs, keys, poss, sides, base = [], [], [], [], [], [], [], [], 0
     for d, e, m in zip(pdf["docs"], pdf["entries"], pdf["marks"], strict=True):
         raw = zlib.decompress(d)
-        k = len(raw) // (12 + BITMAP // 8)
-        refs.append(np.frombuffer(raw, np.uint64, k))
-        ns.append(np.frombuffer(raw, np.uint32, k, 8 * k).astype(np.int64))
-        maps.append(np.frombuffer(raw, np.uint8, k * BITMAP // 8, 12 * k).reshape(k, BITMAP // 8))
         key = np.frombuffer(zlib.decompress(e), np.uint32)
-        raw = zlib.decompress(m)
-        docs.append(np.repeat(np.arange(base, base + k), np.frombuffer(raw, np.uint32, k)))
+        mark = zlib.decompress(m)
+        k = (len(mark) - 5 * len(key)) // 4
+        refs.append(np.frombuffer(raw, np.uint64, k))
+        n = np.frombuffer(raw, np.uint32, k, 8 * k).astype(np.int64)
+        few, b = n <= SHORT, BITMAP // 8
+        long, short = np.zeros((k, b), np.uint8), np.empty((k, b // 2), np.uint8)
+        short[few] = np.frombuffer(raw, np.uint8, few.sum() * b // 2, 12 * k).reshape(-1, b // 2)
+        long[~few] = np.frombuffer(raw, np.uint8, (~few).sum() * b, 12 * k + few.sum() * b // 2).reshape(-1, b)
+        short[~few] = long[~few, : b // 2] ^ long[~few, b // 2 :]
+        ns.append(n)
+        whole.append(long)
+        half.append(short)
+        docs.append(np.repeat(np.arange(base, base + k), np.frombuffer(mark, np.uint32, k)))
         keys.append(key)
-        poss.append(np.frombuffer(raw, np.uint32, len(key), 4 * k))
-        sides.append(np.frombuffer(raw, np.uint8, len(key), 4 * k + 4 * len(key)))
+        poss.append(np.frombuffer(mark, np.uint32, len(key), 4 * k))
+        sides.append(np.frombuffer(mark, np.uint8, len(key), 4 * k + 4 * len(key)))
         base += k
-    bitmaps = np.ascontiguousarray(np.concatenate(maps)).view(np.uint64)
-    return np.concatenate(refs), np.concatenate(ns), bitmaps, np.concatenate(docs), np.concatenate(keys), np.concatenate(poss), np.concatenate(sides)
+    words = lambda maps: np.ascontiguousarray(np.concatenate(maps)).view(np.uint64)
+    return np.concatenate(refs), np.concatenate(ns), words(whole), words(half), np.concatenate(docs), np.concatenate(keys), np.concatenate(poss), np.concatenate(sides)
 
 
 def region_pairs(t: float):
     """Candidates of one bucket of regions: pairs that the bounds do not exclude."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, n_all, bitmaps, doc, key, pos, side = _unpack(pdf)
+        ref, n_all, whole, half, doc, key, pos, side = _unpack(pdf)
         order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | n_all[doc].astype(np.uint64))
         doc, key, side = doc[order], key[order], side[order]
         n = n_all[doc].astype(np.int32)
@@ -245,9 +256,15 @@ def region_pairs(t: float):
                 ok &= (side[a] == 2) | (side[a] != side[b])
             x, y, most = doc[a[ok]], doc[b[ok]], (total - 2 * need)[ok]
             diff = np.zeros(len(x), np.int32)
-            for k in range(BITMAP // 64):
-                diff += np.bitwise_count(bitmaps[x, k] ^ bitmaps[y, k])
+            for k in range(BITMAP // 128):
+                diff += np.bitwise_count(half[x, k] ^ half[y, k])
             ok = diff <= most
+            both = np.flatnonzero(ok & (np.minimum(n_all[x], n_all[y]) > SHORT))
+            if len(both):
+                u, v, diff = x[both], y[both], np.zeros(len(both), np.int32)
+                for k in range(BITMAP // 64):
+                    diff += np.bitwise_count(whole[u, k] ^ whole[v, k])
+                ok[both] = diff <= most[both]
             if ok.any():
                 found.append(np.minimum(x[ok], y[ok]) * len(ref) + np.maximum(x[ok], y[ok]))
                 held += len(found[-1])
