@@ -327,7 +327,7 @@ class Join:
         sketch.unpersist()
         held.unpersist()
         needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
-        own = self.classes.select("*", first_bytes(F.col("sig")).alias("ref")).join(broadcast_if_small(needed, few), "ref", "left_semi").dropDuplicates(["sig"])
+        own = self.classes.select("*", first_bytes(F.col("sig")).alias("ref")).join(broadcast_if_small(needed, few), "ref", "left_semi").repartition("ref").dropDuplicates(["ref", "sig"])  # one exchange for both joins
         side = lambda x: own.select(F.col("ref").alias(f"ref_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("runs").alias(f"runs_{x}"))
         checked = pairs.join(side("a"), "ref_a").join(side("b"), "ref_b")
         shared = checked.select("sig_a", "sig_b", "n_a", "n_b", common("runs_a", "runs_b").alias("shared"))
