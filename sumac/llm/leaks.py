@@ -3,8 +3,9 @@
 Every window of `run` words of a test item, with an error budget of e word edits, holds one of the item's
 tiles untouched: tiles of q = (run + 1) // (e + 2) words laid end to end leave e + 1 whole tiles in any
 such window. Tiles are looked up exactly in the documents; around each hit, Myers' bit-parallel distance
-over words verifies the windows that hold the tile. Hits of a batch are verified together: one bit vector
-per hit, a column of the text at a time.
+over words verifies the windows that hold the tile. Hits are verified together, at most HITS at once: one bit vector
+per hit, a column of the text at a time. With one edit it must lie to one side of the untouched tile, so that only hits
+whose words agree on the one side, and on the other up to an edit and again beyond it, over a whole window are verified.
 
 Documents are never shuffled: the items are the side that goes to them, in blocks of at most `block`
 tiles, each block one pass over the documents, so the broadcast is bounded whatever the number of items.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from sumac.llm.words import hashed_words, run_hashes
 
+#: Tile hits held at a time.
+HITS = 200_000
 SCHEMA = "doc_id bigint, item_id bigint, distance int, n_words int, doc_word int, item_word int"
 
 
@@ -74,22 +77,36 @@ class Tiles:
         lo, hi = np.searchsorted(self.hash, runs, "left"), np.searchsorted(self.hash, runs, "right")
         owner = np.repeat(np.arange(len(b) - 1), np.diff(b))[: len(runs)]
         times = np.where(np.arange(len(runs)) + self.q <= b[owner + 1], hi - lo, 0) if len(runs) else np.empty(0, np.int64)
-        pos = np.repeat(np.arange(len(runs)), times)
-        if not len(pos):
+        total = np.cumsum(times)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, HITS), "left")) if len(total) else []
+        found = [self._verify(w, b, owner, lo, times, x, y) for x, y in zip(cuts, [*cuts[1:], len(times)][: len(cuts)], strict=True)]
+        if not found:
             return pd.DataFrame(columns=["doc_id", "item_id", "distance", "n_words", "doc_word", "item_word"])
-        tile = lo[pos] + np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times)
+        out = pd.concat(found).sort_values(["doc", "item", "distance", "n_words", "doc_word", "item_word"], ascending=[True, True, True, False, True, True]).drop_duplicates(["doc", "item"])
+        return pd.DataFrame({"doc_id": ids[out.doc.to_numpy(np.int64)], "item_id": self.ids[out["item"].to_numpy(np.int64)], **{c: out[c].to_numpy() for c in ("distance", "n_words", "doc_word", "item_word")}})
+
+    def _verify(self, w, b, owner, lo, times, first: int, last: int) -> pd.DataFrame:
+        """Leaks around the tile hits at places first to last of a batch's words."""
+        some = times[first:last]
+        pos = first + np.repeat(np.arange(last - first), some)
+        tile = lo[pos] + np.arange(len(pos)) - np.repeat(np.cumsum(some) - some, some)
         doc, item, at = owner[pos], self.item[tile], self.at[tile]
         d0, d1, i0, i1 = b[doc], b[doc + 1], self.bounds[item], self.bounds[item + 1]
-        left, right = np.zeros(len(pos), np.int64), np.full(len(pos), self.q)
-        for step, size, side in ((-1, left, 0), (1, right, 1)):
-            live = np.arange(len(pos))
+
+        def agree(p: np.ndarray, a: np.ndarray, step: int, of: np.ndarray) -> np.ndarray:
+            """How many words agree from word p of the document and a of the item on."""
+            n, live = np.zeros(len(p), np.int64), np.arange(len(p))
             while len(live):
-                p = pos[live] + (right[live] if side else -1 - left[live])
-                a = at[live] + (right[live] if side else -1 - left[live])
-                ok = (p >= d0[live]) & (p < d1[live]) & (a >= i0[live]) & (a < i1[live])
-                ok[ok] = w[p[ok]] == self.words[a[ok]]
+                x, y, k = p[live] + step * n[live], a[live] + step * n[live], of[live]
+                ok = (x >= d0[k]) & (x < d1[k]) & (y >= i0[k]) & (y < i1[k])
+                ok[ok] = w[x[ok]] == self.words[y[ok]]
                 live = live[ok]
-                size[live] += 1
+                n[live] += 1
+            return n
+
+        all_hits = np.arange(len(pos))
+        left = agree(pos - 1, at - 1, -1, all_hits)
+        right = self.q + agree(pos + self.q, at + self.q, 1, all_hits)
         length = left + right
         found = [pd.DataFrame({"doc": doc, "item": item, "distance": 0, "n_words": length, "doc_word": pos - left - d0, "item_word": at - left - i0})[length >= self.run]]
         checked = found[0]
@@ -99,8 +116,16 @@ class Tiles:
             found[0] = checked[myers(self.words[a0[:, None] + k], w[p0[:, None] + k]) == 0]
         if self.errors:
             rest = np.flatnonzero(length < self.run)
-            shown = set(zip(found[0]["doc"], found[0]["item"], strict=True))
-            rest = rest[[(x, y) not in shown for x, y in zip(doc[rest], item[rest], strict=True)]] if len(rest) else rest
+            if self.errors == 1:
+                most = np.zeros(len(rest), np.int64)
+                for p, a, step in ((pos[rest] + right[rest], at[rest] + right[rest], 1), (pos[rest] - left[rest] - 1, at[rest] - left[rest] - 1, -1)):
+                    there = (a >= i0[rest]) & (a < i1[rest])
+                    for dp, da in ((1, 1), (1, 0), (0, 1)):  # a word changed, added, left out
+                        gain = da + agree(p + step * dp, a + step * da, step, rest)
+                        most = np.maximum(most, np.where(there | (da == 0), gain, 0))
+                rest = rest[length[rest] + most >= self.run]
+            shown = np.unique(found[0]["doc"].to_numpy(np.int64) * len(self.ids) + found[0]["item"].to_numpy(np.int64))
+            rest = rest[~np.isin(doc[rest] * len(self.ids) + item[rest], shown)]
             for part in (rest[i : i + 20_000] for i in range(0, len(rest), 20_000)):
                 for s in range(self.run - self.q + 1):  # windows that hold the tile after s of their words
                     a = at[part] - s
@@ -111,15 +136,15 @@ class Tiles:
                     col = (pos[k] - s - self.errors)[:, None] + np.arange(self.run + 2 * self.errors)
                     inside = (col >= d0[k][:, None]) & (col < d1[k][:, None])
                     text = np.where(inside, w[np.clip(col, 0, len(w) - 1)], np.uint64(0))
-                    close = (text[:, :, None] == pattern[:, None, :]).any(axis=1).sum(axis=1) >= self.run - self.errors
-                    k, pattern, text = k[close], pattern[close], text[close]
+                    if self.errors > 1:
+                        close = (text[:, :, None] == pattern[:, None, :]).any(axis=1).sum(axis=1) >= self.run - self.errors
+                        k, pattern, text = k[close], pattern[close], text[close]
                     if len(k):
                         best = myers(pattern, text)
                         good = best <= self.errors
                         k = k[good]
                         found.append(pd.DataFrame({"doc": doc[k], "item": item[k], "distance": best[good], "n_words": self.run, "doc_word": np.maximum(pos[k] - s - d0[k], 0), "item_word": at[k] - s - i0[k]}))
-        out = pd.concat(found).sort_values(["doc", "item", "distance", "n_words", "doc_word", "item_word"], ascending=[True, True, True, False, True, True]).drop_duplicates(["doc", "item"])
-        return pd.DataFrame({"doc_id": ids[out.doc.to_numpy()], "item_id": self.ids[out["item"].to_numpy()], **{c: out[c].to_numpy() for c in ("distance", "n_words", "doc_word", "item_word")}})
+        return pd.concat(found)
 
 
 def item_blocks(items: DataFrame, block: int):

@@ -19,6 +19,11 @@ def p5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), run=12, errors=1)
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share a passage of 12 words up to one edit, with the least number of edits."""
+    return p5_near(spark, sf_dir).select("doc_id", "item_id", "distance")
+
+
 def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(p5_near(spark, sf_dir))
 
@@ -93,7 +98,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, 5, 0.8, 5).groups()
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_pairs": p5_pairs, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
 
 _RUNS = r"""w AS (SELECT t, id, list_filter(regexp_extract_all(lower(body_text), '[\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (
   SELECT t, id, min_by(body_text, loaded_at) AS body_text FROM (SELECT 'questions' AS t, id, body_text, loaded_at FROM questions UNION ALL SELECT 'answers', id, body_text, loaded_at FROM answers) GROUP BY t, id)),
@@ -108,6 +113,19 @@ i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')
 dr AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS r FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
 ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS r FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)""",
+    # one word changed: windows of 12 without the j-th word; added: 13 words without an inner one; left out: 11 words
+    "p5_pairs": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM heldout_items),
+iw AS (SELECT DISTINCT item_id, w[k:k + 11] AS w FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+iv AS (SELECT DISTINCT item_id, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:12]), ' ') AS r FROM iw, unnest(range(1, 13)) AS t(j)),
+d12 AS (SELECT DISTINCT doc_id, w[k:k + 11] AS w FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+d13 AS (SELECT DISTINCT doc_id, w[k:k + 12] AS w FROM d, unnest(range(1, len(w) - 11)) AS t(k) WHERE len(w) >= 13),
+d11 AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 10], ' ') AS r FROM d, unnest(range(1, len(w) - 9)) AS t(k) WHERE len(w) >= 11),
+hits AS (SELECT doc_id, item_id, 0 AS distance FROM (SELECT doc_id, array_to_string(w, ' ') AS r FROM d12) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
+UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:12]), ' ') AS r FROM d12, unnest(range(1, 13)) AS t(j)) JOIN iv USING (j, r)
+UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, array_to_string(list_concat(w[1:j - 1], w[j + 1:13]), ' ') AS r FROM d13, unnest(range(2, 13)) AS t(j)) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
+UNION ALL SELECT doc_id, item_id, 1 FROM d11 JOIN iv USING (r))
+SELECT doc_id, item_id, min(distance) AS distance FROM hits GROUP BY ALL""",
     # any common tokenizer gives the same answer, so the SQL sizes texts by their UTF-8 bytes
     "p6_found": """WITH d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS source, strlen(text) AS n FROM documents WHERE trim(source) <> ''),
 s AS (SELECT source, sum(n) AS size FROM d GROUP BY ALL), t AS (SELECT sum(size) AS total FROM s)
