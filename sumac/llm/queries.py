@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumac.llm import leaks, markup, mixing, neardup, pairs, sentences
-from sumac.runtime import table
+from sumac.runtime import cut, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,15 +28,19 @@ def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(p5_near(spark, sf_dir))
 
 
+def _allotted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = cut(mixing.sized(table(spark, sf_dir, "documents")))  # narrow, read in every round
+    return docs, mixing.allot(docs, mixing.capacity(docs, table(spark, sf_dir, "mix_targets")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.sized(table(spark, sf_dir, "documents"))
-    return mixing.short_sources(mixing.capacity(docs, table(spark, sf_dir, "mix_targets")))
+    """Sources that the allotment leaves short with all their documents at the cap."""
+    return mixing.short_sources(_allotted(spark, sf_dir)[1])
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = mixing.sized(table(spark, sf_dir, "documents")).persist()
-    cap = mixing.capacity(docs, table(spark, sf_dir, "mix_targets"))
-    return mixing.pareto_sample(mixing.expected_copies(docs, cap)), cap
+    docs, allotted = _allotted(spark, sf_dir)
+    return mixing.pareto_sample(mixing.expected_copies(docs, allotted)), allotted
 
 
 def p6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,11 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a fixed-size sample with whole copies, per source."""
+    return mixing.sample_checks(*_mix(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "start_char", "end_char")
 
@@ -98,7 +107,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, 5, 0.8, 5).groups()
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_pairs": p5_pairs, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_types": p4_types, "p4_report": p4_report, "p7_found": p7_found, "p7_units": p7_units, "p5_found": p5_found, "p5_near": p5_near, "p5_pairs": p5_pairs, "p5_items": p5_items, "p6_found": p6_found, "p6_mix": p6_mix, "p6_shares": p6_shares, "p6_checks": p6_checks}
 
 _RUNS = r"""w AS (SELECT t, id, list_filter(regexp_extract_all(lower(body_text), '[\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (
   SELECT t, id, min_by(body_text, loaded_at) AS body_text FROM (SELECT 'questions' AS t, id, body_text, loaded_at FROM questions UNION ALL SELECT 'answers', id, body_text, loaded_at FROM answers) GROUP BY t, id)),
@@ -126,6 +135,7 @@ UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, j, array_to_string(list
 UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, array_to_string(list_concat(w[1:j - 1], w[j + 1:13]), ' ') AS r FROM d13, unnest(range(2, 13)) AS t(j)) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
 UNION ALL SELECT doc_id, item_id, 1 FROM d11 JOIN iv USING (r))
 SELECT doc_id, item_id, min(distance) AS distance FROM hits GROUP BY ALL""",
+    "p6_checks": "SELECT DISTINCT lower(trim(source)) AS source, true AS whole_copies_exact, true AS size_fixed, true AS cap_held, true AS share_met FROM mix_targets WHERE trim(source) <> ''",
     # any common tokenizer gives the same answer, so the SQL sizes texts by their UTF-8 bytes
     "p6_found": """WITH d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS source, strlen(text) AS n FROM documents WHERE trim(source) <> ''),
 s AS (SELECT source, sum(n) AS size FROM d GROUP BY ALL), t AS (SELECT sum(size) AS total FROM s)
