@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,3 +120,21 @@ def generate(prompts: DataFrame, model, column: str = "prompt") -> DataFrame:
 
 def parsed_scores(raw: DataFrame, columns: list[str]) -> DataFrame:
     return raw.select(*[c for c in raw.columns if c not in columns], *[number_or_null(F.col(c)).alias(c) for c in columns])
+
+
+def judge_messages(pairs: DataFrame, template: str, system: str | None = None, shots: list[dict] | None = None, assistant: str = "assistant") -> DataFrame:
+    """pairs with messages, an array of (role, content): the system turn, two turns for each worked example (question,
+    answer, reasoning, label), the pair's own turn. template holds {question} and {answer_text}; a null text is empty."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    fixed = [turn("system", F.lit(system))] if system else []
+    for x in shots or []:
+        fixed.append(turn("user", F.lit(template.replace("{question}", x["question"]).replace("{answer_text}", x["answer"]))))
+        fixed.append(turn(assistant, F.lit(f"{x['reasoning']}\nLABEL: {x['label']}")))
+    parts = re.split(r"(\{question\}|\{answer_text\})", template)
+    text = [F.coalesce(F.col(p[1:-1]), F.lit("")) if p in ("{question}", "{answer_text}") else F.lit(p) for p in parts if p]
+    return pairs.withColumn("messages", F.array(*fixed, turn("user", F.concat(*text))))
+
+
+def prompt_of(messages: Column) -> Column:
+    """Messages as one text for models without roles."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(m.role, F.lit(": "), m.content)), "\n\n")

@@ -10,10 +10,11 @@ from sumac.functions import formula as X
 from sumac.operators import embedding as V
 from sumac.operators import evaluation as E
 from sumac.operators import fusion as M
+from sumac.operators import rag as G
 from sumac.operators import search as S
-from sumac.plans.evaluation_queries import CUTS, _docs, _measured, _visual, _VIS
+from sumac.plans.evaluation_queries import CUTS, _measured, _visual, _VIS
 from sumac.plans.judge_queries import _text_file, scratch
-from sumac.plans.tables import ANS, KEY, QRELS, RUNS, TOP, TREC, VEC, VQRELS, answers, measures_sql, qrels, runs, topics, vector_qrels, vector_queries, vectors
+from sumac.plans.tables import ANS, KEY, QRELS, RUNS, TREC, VEC, VQRELS, answers, measures_sql, qrels, runs, vector_qrels, vector_queries, vectors
 from sumac.plans.text_queries import _LATEX_TUPLES, latex_tuples, values
 from sumac.runtime import table
 from sumac.sources import readers, writers
@@ -36,13 +37,19 @@ def query(sql: str | None = None):
 # Sources and sinks
 
 
-@query("SELECT post_type, count(*) AS n FROM (SELECT 'answer' AS post_type FROM answers UNION ALL SELECT 'question' FROM questions) GROUP BY ALL")
+@query("SELECT 'answer' AS kind, id, coalesce(score, 0) AS score, trim(parent_id) AS other_id, count(*) AS n FROM answers GROUP BY ALL UNION ALL SELECT 'question', id, coalesce(score, 0), trim(accepted_answer_id), count(*) FROM questions GROUP BY ALL")
 def a2_post_split(spark, d):
-    """Both post types in one table, split into a folder each in one pass."""
-    path = scratch(spark, "split")
-    both = table(spark, d, "answers").select("id", F.lit("answer").alias("post_type")).unionByName(table(spark, d, "questions").select("id", F.lit("question").alias("post_type")))
-    both.write.partitionBy("post_type").parquet(path)
-    return spark.read.parquet(path).groupBy(F.col("post_type").cast("string").alias("post_type")).agg(F.count(F.lit(1)).alias("n"))
+    """All posts in one file of rows, other types among them, split by type in one pass each."""
+    path = scratch(spark, "posts")
+    kind = lambda df, t, **more: df.select(F.lit(t).alias("_PostTypeId"), *[c.alias(f"_{n}") for n, c in more.items()])
+    body = F.lit("<p>b</p>")
+    a = kind(table(spark, d, "answers"), 2, Id=F.col("id"), ParentId=F.trim("parent_id"), Score=F.col("score"), Body=body)
+    q = kind(table(spark, d, "questions"), 1, Id=F.col("id"), Title=F.col("title"), AcceptedAnswerId=F.trim("accepted_answer_id"), Score=F.col("score"), Body=body)
+    other = kind(table(spark, d, "removed_posts"), 5, Id=F.col("post_id"))
+    a.unionByName(q, True).unionByName(other, True).write.format("xml").option("rootTag", "posts").option("rowTag", "row").save(path)
+    answers_, questions = readers.split_posts(readers.posts_xml(spark, path))
+    one = lambda df, kind, other: df.select(F.lit(kind).alias("kind"), "id", "score", F.col(other).alias("other_id"))
+    return one(answers_, "answer", "parent_id").unionByName(one(questions, "question", "accepted_answer_id")).groupBy("kind", "id", "score", "other_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS n FROM topics")
@@ -53,12 +60,19 @@ def a7_projected_tsv(spark, d):
     return readers.numbered_tsv(spark, path, columns=["topic_id"]).agg(F.count("topic_id").alias("n"))
 
 
-@query("SELECT 2 AS n_rows, 2 AS n_good")
+@query("SELECT id, count(*) AS n, 1::BIGINT AS n_skipped FROM questions GROUP BY id")
 def a19_many_shards(spark, d):
-    """Several shard folders as one table, in shard order."""
-    paths = [_text_file(spark, f"shard{k}", f"id\tformula\n{k}\tx^{k}") for k in (1, 2)]
-    t = readers.numbered_tsv(spark, paths)
-    return t.agg(F.count(F.lit(1)).cast("int").alias("n_rows"), F.count_if(F.col("id").isNotNull()).cast("int").alias("n_good"))
+    """Shards of a table with an unreadable one among them, which is left out and named."""
+    path, bad = scratch(spark, "shards"), scratch(spark, "bad")
+    table(spark, d, "questions").select("id", "score").write.option("sep", "\t").option("header", True).csv(path)
+    spark.createDataFrame([("no zipped file",)], "value string").coalesce(1).write.text(bad)
+    fs = spark._jvm.org.apache.hadoop.fs
+    home = fs.Path(bad).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in home.listStatus(fs.Path(bad)) if f.getPath().getName().startswith("part-"))
+    home.rename(part, fs.Path(f"{path}/part-99999.csv.gz"))
+    n = readers.skipped_files(spark, path).agg(F.count_if(F.col("file_name") == "part-99999.csv.gz").alias("n_skipped"))
+    t = readers.numbered_tsv(spark, path, schema="id string, score int", skip_unreadable=True)
+    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n))  # one row
 
 
 @query("SELECT DISTINCT gen_id, topic_id, k FROM generations")
@@ -117,11 +131,15 @@ def c25_minmax(spark, d):
     return runs(spark, d).select("run", "qid", "doc_id", F.round(M.minmax(F.col("score"), ["run", "qid"]), 6).alias("scaled"))
 
 
-@query("SELECT DISTINCT topic_id, answer_id, md5('Example one: 3' || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer: ' || coalesce(answer_text, '')) AS prompt_md5 FROM judge_pairs")
+_SHOTS = [{"question": "Is 7 prime?", "answer": "Yes, {7} has no divisor.", "reasoning": "It answers.", "label": 3}, {"question": "Is 9 prime?", "answer": "It is odd.", "reasoning": "It does not answer.", "label": 0}]
+_TURNS = "system: Grade from 0 to 3." + "".join(f"\n\nuser: Q: {x['question']}\nA: {x['answer']}\nGrade?\n\nassistant: {x['reasoning']}\nLABEL: {x['label']}" for x in _SHOTS)
+
+
+@query(f"SELECT DISTINCT topic_id, answer_id, 6 AS n_messages, md5('{_TURNS}' || chr(10) || chr(10) || 'user: Q: ' || coalesce(question, '') || chr(10) || 'A: ' || coalesce(answer_text, '') || chr(10) || 'Grade?') AS prompt_md5 FROM judge_pairs")
 def c31_judge_prompt(spark, d):
-    """The judge's prompt: a fixed turn as example, then the pair."""
-    p = F.concat(F.lit("Example one: 3\nQuestion: "), F.coalesce("question", F.lit("")), F.lit("\nAnswer: "), F.coalesce("answer_text", F.lit("")))
-    return table(spark, d, "judge_pairs").select("topic_id", "answer_id", F.md5(p).alias("prompt_md5")).distinct()
+    """The judge's turns: the system's, two worked examples, then the pair."""
+    m = G.judge_messages(table(spark, d, "judge_pairs"), "Q: {question}\nA: {answer_text}\nGrade?", "Grade from 0 to 3.", _SHOTS)
+    return m.select("topic_id", "answer_id", F.size("messages").alias("n_messages"), F.md5(G.prompt_of(F.col("messages"))).alias("prompt_md5")).distinct()
 
 
 # Formula structure
@@ -316,12 +334,10 @@ def j5_depth_cut(spark, d):
     return E.trec_order(runs(spark, d), ["run", "qid"], 20).select("run", "qid", "doc_id", "score")
 
 
-@query("SELECT least(greatest(count(*) // 10, 40 * 16), count(*))::BIGINT AS n FROM embeddings")
+@query("SELECT vec_id AS doc_id FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('7|' || vec_id), vec_id) AS k, count(*) OVER () AS n FROM embeddings) WHERE k <= least(greatest(n // 10, 40 * 16), n)")
 def j7_training_sample(spark, d):
-    """Size of the index's training sample: a tenth, at least forty a cell, at most all."""
-    v = vectors(spark, d)
-    n = v.agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.least(F.greatest(F.floor(F.col("n") / 10), F.lit(640)), F.col("n")).cast("bigint").alias("n"))
+    """The index's training sample: a tenth of the vectors, at least forty a cell, at most all, without replacement."""
+    return S.training_sample(vectors(spark, d), 16).select("doc_id")
 
 
 @query(f"WITH {RUNS}, {TREC} SELECT qid, count(*) AS n_docs FROM (SELECT DISTINCT qid, doc_id FROM trec WHERE rank <= 50) GROUP BY qid")
@@ -378,10 +394,17 @@ def o3_chunked_submission(spark, d):
     return spark.read.parquet(done).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk").cast("int").alias("n_chunks"))
 
 
-@query(f"WITH {ANS}, {TOP} SELECT count(*) AS n_docs, (SELECT count(*) FROM top) AS n_topics FROM ans WHERE body_text IS NOT NULL")
-def o2_index_input(spark, d):
-    """What an index build reads, once each."""
-    return _docs(spark, d).agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(topics(spark, d).agg(F.count(F.lit(1)).alias("n_topics")))
+@query("SELECT vec_id AS doc_id, 1::BIGINT AS n, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm, 3 AS n_batches FROM embeddings")
+def o2_index_resume(spark, d):
+    """An index built from files over three starts, each going on where the last one stopped; every vector is in it once."""
+    src, index, mark = (scratch(spark, x) for x in ("vsrc", "vindex", "vmark"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    for k in range(3):
+        v.filter(F.col("doc_id") % 3 == k).coalesce(1).write.mode("append").parquet(src)
+        ingest.build_index(spark, src, "doc_id bigint, v array<float>", index, mark, lambda df: df.withColumn("norm", F.round(C.norm(F.col("v")), 5)))
+    built = spark.read.parquet(index)
+    n = built.agg(F.countDistinct("batch").cast("int").alias("n_batches"))
+    return built.groupBy("doc_id", "norm").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n))  # one row
 
 
 QUERIES = Q

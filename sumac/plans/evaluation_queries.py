@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from sumac.operators import evaluation as E
 from sumac.operators import fusion as M
 from sumac.operators import search as S
 from sumac.plans.tables import ANS, LAB, QRELS, RUNS, TOP, TREC, VEC, VQRELS, answers, labels, measures_sql, qrels, runs, topics, vector_qrels, vector_queries, vectors
-from sumac.runtime import table
+from sumac.runtime import shared_dir, table
+from sumac.sources import readers, writers
 
 CUTS = (5, 10, 20, 100, 1000)
 NAMES = [f"{m}_{k}" for k in CUTS for m in ("ndcg", "p", "recall", "map")] + ["map", "bpref"]
@@ -300,11 +303,17 @@ def l11_pool(spark, d):
     return E.pool(runs(spark, d), 20)
 
 
-@query(f"{_M}, mean AS (SELECT run, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(map), 6) AS map FROM m GROUP BY run) SELECT run, 'ndcg_10' AS metric, ndcg_10 AS value, abs(ndcg_10 - round(ndcg_10, 3)) <= 0.0005 AS ok FROM mean UNION ALL SELECT run, 'map', map, abs(map - round(map, 3)) <= 0.0005 FROM mean")
+@query(f"{_M}, mean AS (SELECT round(avg(ndcg_10), 6) AS ndcg_10, round(avg(map), 6) AS map, round(avg(p_10), 6) AS p_10 FROM m WHERE run = 'c'), v AS (UNPIVOT mean ON ndcg_10, map, p_10 INTO NAME metric VALUE value) SELECT metric, value, CASE WHEN metric = 'map' THEN round(value, 3) + 0.002 ELSE round(value, 3) END AS published, metric <> 'map' AS ok FROM v")
 def l12_calibration(spark, d):
-    """Means against numbers published with three decimals."""
-    mean = E.long_form(E.macro(_measured(spark, d, False), ["ndcg_10", "map"], by=("run",)), ["run"], ["ndcg_10", "map"])
-    return mean.select("run", "metric", "value", (F.abs(F.col("value") - F.round("value", 3)) <= 0.0005).alias("ok"))
+    """Means against numbers published with three decimals: those of the run as a file gives it, one of them misprinted."""
+    names = ["ndcg_10", "map", "p_10"]
+    ours = E.long_form(E.macro(_measured(spark, d, False).filter("run = 'c'"), names), [], names)
+    run_path, judged_path = (f"{shared_dir(spark)}/sumac-{x}-{uuid.uuid4().hex}" for x in ("calrun", "calqrels"))
+    writers.write_run(M.ranked(runs(spark, d).filter("run = 'c'")), run_path, "c", rounded=False)
+    writers.write_qrels(vector_qrels(spark, d), judged_path)
+    again = E.measures(readers.run(spark, run_path).select("qid", "doc_id", "score"), readers.qrels(spark, judged_path), CUTS)
+    published = E.long_form(E.macro(again, names), [], names).select("metric", (F.round("value", 3) + F.when(F.col("metric") == "map", 0.002).otherwise(0.0)).alias("published"))
+    return E.calibrate(ours, published)
 
 
 @query(f"{_M} SELECT run, count(*) AS n_queries, {', '.join(f'round(avg({n}), 6) AS {n}' for n in NAMES)} FROM m GROUP BY run")

@@ -92,23 +92,37 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def numbered_tsv(spark: SparkSession, path: str | list[str], schema: str | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Numbered TSV shards with headers: shard number, unlimited field size, projected to columns. Unreadable files are skipped."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("maxCharsPerColumn", -1).option("quote", "").option("ignoreCorruptFiles", True)
+def numbered_tsv(spark: SparkSession, path: str | list[str], schema: str | None = None, columns: list[str] | None = None, limit: int | None = None, skip_unreadable: bool = False) -> DataFrame:
+    """Numbered TSV shards with headers: shard number, unlimited field size, projected to columns.
+
+    An unreadable shard is an error unless skip_unreadable; `skipped_files` then names those that were left out."""
+    reader = spark.read.option("sep", "\t").option("header", True).option("maxCharsPerColumn", -1).option("quote", "").option("ignoreCorruptFiles", skip_unreadable)
     df = (reader.schema(schema) if schema else reader).csv(path)
     shard = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("int").alias("shard")
     df = df.select(*(columns or df.columns), shard)
     return df.limit(limit) if limit else df
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of white-space separated lines with their file and offset order."""
+def skipped_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file_name of every non-empty file of which no line can be read. Files are read as lines, one column of which only the first is needed."""
+    paths = [path] if isinstance(path, str) else path
+    there = spark.read.format("binaryFile").load(paths).filter("length > 0").select("path")
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths).select(F.col("_metadata.file_path").alias("path")).distinct()
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    return there.select(name).join(lines.select(name), "file_name", "left_anti")
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Fields of white-space separated lines with their place: file, start of its block, line within the block.
+
+    Splits are packed into partitions by size, so that row numbers alone do not follow the files."""
     df = spark.read.text(path)
-    return df.select(F.split(F.trim(F.col("value")), r"\s+").alias("p"), F.monotonically_increasing_id().alias("pos"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return df.select(F.split(F.trim(F.col("value")), r"\s+").alias("p"), place.alias("pos"))
 
 
-def qrels(spark: SparkSession, path: str) -> DataFrame:
-    """qid, doc_id, rel; lines of fewer than four fields skipped, the last of repeated pairs wins."""
+def qrels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """qid, doc_id, rel; lines of fewer than four fields skipped; of repeated pairs the last wins, by file name and line."""
     df = _lines(spark, path).filter(F.size("p") >= 4).select(F.col("p")[0].alias("qid"), F.col("p")[2].alias("doc_id"), F.col("p")[3].try_cast("int").alias("rel"), "pos")
     return df.groupBy("qid", "doc_id").agg(F.max_by("rel", "pos").alias("rel"))
 
@@ -158,6 +172,8 @@ def checked_runs(spark: SparkSession, paths: list[str], least: int = 2) -> list[
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
             raise FileNotFoundError(p)
+        if any(f.isDirectory() for f in fs.listStatus(path)):
+            raise ValueError(f"not a file, nor a folder of part files: {p}")
         if fs.getContentSummary(path).getLength() == 0:
             raise ValueError(f"empty run: {p}")
     return paths

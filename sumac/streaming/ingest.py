@@ -40,3 +40,15 @@ def cache_through(cache: str, keys: list[str]) -> Callable[[DataFrame, int], Non
 def split_cached(pairs: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Pairs the cache holds, and those that remain."""
     return pairs.join(cache, keys), pairs.join(cache.select(*keys), keys, "left_anti")
+
+
+def build_index(spark: SparkSession, source: str, schema: str, index: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], per_batch: int | None = None, fmt: str = "parquet") -> None:
+    """Files of source that the index lacks, prepared and added to it, then stop.
+
+    The log of the checkpoint is the offset: a start goes on after the last committed file. A batch writes a folder of its own
+    (column batch), so that one which was cut short is written over, not added twice."""
+
+    def add(df: DataFrame, k: int) -> None:
+        prepare(df).write.mode("overwrite").parquet(f"{index}/batch={k}")
+
+    submit_chunks(spark, source, schema, checkpoint, add, per_batch or 1_000_000, fmt)
