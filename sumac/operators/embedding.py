@@ -19,9 +19,18 @@ def train(lines: DataFrame, dim: int = 150, window: int = 5, epochs: int = 5, le
 
 
 def elementwise_mean(df: DataFrame, by: list[str], v: str = "v") -> DataFrame:
-    """by, v: mean of vectors, one partial row a component before the shuffle."""
-    parts = df.select(*by, F.posexplode(v).alias("i", "x")).groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("v"))  # one entry a dimension
+    """by, v: mean of vectors, summed in partitions before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return df.groupBy(*by).agg(Summarizer.mean(array_to_vector(F.col(v).cast("array<double>"))).alias("_m")).select(*by, vector_to_array("_m").alias("v"))
+
+
+def hashed_vectors(tokens: DataFrame, dim: int = 64) -> DataFrame:
+    """token, v of every distinct token without training: 1 or -1 at a dimension of its hash."""
+    digit = lambda a, n: F.conv(F.substring(F.md5("token"), a, n), 16, 10).cast("int")
+    t = tokens.select("token").distinct().select("token", (digit(1, 4) % dim).alias("i"), F.when(digit(5, 1) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+    return t.select("token", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.when(k == F.col("i"), F.col("s")).otherwise(0.0)).alias("v"))
 
 
 def sentence_vectors(tokens: DataFrame, vectors: DataFrame, key: str, dim: int) -> DataFrame:

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumac.functions import columns as C
+from sumac.operators import embedding as V
 from sumac.operators import evaluation as E
 from sumac.operators import fusion as M
 from sumac.operators import search as S
 from sumac.plans.tables import ANS, LAB, QRELS, RUNS, TOP, TREC, VEC, VQRELS, answers, labels, measures_sql, qrels, runs, topics, vector_qrels, vector_queries, vectors
-from sumac.runtime import shared_dir, table
+from sumac.runtime import broadcast_if_small, cut, shared_dir, table
 from sumac.sources import readers, writers
 
+#: Tokens of a formula in LaTeX.
+LATEX_TOKEN = r"\\[A-Za-z]+|[A-Za-z]|[0-9]+|[^\sA-Za-z0-9\\$]"
 CUTS = (5, 10, 20, 100, 1000)
 NAMES = [f"{m}_{k}" for k in CUTS for m in ("ndcg", "p", "recall", "map")] + ["map", "bpref"]
 Q: dict = {}
@@ -51,8 +54,11 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ANS}, {TOP}, {_BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf)::INTEGER AS max_tf FROM post GROUP BY term")
 def f1_sparse_index(spark, d):
-    """Postings of all answers, by term."""
-    return S.TextIndex(_docs(spark, d)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    """Postings of all answers in a stored index, which a second build with other documents leaves as it is."""
+    path = f"{shared_dir(spark)}/sumac-text-{uuid.uuid4().hex}"
+    S.build_text_index(_docs(spark, d), path)
+    index = S.build_text_index(_docs(spark, d).filter("false"), path)
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 @query(f"WITH {ANS}, {TOP}, {_BM25} SELECT qid, doc_id, rank::INTEGER AS rank, score FROM bmr")
@@ -63,7 +69,7 @@ def f2_bm25(spark, d):
 @query(f"WITH {ANS}, {TOP}, {QRELS}, {_BM25}, {measures_sql('bmr0', 'qrels', (5, 10, 20), False, 'qid')}".replace("ideal AS", "bmr0 AS (SELECT qid, doc_id, score FROM bmr), ideal AS", 1) + ", h AS (SELECT qid, round(avg(CASE WHEN q.doc_id IS NULL THEN 1.0 ELSE 0 END), 6) AS hole_rate FROM bmr LEFT JOIN qrels q USING (qid, doc_id) WHERE bmr.rank <= 10 GROUP BY qid) SELECT qid, ndcg_10, p_10, map, bpref, hole_rate FROM m JOIN h USING (qid)")
 def f2_bm25_eval(spark, d):
     """BM25 of all topics over all answers, judged: nDCG, precision, MAP, bpref and holes at 10."""
-    run, q = _bm25(spark, d).persist(), qrels(spark, d)
+    run, q = cut(_bm25(spark, d)), qrels(spark, d)
     m = E.measures(run.select("qid", "doc_id", "score"), q, (5, 10, 20))
     return m.select("qid", "ndcg_10", "p_10", "map", "bpref").join(E.hole_rate(run, q, 10, ["qid"]), "qid")
 
@@ -85,39 +91,58 @@ def f5_cells_exact(spark, d):
     return S.cell_search(vectors(spark, d), vector_queries(spark, d), 10, cells=16, probes=16).select("qid", "doc_id", "rank")
 
 
-@query()
-def f6_cells_recall(spark, d):
-    """Recall at 10 of half-precision cells at several probe counts, against the exact search; the index holds every vector."""
-    v, q = vectors(spark, d), vector_queries(spark, d)
-    exact = S.exact_search(v, q, 10, "l2").select("qid", "doc_id").persist()
-    out = None
-    for p in (1, 4, 12):
-        hit = S.cell_search(v, q, 10, cells=16, probes=p, quantised=True).select("qid", "doc_id").join(exact, ["qid", "doc_id"]).agg(F.count(F.lit(1)).alias("k"))
-        one = hit.crossJoin(exact.agg(F.count(F.lit(1)).alias("n"))).select(F.lit(p).alias("probes"), F.round(F.col("k") / F.col("n"), 4).alias("recall"))
+_BOUNDS = [("half", 12, 0.9), ("half", 16, 0.99), ("byte", 12, 0.85), ("byte", 16, 0.9)]
+
+
+def recall(spark, vectors_, queries_, cells, bounds):
+    """store, probes, reached: whether the recall at 10 against the exact search is at least its bound; each index is built once."""
+    exact = cut(S.exact_search(vectors_, queries_, 10, "l2").select("qid", "doc_id"))
+    n, out, built = exact.count(), None, {}
+    for store, probes, least in bounds:
+        if store not in built:
+            built[store] = S.build_cell_index(vectors_, f"{shared_dir(spark)}/sumac-cells-{uuid.uuid4().hex}", cells, store)
+        hit = built[store].search(queries_, 10, probes).select("qid", "doc_id").join(exact, ["qid", "doc_id"]).agg(F.count(F.lit(1)).alias("k"))
+        one = hit.select(F.lit(store).alias("store"), F.lit(probes).alias("probes"), (F.col("k") >= least * n).alias("reached"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-_FORM = r"""tf AS (SELECT topic_id AS qid, unnest(formulas) AS f FROM topics), tq AS (SELECT qid, f.formula_id AS fid, trim(regexp_replace(f.latex, '^\$|\$$', '', 'g')) AS latex FROM tf),
-af AS (SELECT id AS doc_id, unnest(formulas) AS f FROM ans), ad AS (SELECT DISTINCT doc_id, trim(regexp_replace(f.latex, '^\$|\$$', '', 'g')) AS latex FROM af),
-hit AS (SELECT qid, fid, doc_id, row_number() OVER (PARTITION BY qid, fid ORDER BY doc_id) AS rank FROM tq JOIN ad USING (latex) WHERE length(latex) > 1)"""
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, true)" for a, b, _ in _BOUNDS) + ") AS t(store, probes, reached)")
+def f6_cells_recall(spark, d):
+    """Recall at 10 of cells in half precision and in bytes, against the exact search; the index holds every vector."""
+    return recall(spark, vectors(spark, d), vector_queries(spark, d), 16, _BOUNDS)
+
+
+_FORM = rf"""tf AS (SELECT topic_id AS qid, unnest(formulas) AS f FROM topics), tq AS (SELECT qid, f.formula_id AS fid, f.latex AS latex FROM tf),
+af AS (SELECT id AS doc_id, unnest(formulas) AS f FROM ans), owner AS (SELECT DISTINCT f.formula_id AS formula_id, doc_id FROM af), cf AS (SELECT f.formula_id AS formula_id, min(f.latex) AS latex FROM af GROUP BY 1),
+fm AS (SELECT DISTINCT latex FROM (SELECT latex FROM tq UNION ALL SELECT latex FROM cf)),
+tk AS (SELECT latex, unnest(regexp_extract_all(latex, '{LATEX_TOKEN}')) AS token FROM fm),
+hv AS (SELECT latex, ('0x' || substring(md5(token), 1, 4))::BIGINT % 64 AS i, sum(CASE WHEN ('0x' || substring(md5(token), 5, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM tk WHERE token <> '' GROUP BY ALL),
+nv AS (SELECT latex, sqrt(sum(x * x)) AS n FROM hv GROUP BY latex HAVING sum(x * x) > 0),
+dots AS (SELECT a.latex AS la, b.latex AS lb, sum(a.x * b.x) AS s FROM hv a JOIN hv b USING (i) WHERE a.latex IN (SELECT latex FROM tq) AND b.latex IN (SELECT latex FROM cf) GROUP BY ALL),
+sims AS (SELECT qid, fid, formula_id, round(coalesce(s, 0) / (x.n * y.n), 6) AS score FROM tq JOIN nv x ON x.latex = tq.latex CROSS JOIN (SELECT cf.*, nv.n FROM cf JOIN nv USING (latex)) y LEFT JOIN dots ON la = tq.latex AND lb = y.latex),
+hit AS (SELECT qid, fid, formula_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, fid ORDER BY score DESC, formula_id) AS rank FROM sims) JOIN owner USING (formula_id) WHERE rank <= 200)"""
 
 
 def _formula_hits(spark, d):
-    plain = lambda c: F.trim(F.regexp_replace(c, r"^\$|\$$", ""))
-    t = table(spark, d, "topics").select(F.col("topic_id").alias("qid"), F.explode("formulas").alias("f")).select("qid", F.col("f.formula_id").alias("fid"), plain(F.col("f.latex")).alias("latex")).filter("length(latex) > 1")
-    a = answers(spark, d).select(F.col("id").alias("doc_id"), F.explode("formulas").alias("f")).select("doc_id", plain(F.col("f.latex")).alias("latex")).distinct()
-    return S.top(a.join(t, "latex"), ["qid", "fid"], [F.asc("doc_id")], None)
+    """Hits of all topic formulas among the formulas of all answers, by vectors of hashed tokens."""
+    t = table(spark, d, "topics").select(F.col("topic_id").alias("qid"), F.explode("formulas").alias("f")).select("qid", F.col("f.formula_id").alias("fid"), F.col("f.latex").alias("latex"))
+    a = answers(spark, d).select(F.col("id").alias("doc_id"), F.explode("formulas").alias("f")).select("doc_id", F.col("f.formula_id").alias("formula_id"), F.col("f.latex").alias("latex"))
+    c = a.groupBy("formula_id").agg(F.min("latex").alias("latex"))
+    words = t.select("latex").unionByName(c.select("latex")).distinct().select("latex", F.explode(F.regexp_extract_all("latex", F.lit(LATEX_TOKEN), F.lit(0))).alias("token")).filter("token <> ''")
+    v = cut(V.sentence_vectors(words, V.hashed_vectors(words, 64), "latex", 64).filter(C.norm(F.col("v")) > 0))
+    return S.formula_search(c.join(v, "latex"), t.join(v, "latex"), a.select("formula_id", "doc_id").distinct(), 200)
 
 
-@query(f"WITH {ANS}, {_FORM} SELECT qid, fid, doc_id, rank::INTEGER AS rank FROM hit WHERE rank <= 1000")
+@query(f"WITH {ANS}, {_FORM} SELECT qid, fid, formula_id, doc_id, rank::INTEGER AS rank FROM hit")
 def f10_formula_search(spark, d):
-    """All formulas of all topics in one batch, each with its list of answers."""
-    return _formula_hits(spark, d).filter("rank <= 1000").select("qid", "fid", "doc_id", "rank")
+    """All formulas of all topics in one batch, each with its list of formulas and answers."""
+    return _formula_hits(spark, d).select("qid", "fid", "formula_id", "doc_id", "rank")
 
 
 @query(f"WITH {ANS}, {_FORM}, s AS (SELECT qid, doc_id, round(sum(1.0 / (rank + 60)), 9) AS score FROM hit GROUP BY ALL) SELECT qid, doc_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 1000")
 def f11_merge_hits(spark, d):
+    """Every hit of every formula of a topic, merged by answer."""
     return S.merge_formula_hits(_formula_hits(spark, d)).select("qid", "doc_id", "rank")
 
 
@@ -386,11 +411,11 @@ def i6_two_rankings(spark, d):
 def j2_natural_order(spark, d):
     """Lines of a judgement file in natural order, numbered without bringing them to one task."""
     q = qrels(spark, d).orderBy(C.topic_key(F.col("qid")), C.doc_key(F.col("doc_id")))
-    q = q.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")).persist()
+    q = cut(q.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
     n = q.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("first"))  # one row a partition
     before = F.aggregate(F.filter("all", lambda x: x.p < F.col("p")), F.lit(0).cast("bigint"), lambda s, x: s + x.k)
     n = n.crossJoin(n.agg(F.collect_list(F.struct("p", "k")).alias("all"))).select("p", "first", before.alias("before"))
-    return q.join(F.broadcast(n), "p").select("qid", "doc_id", "rel", (F.col("m") - F.col("first") + F.col("before") + 1).alias("line"))
+    return q.join(broadcast_if_small(n, 100_000), "p").select("qid", "doc_id", "rel", (F.col("m") - F.col("first") + F.col("before") + 1).alias("line"))
 
 
 @query(f"WITH {QRELS} SELECT qid, doc_id, rel FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5('7|' || doc_id), doc_id) AS n, count_if(rel >= 2) OVER (PARTITION BY qid) AS k FROM qrels) WHERE n <= k")

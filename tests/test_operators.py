@@ -205,3 +205,65 @@ def test_kappa_by_hand(spark):
     t = A.kendall(s).first()
     assert t.tau == 1.0 and t.tau_b == pytest.approx(2 / math.sqrt(6), abs=1e-6)
     assert A.spearman(s).first().rho == pytest.approx(math.sqrt(3) / 2, abs=1e-6)
+
+
+def test_stored_text_index_is_kept_or_forced(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"ring {'field ' * (k % 4)} x{k}") for k in range(20)] + [(90, None)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "ring field"), (2, "x3 nothing"), (3, None)], "qid bigint, text string")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "rank", "score").collect()))
+    want, path = rows(S.bm25(S.TextIndex(docs), asked, 5)), str(tmp_path / "text")
+    index = S.build_text_index(docs, path)
+    assert rows(S.bm25(index, asked, 5)) == want == rows(S.bm25(index, asked, 5, max_query_terms=0))
+    assert rows(S.bm25(S.build_text_index(docs.limit(0), path), asked, 5)) == want
+    assert S.build_text_index(docs, path, force=True, limit=3).totals.first().n == 3
+
+
+def test_stored_cells(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    v = spark.createDataFrame([(k, [float(y) for y in r]) for k, r in enumerate(rng.normal(size=(300, 8)))] + [(900, None)], "doc_id bigint, v array<double>")
+    q = v.filter("doc_id % 20 = 0 AND v IS NOT NULL").selectExpr("doc_id AS qid", "v AS q")
+    exact = {(r.qid, r.doc_id) for r in S.exact_search(v, q, 10, "l2").collect()}
+    for store, least in (("whole", 1.0), ("half", 0.98), ("byte", 0.9)):
+        index = S.build_cell_index(v, str(tmp_path / store), 8, store)
+        found = {(r.qid, r.doc_id) for r in index.search(q, 10, 8).collect()}
+        assert len(found & exact) >= least * len(exact) and index.cells.count() == 300
+        assert S.build_cell_index(v.limit(0), str(tmp_path / store), 8, store).cells.count() == 300
+    assert S.build_cell_index(v, str(tmp_path / "half"), 8, "half", force=True).search(q.limit(0), 10, 2).count() == 0
+    files = S.build_cell_index(v, str(tmp_path / "whole")).search(q.limit(1), 10, 1)
+    assert 0 < files.count() <= 10
+
+
+def test_hash_sample_has_its_size(spark):
+    v = spark.range(3000).selectExpr("id AS doc_id", "array(1.0D) AS v")
+    assert S.training_sample(v, 16).distinct().count() == 640 and S.training_sample(v.limit(50), 16).count() == 50
+    assert S.hash_sample(v, "doc_id", 0).count() == 0 and S.hash_sample(v, "doc_id", 1234).count() == 1234
+
+
+def test_the_last_line_wins_across_files_and_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("q 0 d 0\n")
+    (tmp_path / "b.txt").write_text("".join(f"q 0 e{k} 1\n" for k in range(3000)) + "q 0 d 2\nq 0 d 3\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.doc_id: r.rel for r in readers.qrels(spark, str(tmp_path)).collect()}
+        assert got["d"] == 3 and len(got) == 3001
+        (tmp_path / "r.run").write_text("".join(f"q Q0 d{k} {k} 0.5 n\n" for k in range(2000)))
+        order = [r.doc_id for r in readers.run(spark, str(tmp_path / "r.run")).orderBy("pos").collect()]
+        assert order == [f"d{k}" for k in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_unreadable_shards_are_errors_or_named(spark, tmp_path):
+    (tmp_path / "1.tsv").write_text("id\tformula\n1\tx\n")
+    (tmp_path / "2.tsv.gz").write_bytes(b"no gzip")
+    schema = "id string, formula string"
+    with pytest.raises(Exception):
+        readers.numbered_tsv(spark, str(tmp_path), schema).collect()
+    assert readers.numbered_tsv(spark, str(tmp_path), schema, skip_unreadable=True).count() == 1
+    assert [r.file_name for r in readers.skipped_files(spark, str(tmp_path)).collect()] == ["2.tsv.gz"]
+
+
+def test_judge_messages(spark):
+    p = spark.createDataFrame([("Why?", None)], "question string, answer_text string")
+    m = R.judge_messages(p, "Q {question} A {answer_text}", "S", [{"question": "q", "answer": "a", "reasoning": "r", "label": 2}], "model").first().messages
+    assert [(x.role, x.content) for x in m] == [("system", "S"), ("user", "Q q A a"), ("model", "r\nLABEL: 2"), ("user", "Q Why? A ")]
