@@ -239,6 +239,20 @@ def _split(node: Node) -> Node:
     return node
 
 
+#: Operators among the elements of content MathML.
+OPERATORS = frozenset(
+    """abs and approx arg cartesianproduct card ceiling codomain compose conjugate curl declare diff divergence divide domain eq
+    equivalent exists exp factorial factorof floor fn forall gcd geq grad gt ident image imaginary implies in int intersect inverse
+    lambda laplacian lcm leq limit ln log logbase lt max mean median min minus mode moment momentabout neq not notin notprsubset
+    notsubset or outerproduct partialdiff piece piecewise plus power product prsubset quotient real reln rem root scalarproduct
+    sdev selector setdiff subset sum tendsto times transpose union variance vectorproduct xor""".split()
+)
+
+
+class UnknownElement(ValueError):
+    """A content element that is no part of the language; its formula has no tuples."""
+
+
 def _operator(tag: str, kids: list[Node]) -> Node:
     label = (lambda k: "0") if tag.startswith("U") else (lambda k: POSITIONS[min(k, MAX_KIDS - 1)])
     return _split(Node(tag, [(label(k), n) for k, n in enumerate(kids)]))
@@ -313,6 +327,8 @@ def _operator_tree(e: ET.Element, known: dict, last: list) -> Node | None:
         return Node(f"U!{name}")
     if name in CONSTANTS:
         return Node(f"C!{name}")
+    if name not in OPERATORS and name not in ("unknown", "annotation"):
+        raise UnknownElement(name)
     tag = f"-!{clean_symbol(e.text)}" if name in ("unknown", "annotation") else f"O!{name}"
     return _operator(tag, [sub(k) for k in kids])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sumac.operators.search import top
+from sumac.runtime import broadcast_if_small
 
 RELEVANT = 2
 
@@ -74,7 +75,7 @@ def macro(per_query: DataFrame, names: list[str], qrels: DataFrame | None = None
     if qrels is not None:
         topics = qrels.select("qid").distinct()
         if by:
-            topics = topics.crossJoin(F.broadcast(per_query.select(*by).distinct()))  # one row a run
+            topics = topics.crossJoin(broadcast_if_small(per_query.select(*by).distinct(), 100_000))  # all topics of all runs are the result
         per_query = topics.join(per_query, [*by, "qid"], "left")
         means = [F.round(F.avg(F.coalesce(F.col(n), F.lit(0.0))), 6).alias(n) for n in names]
     else:

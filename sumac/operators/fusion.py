@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sumac.operators.search import top
+from sumac.runtime import broadcast_if_small
 
 
 def ranked(runs: DataFrame, depth: int | None = None) -> DataFrame:
@@ -31,7 +32,7 @@ def rrf(runs: DataFrame, k: int = 60, depth: int | None = None, weights: DataFra
     r = ranked(runs)
     part = F.lit(1.0) / (F.col("rank") + k)
     if weights is not None:
-        r = r.join(F.broadcast(weights), "run")  # one row a run
+        r = r.join(broadcast_if_small(weights, 100_000), "run")
         part = part * F.col("weight")
     return _cut(r.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), depth)
 
@@ -82,3 +83,16 @@ def churn(reranked: DataFrame, pool: int) -> DataFrame:
         F.round(F.avg(F.abs(d)), 6).alias("mean_shift"),
         F.round(F.when(n > 1, F.lit(1.0) - F.lit(6.0) * F.sum(d * d) / (n * (n * n - 1))).otherwise(F.lit(1.0)), 6).alias("rho"),
     )
+
+
+def no_op(pool: DataFrame, similarity: DataFrame, churned: DataFrame, coverage: float = 40.0, topics: float = 50.0, rho: float = 0.98, spread: float = 0.01) -> DataFrame:
+    """Whether reranking can do nothing: percent of a topic's pool with similarities, percent of topics with any, mean rho, mean
+    range of the best similarities within a topic, and the verdict, true if any of them is beyond its threshold.
+
+    pool: qid, doc_id of the candidates; churned: one row a topic that was reranked, with rho."""
+    best = similarity.groupBy("qid", "doc_id").agg(F.max("sim").alias("sim"))
+    per = pool.join(best, ["qid", "doc_id"], "left").groupBy("qid").agg(F.avg(F.col("sim").isNotNull().cast("int")).alias("c"), (F.max("sim") - F.min("sim")).alias("s"))
+    a = per.agg(F.round(F.avg("c") * 100, 6).alias("coverage"), F.round(F.avg(F.col("s").isNotNull().cast("int")) * 100, 6).alias("topic_coverage"), F.round(F.coalesce(F.avg("s"), F.lit(0.0)), 6).alias("mean_spread"))
+    b = churned.agg(F.round(F.coalesce(F.avg("rho"), F.lit(1.0)), 6).alias("mean_rho"))
+    verdict = (F.col("coverage") < coverage) | (F.col("topic_coverage") < topics) | (F.col("mean_rho") > rho) | (F.col("mean_spread") < spread)
+    return a.crossJoin(F.broadcast(b)).select("*", verdict.alias("no_op"))  # one row each

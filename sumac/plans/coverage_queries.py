@@ -113,6 +113,14 @@ def c1_html_text(spark, d):
     return df.select("html", readers.html_text_udf()("html").alias("t")).select("html", "t.text", F.size("t.formulas").alias("n_formulas"))
 
 
+@query()
+def c1_html_bodies(spark, d):
+    """The same over the bodies of all answers and questions."""
+    one = lambda t: table(spark, d, t).select(F.lit(t).alias("table_name"), "id", "body_text").distinct()
+    df = one("answers").unionByName(one("questions")).filter("body_text IS NOT NULL")
+    return df.select("table_name", "id", readers.html_text_udf()("body_text").alias("t")).select("table_name", "id", "t.text", F.size("t.formulas").alias("n_formulas"))
+
+
 @query(f"WITH {QRELS} SELECT qid, sum((rel >= 2)::INT)::BIGINT AS n_relevant, count(*) AS n FROM qrels GROUP BY qid")
 def c15_binary(spark, d):
     return qrels(spark, d).groupBy("qid").agg(F.sum(C.binary(F.col("rel"))).alias("n_relevant"), F.count(F.lit(1)).alias("n"))

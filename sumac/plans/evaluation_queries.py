@@ -527,4 +527,14 @@ def m7_rerank_churn(spark, d):
     return M.churn(_reranked(spark, d), 100)
 
 
+@query(f"{_RER}, bs AS (SELECT qid, doc_id, max(sim) AS sim FROM sim GROUP BY ALL), per AS (SELECT qid, avg((sim IS NOT NULL)::INT) AS c, max(sim) - min(sim) AS s FROM r LEFT JOIN bs USING (qid, doc_id) WHERE rank <= 100 GROUP BY qid), ch AS (SELECT qid, round(1.0 - 6.0 * sum((rank - new_rank) * (rank - new_rank)) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 6) AS rho FROM r WHERE rank <= 100 AND has GROUP BY qid), v AS (SELECT round(avg(c) * 100, 6) AS coverage, round(avg((s IS NOT NULL)::INT) * 100, 6) AS topic_coverage, round(coalesce(avg(s), 0), 6) AS mean_spread FROM per), w AS (SELECT round(coalesce(avg(rho), 1), 6) AS mean_rho FROM ch) SELECT *, coverage < 40 OR topic_coverage < 50 OR mean_rho > 0.98 OR mean_spread < 0.01 AS no_op FROM v CROSS JOIN w")
+def m7_verdict(spark, d):
+    """Whether reranking by formulas can change anything."""
+    r = cut(runs(spark, d))
+    cand = M.ranked(r.filter("run = 'a'")).drop("run")
+    sim = r.filter("run <> 'a' AND qid % 60 <> 0").select("qid", F.col("run").alias("formula"), "doc_id", F.col("score").alias("sim"))
+    done = M.rerank(cand, sim).join(sim.select("qid").distinct(), "qid", "left_semi")
+    return M.no_op(cand.filter("rank <= 100").select("qid", "doc_id"), sim, M.churn(done, 100))
+
+
 QUERIES = Q

@@ -345,14 +345,15 @@ qt AS (SELECT qid, formula_id, list_distinct(tuples) AS qt FROM qf JOIN tu USING
 c AS (SELECT qid, aid, max(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, at_)) / len(qt)::DOUBLE END) AS best FROM qt JOIN ta USING (qid) GROUP BY ALL)"""
 
 
-@query(f"WITH {_CONT} SELECT qid, count(*) AS n_answers, round(avg(best), 6) AS mean, round(max(best), 6) AS most FROM c GROUP BY qid")
+@query(f"WITH {_CONT} SELECT qid, count(*) AS n_answers, round(avg(best), 6) AS mean, round(max(best), 6) AS most, round(list_avg(list_reverse_sort(list(best))[1:5]), 6) AS top_5 FROM c GROUP BY qid")
 def d19_containment(spark, d):
-    """Best containment of a question's formula in an answer's, mean and maximum over the question's answers."""
+    """Best containment of a question's formula in an answer's: mean, maximum and mean of the best five over the question's answers."""
     tu = latex_tuples(spark, d)
     q = table(spark, d, "questions").select(F.col("id").alias("qid"), F.explode("formulas.formula_id").alias("formula_id")).distinct().join(tu, "formula_id").select("qid", F.array_distinct("tuples").alias("qt"))
     a = answers(spark, d).select(F.col("id").alias("aid"), F.col("parent_id").alias("qid"), F.explode("formulas.formula_id").alias("formula_id")).join(tu, "formula_id").select("aid", "qid", F.array_distinct("tuples").alias("at"))
     c = q.join(a, "qid").groupBy("qid", "aid").agg(F.max(X.containment(F.col("qt"), F.col("at"))).alias("best"))
-    return c.groupBy("qid").agg(F.count(F.lit(1)).alias("n_answers"), F.round(F.avg("best"), 6).alias("mean"), F.round(F.max("best"), 6).alias("most"))
+    c = S.top(c, ["qid"], [F.desc("best"), F.asc("aid")], None, "r")
+    return c.groupBy("qid").agg(F.count(F.lit(1)).alias("n_answers"), F.round(F.avg("best"), 6).alias("mean"), F.round(F.max("best"), 6).alias("most"), F.round(F.avg(F.when(F.col("r") <= 5, F.col("best"))), 6).alias("top_5"))
 
 
 @query(f"WITH {_LATEX_TUPLES}, e AS (SELECT formula_id, unnest(tuples) AS t FROM tu), voc AS (SELECT t FROM e GROUP BY t HAVING count(*) >= 5) SELECT formula_id, count(*) AS n, count(voc.t) AS known, round(count(voc.t) / count(*)::DOUBLE, 6) AS share FROM e LEFT JOIN voc USING (t) GROUP BY formula_id")
@@ -366,12 +367,13 @@ def d20_coverage(spark, d):
 # Embeddings
 
 
-@query()
+@query(f"WITH {_LATEX_TUPLES} SELECT count(DISTINCT t) AS n, 150 AS dim, 0::BIGINT AS n_bad FROM (SELECT unnest(tuples) AS t FROM tu)")
 def e1_train_tokens(spark, d):
-    """Token vectors of the collection's tuples: tokens, dimension."""
+    """Token vectors of all the collection's tuples with the operator's own settings: tokens, dimension, vectors without a direction."""
     lines = latex_tuples(spark, d).filter("size(tuples) > 0").select(F.col("tuples").alias("words"))
-    v = V.train(lines, 16, epochs=1, least=5)
-    return v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"))
+    v = V.train(lines)
+    n = C.norm(F.col("v"))
+    return v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.count_if(F.isnan(n) | (n <= 0)).alias("n_bad"))
 
 
 @query(f"WITH {VEC}, tok AS (SELECT 'k' || label AS token, v FROM (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS n FROM vec) WHERE n = 1), s AS (SELECT doc_id, unnest(['k' || label, 'k' || (label + 1) % 12, 'unknown']) AS token FROM vec), j AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s JOIN tok USING (token)) SELECT doc_id, round(sum(m * m), 6) AS sq, round(sum(m), 6) AS total FROM (SELECT doc_id, i, avg(x) AS m FROM j GROUP BY ALL) GROUP BY doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumac.functions.columns import doc_key, topic_key
+from sumac.runtime import broadcast_if_small, cut
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -55,14 +56,14 @@ def token_map(tokens: DataFrame) -> DataFrame:
     kinds = tokens.select("kind", "token").distinct()
     ranked = kinds.orderBy("kind", "token").select("kind", "token", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m"))
     inside = (F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n")
-    ranked = ranked.select("kind", "token", "part", inside).persist()
+    ranked = cut(ranked.select("kind", "token", "part", inside))
     # one row a kind and partition
     sizes = ranked.groupBy("kind", "part").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("k"))
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("k").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = F.when(F.col("kind") == "N", F.lit(60000)).otherwise(F.lit(500))
-    return ranked.join(F.broadcast(sizes.select("kind", "part", "first", before.alias("before"))), ["kind", "part"]).select("kind", "token", (base + F.col("before") + F.col("n") - F.col("first")).cast("bigint").alias("id"))
+    return ranked.join(broadcast_if_small(sizes.select("kind", "part", "first", before.alias("before")), 100_000), ["kind", "part"]).select("kind", "token", (base + F.col("before") + F.col("n") - F.col("first")).cast("bigint").alias("id"))
 
 
 def escaped(token):
