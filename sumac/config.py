@@ -10,6 +10,16 @@ def _within(name: str, value, low, high) -> None:
         raise ValueError(f"{name} must lie in {low}..{high}")
 
 
+def _flat(text: str) -> dict:
+    values = {}
+    for line in text.splitlines():
+        name, colon, value = line.split("#", 1)[0].partition(":")
+        if colon and value.strip():
+            v = value.strip().strip("'\"")
+            values[name.strip()] = {"true": True, "false": False, "null": None}.get(v.lower(), int(v) if v.lstrip("-").isdigit() else float(v) if v.replace(".", "", 1).lstrip("-").isdigit() else v)
+    return values
+
+
 class _Config:
     @classmethod
     def read(cls, values: dict):
@@ -21,15 +31,14 @@ class _Config:
 
     @classmethod
     def load(cls, path: str):
-        """Settings of a file of `name: value` lines."""
-        values = {}
+        """Settings of a YAML file; without the yaml package, of a file of `name: value` lines."""
         with open(path, encoding="utf-8") as f:
-            for line in f:
-                name, colon, value = line.split("#", 1)[0].partition(":")
-                if colon and value.strip():
-                    v = value.strip().strip("'\"")
-                    values[name.strip()] = {"true": True, "false": False, "null": None}.get(v.lower(), int(v) if v.lstrip("-").isdigit() else float(v) if v.replace(".", "", 1).lstrip("-").isdigit() else v)
-        return cls.read(values)
+            text = f.read()
+        try:
+            import yaml
+        except ImportError:  # flat files are read without it
+            return cls.read(_flat(text))
+        return cls.read(yaml.safe_load(text) or {})
 
 
 @dataclass(frozen=True)

@@ -370,6 +370,14 @@ def tuples_of(markup: str | None, kind: str, window: int = 2) -> list[str]:
         return []
 
 
+def tree_of(markup: str | None, kind: str) -> Node | None:
+    """The tree of MathML markup; an unreadable formula has none."""
+    try:
+        return layout_tree(isolate(markup or "", False)) if kind != "opt" else operator_tree(isolate(markup or "", True))
+    except (ValueError, RecursionError):
+        return None
+
+
 def written(root: Node | None) -> str:
     """Bracket string of a tree: [tag] with labelled edges, reversible."""
     return "" if root is None else f"[{root.tag}{''.join(f',{label}{written(n)}' for label, n in root.edges)}]"
@@ -429,7 +437,7 @@ def tree_facts_udf(kind: str):
 
     @F.pandas_udf("struct<tree:string,size:int,depth:int,leaves:int>")
     def f(c: pd.Series) -> pd.DataFrame:
-        trees = [layout_tree(isolate(x, False)) if kind != "opt" else operator_tree(isolate(x, True)) for x in c]
+        trees = [tree_of(x, kind) for x in c]
         return pd.DataFrame([(written(t), t.size() if t else 0, t.depth() if t else 0, t.leaves() if t else 0) for t in trees], columns=["tree", "size", "depth", "leaves"])
 
     return f

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +72,27 @@ def golden_cosine(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cosine", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))))
 
 
+def encoded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", batch: int = 256) -> DataFrame:
+    """texts with v, float32 vectors of a text model. `encoder` makes the model once in each worker; it is given lists of at
+    most `batch` texts. A null text has no vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for x in batches:
+            known = [k for k, t in enumerate(x[text]) if isinstance(t, str)]
+            out = [None] * len(x)
+            if known:
+                model = model or encoder()
+                for a in range(0, len(known), batch):
+                    some = known[a : a + batch]
+                    for k, v in zip(some, np.asarray(model([x[text].iloc[k] for k in some]), np.float32), strict=True):
+                        out[k] = v
+            yield x.assign(v=pd.Series(out, index=x.index, dtype=object))
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in texts.drop("v").dtypes)
+    return texts.drop("v").mapInPandas(run, f"{fields}, v array<float>")
+
+
 def fp16(vectors: DataFrame) -> DataFrame:
     from sumac.operators.search import half
 

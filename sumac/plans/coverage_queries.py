@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sumac.functions import columns as C
 from sumac.functions import formula as X
+from sumac.functions import latex as L
 from sumac.operators import embedding as V
 from sumac.operators import evaluation as E
 from sumac.operators import fusion as M
@@ -15,7 +16,7 @@ from sumac.operators import search as S
 from sumac.plans.evaluation_queries import CUTS, _measured, _visual, _VIS, recall
 from sumac.plans.judge_queries import _text_file, scratch
 from sumac.plans.tables import ANS, KEY, QRELS, RUNS, TREC, VEC, VQRELS, answers, measures_sql, qrels, runs, vector_qrels, vector_queries, vectors
-from sumac.plans.text_queries import _LATEX_TUPLES, latex_tuples, values
+from sumac.plans.text_queries import _formulas, _LATEX_TUPLES, latex_tuples, values
 from sumac.runtime import cut, table
 from sumac.sources import readers, writers
 from sumac.streaming import ingest
@@ -209,6 +210,30 @@ def e7_given_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").alias("dim"))
 
 
+_LATEX = [
+    ("$x - y^2 = 0$", 11, 14, "[V!x,n[-,n[V!y,n[=,n[N!0]],a[N!2]]]]"),
+    ("\\frac{a}{b}", 5, 4, "[O!divide,o[V!a],u[V!b]]"),
+    ("\\sqrt[3]{\\alpha}", 5, 4, "[O!root,c[N!3],w[V!α]]"),
+    ("x_i", 3, 4, "[V!x,b[V!i]]"),
+    ("\\unknown{", 1, 1, "[V!unknown]"),
+    ("$$ $$", 0, 0, ""),
+]
+
+
+@query(values(_LATEX, "latex, n_layout, n_operator, tree"))
+def d1_latex_cases(spark, d):
+    """Formulas in LaTeX by way of MathML: numbers of tuples in either tree, and the layout tree."""
+    m = L.converted(spark.createDataFrame([(x[0],) for x in _LATEX], "latex string"))
+    return m.select("latex", F.size(X.tuples_udf("slt")("pmml")).alias("n_layout"), F.size(X.tuples_udf("opt")("cmml")).alias("n_operator"), X.tree_facts_udf("slt")("pmml").tree.alias("tree"))
+
+
+@query()
+def d1_collection_trees(spark, d):
+    """Tuples of the layout and operator trees of all formulas of the collection, from their LaTeX."""
+    m = L.converted(_formulas(spark, d))
+    return m.select("formula_id", X.tuples_udf("slt")("pmml").alias("layout"), X.tuples_udf("opt")("cmml").alias("operator"), F.col("cmml").isNotNull().alias("certain"))
+
+
 # Search
 
 

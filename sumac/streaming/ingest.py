@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,13 @@ def build_index(spark: SparkSession, source: str, schema: str, index: str, check
         prepare(df).write.mode("overwrite").parquet(f"{index}/batch={k}")
 
     submit_chunks(spark, source, schema, checkpoint, add, per_batch or 1_000_000, fmt)
+
+
+def poll(state: Callable[[], str], terminal: frozenset[str] = frozenset(("succeeded", "failed", "cancelled", "expired")), pause: float = 30.0, most: float = 86_400.0) -> str:
+    """The first terminal state of a remote job, asked for every `pause` seconds; TimeoutError after `most`."""
+    start = time.monotonic()
+    while (now := state().lower()) not in terminal:
+        if time.monotonic() - start + pause > most:
+            raise TimeoutError(f"still {now}")
+        time.sleep(pause)
+    return now

@@ -267,3 +267,33 @@ def test_judge_messages(spark):
     p = spark.createDataFrame([("Why?", None)], "question string, answer_text string")
     m = R.judge_messages(p, "Q {question} A {answer_text}", "S", [{"question": "q", "answer": "a", "reasoning": "r", "label": 2}], "model").first().messages
     assert [(x.role, x.content) for x in m] == [("system", "S"), ("user", "Q q A a"), ("model", "r\nLABEL: 2"), ("user", "Q Why? A ")]
+
+
+def test_latex_markup(spark):
+    from sumac.functions import latex as L
+
+    assert L.presentation("\\frac{a}{b}") == "<math><mrow><mfrac><mi>a</mi><mi>b</mi></mfrac></mrow></math>"
+    assert L.content("1<x<2").count("<lt/>") == 2 and L.content("\\sin(x) + |y|") == "<math><apply><plus/><apply><sin/><ci>x</ci></apply><apply><abs/><ci>y</ci></apply></apply></math>"
+    for unsure in ("3 \\pmod{4}", "\\int f", "6!", "a +", "", None, " $$ $$ "):
+        assert L.content(unsure) is None
+    assert "<mtr>" in L.presentation("\\begin{pmatrix} 1 & v \\\\ z & 69 \\end{pmatrix}") and L.presentation("{" * 5000) is None and L.presentation("}}^") is not None
+    df = spark.createDataFrame([(1, "x^2"), (2, None)], "id int, latex string")
+    got = {r.id: (r.pmml, r.cmml) for r in L.converted(df, converter=lambda: lambda t: (t, None)).collect()}
+    assert got == {1: ("x^2", None), 2: (None, None)} and L.converted(df.limit(0)).count() == 0
+
+
+def test_encoder_and_poll(spark):
+    from sumac.operators import embedding as V
+    from sumac.streaming import ingest
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id int, text string")
+    got = {r.id: r.v for r in V.encoded(df, lambda: lambda ts: np.array([[len(t), 1.0] for t in ts]), batch=1).collect()}
+    assert got == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}
+    states = iter(["queued", "RUNNING", "Succeeded"])
+    assert ingest.poll(lambda: next(states), pause=0.01) == "succeeded"
+    with pytest.raises(TimeoutError):
+        ingest.poll(lambda: "running", pause=0.01, most=0.02)
+
+
+def test_unknown_content_elements_have_no_tuples():
+    assert X.tuples_of("<math><apply><frobnicate/><ci>x</ci></apply></math>", "opt") == [] and X.tree_of("<math><apply><frobnicate/><ci>x</ci></apply></math>", "opt") is None
