@@ -215,7 +215,7 @@ _LATEX = [
     ("\\frac{a}{b}", 5, 4, "[O!divide,o[V!a],u[V!b]]"),
     ("\\sqrt[3]{\\alpha}", 5, 4, "[O!root,c[N!3],w[V!α]]"),
     ("x_i", 3, 4, "[V!x,b[V!i]]"),
-    ("\\unknown{", 1, 1, "[V!unknown]"),
+    ("\\unknown{", 1, 0, "[V!unknown]"),
     ("$$ $$", 0, 0, ""),
 ]
 
