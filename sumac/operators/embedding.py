@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumac.functions.columns import dot, norm, unit
+from sumac.streaming.ingest import submit_chunks
 
 
 def train(lines: DataFrame, dim: int = 150, window: int = 5, epochs: int = 5, least: int = 1, seed: int = 1, partitions: int = 8) -> DataFrame:
@@ -72,6 +73,38 @@ def golden_cosine(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cosine", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))))
 
 
+def cooccurrences(lines: DataFrame, window: int = 5) -> DataFrame:
+    """token, context, n: how often two tokens of a line (words) lie within the window of each other."""
+    at = F.posexplode("words").alias("i", "token")
+    near = lambda i: F.concat(F.slice("words", F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), F.slice("words", i + 2, F.lit(window)))
+    each = lines.filter("size(words) > 1").select("words", at).select("token", F.explode(near(F.col("i"))).alias("context"))
+    return each.groupBy("token", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_files(spark: SparkSession, source: str, schema: str, state: str, checkpoint: str, lines: Callable[[DataFrame], DataFrame], window: int = 5, per_batch: int | None = None) -> None:
+    """Counts of the files that the state lacks, added to it, then stop; a later start goes on after the last committed file.
+
+    Counts add up exactly, whatever the batches, so that an interrupted training ends like one in a single run."""
+
+    def add(df: DataFrame, k: int) -> None:
+        cooccurrences(lines(df), window).write.mode("overwrite").parquet(f"{state}/batch={k}")
+
+    submit_chunks(spark, source, schema, checkpoint, add, per_batch or 1_000_000)
+
+
+def counted_vectors(counts: DataFrame, dim: int = 150) -> DataFrame:
+    """token, n, v: positive pointwise mutual information of a token with its contexts, each context at the dimension and with the sign of its hash."""
+    c = counts.groupBy("token", "context").agg(F.sum("n").alias("n"))
+    own = c.groupBy("token").agg(F.sum("n").alias("total"))
+    whole = own.agg(F.sum("total").alias("whole"))
+    j = c.join(own, "token").join(own.select(F.col("token").alias("context"), F.col("total").alias("of_context")), "context").crossJoin(F.broadcast(whole))  # one row
+    weight = F.greatest(F.lit(0.0), F.log(F.col("n").cast("double") * F.col("whole") / (F.col("total").cast("double") * F.col("of_context"))))
+    digit = lambda a, n: F.conv(F.substring(F.md5("context"), a, n), 16, 10).cast("int")
+    parts = j.select("token", "n", (digit(1, 4) % dim).alias("i"), (weight * F.when(digit(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("x")).groupBy("token", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    rows = parts.groupBy("token").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # at most one entry a dimension
+    return rows.select("token", "n", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("v"))
+
+
 def encoded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", batch: int = 256) -> DataFrame:
     """texts with v, float32 vectors of a text model. `encoder` makes the model once in each worker; it is given lists of at
     most `batch` texts. A null text has no vector."""

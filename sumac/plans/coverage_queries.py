@@ -425,6 +425,25 @@ def o3_chunked_submission(spark, d):
     return spark.read.parquet(done).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk").cast("int").alias("n_chunks"))
 
 
+@query(
+    f"""WITH {_LATEX_TUPLES}, w AS (SELECT formula_id, list_transform(tuples, lambda t: string_split(t, chr(9))[1]) AS w FROM tu),
+p AS (SELECT formula_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 1),
+c AS (SELECT w[i] AS token, w[k] AS context, count(*) AS n FROM (SELECT w, i, unnest(range(greatest(i - 2, 1), least(i + 2, len(w)) + 1)) AS k FROM p) WHERE i <> k GROUP BY ALL),
+o AS (SELECT token, sum(n) AS total FROM c GROUP BY token),
+x AS (SELECT c.token, c.n, ('0x' || substring(md5(context), 1, 4))::BIGINT % 32 AS i, greatest(0.0, ln(c.n::DOUBLE * (SELECT sum(total) FROM o)::DOUBLE / (o.total::DOUBLE * q.total::DOUBLE))) * CASE WHEN ('0x' || substring(md5(context), 5, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS x FROM c JOIN o USING (token) JOIN o q ON q.token = c.context)
+SELECT token, sum(n)::BIGINT AS n, round(sqrt(sum(s * s)), 4) AS norm FROM (SELECT token, i, sum(n) AS n, sum(x) AS s FROM x GROUP BY ALL) GROUP BY token"""
+)
+def e2_resumed_training(spark, d):
+    """Token vectors counted from files over three starts, each going on where the last one stopped."""
+    src, state, mark = (scratch(spark, x) for x in ("lines", "counts", "countmark"))
+    first = F.transform("tuples", lambda t: F.split(t, "\t")[0]).alias("words")
+    lines = latex_tuples(spark, d).select(first, (F.crc32("formula_id") % 3).alias("k"))
+    for k in range(3):
+        lines.filter(F.col("k") == k).select("words").coalesce(1).write.mode("append").parquet(src)
+        V.train_files(spark, src, "words array<string>", state, mark, lambda df: df, 2)
+    return V.counted_vectors(spark.read.parquet(state), 32).select("token", "n", F.round(C.norm(F.col("v")), 4).alias("norm"))
+
+
 @query("SELECT vec_id AS doc_id, 1::BIGINT AS n, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm, 3 AS n_batches FROM embeddings")
 def o2_index_resume(spark, d):
     """An index built from files over three starts, each going on where the last one stopped; every vector is in it once."""
