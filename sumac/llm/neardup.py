@@ -24,6 +24,7 @@ others; empty tables give no rows; a text of any length is one set.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from sumac.llm.words import RUN_BITS, hashed_words, mix, shingles
+from sumac.llm.words import CLASS_BITS, RUN_BITS, hashed_words, mix, shingles
 from sumac.runtime import broadcast_if_small, cut
 
 #: Cells of the largest count sketch (16 MB), and of one chunk of it.
@@ -115,7 +116,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def _ordered(x: pd.DataFrame, counts: np.ndarray, bits: int, t: float, always: bool = True):
+def _ordered(x: pd.DataFrame, counts: np.ndarray, bits: int, t: float):
     """Of a batch of classes: sizes, owner, run, rank of the runs in their prefixes, rarest first.
 
     A count of one proves that a run occurs once, so it is not placed. One run more than needed is, for runs of the same rarity."""
@@ -131,46 +132,69 @@ def _ordered(x: pd.DataFrame, counts: np.ndarray, bits: int, t: float, always: b
     return n, runs, owner[keep], runs[order[keep]], c[keep], pos[keep]
 
 
-def hot_runs(classes: DataFrame, sketch, bits: int, t: float, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that more than cap classes are placed by, with exact counts; at most placed entries / cap of them.
+def census(classes: DataFrame, sketch, bits: int, t: float, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that more than cap classes are placed by, with exact counts (at most placed entries / cap of them), and the
+    placed entries of each longest word's class.
 
-    Only runs whose cell lies above its like by half of cap are counted, batch by batch before the shuffle."""
-    low = int(squeezed(np.array([cap // 2]))[0])
+    Only runs whose cell lies above its like by half of cap are counted one by one, batch by batch before the shuffle."""
+    low, few = int(squeezed(np.array([cap // 2]))[0]), np.uint64(RUN_BITS - CLASS_BITS)
 
     def count(batches):
-        counts = sketch.value
-        usual = int(np.median(counts[:: max(1, len(counts) >> 20)]))
-        least = max(low, usual + 1)
+        counts, kinds = sketch.value, np.zeros(1 << CLASS_BITS, np.int64)
+        least = max(low, int(np.median(counts[:: max(1, len(counts) >> 20)])) + 1)
         for whole in batches:
             for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
                 if not len(x):
                     continue
-                runs = np.frombuffer(b"".join(x["runs"]), np.uint64)
-                if (counts[(runs & np.uint64((1 << bits) - 1)).astype(np.int64)] >= least).any():
-                    _, _, _, placed, c, _ = _ordered(x, counts, bits, t)
-                    r, k = np.unique(placed[c >= least], return_counts=True)
+                _, _, _, placed, c, _ = _ordered(x, counts, bits, t)
+                kinds += np.bincount((placed >> few).astype(np.int64), minlength=len(kinds))
+                r, k = np.unique(placed[c >= least], return_counts=True)
+                if len(r):
                     yield pd.DataFrame({"run": r.astype(np.int64), "k": k.astype(np.int64)})
-
-    rows = classes.select("n", "runs").mapInPandas(count, "run bigint, k bigint").groupBy("run").agg(F.sum("k").alias("k")).filter(F.col("k") > cap).collect()
-    rows.sort(key=lambda r: r.run)
-    return np.array([r.run for r in rows], np.uint64), np.array([r.k for r in rows], np.int64)
+        some = np.flatnonzero(kinds)
+        yield pd.DataFrame({"run": -1 - some, "k": kinds[some]})
+
+    rows = classes.select("n", "runs").mapInPandas(count, "run bigint, k bigint").groupBy("run").agg(F.sum("k").alias("k")).filter((F.col("k") > cap) | (F.col("run") < 0)).collect()
+    hot = sorted((r.run, r.k) for r in rows if r.run >= 0)
+    kinds = np.zeros(1 << CLASS_BITS, np.int64)
+    for r in rows:
+        if r.run < 0:
+            kinds[-1 - r.run] = r.k
+    return np.array([r for r, _ in hot], np.uint64), np.array([k for _, k in hot], np.int64), kinds
+
+
+def spread(kinds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each class of runs its number of parts and the place of the first of them in the third array, which names the
+    bucket of every part. A part holds a bucket at most; the largest go first, to the bucket that holds least."""
+    most = max(1, int(kinds.sum()) // buckets)
+    parts = np.maximum(1, -(-kinds // most))
+    first = np.cumsum(parts) - parts
+    size = np.repeat(kinds / parts, parts)
+    to = np.zeros(len(size), np.int64)
+    loads = [(0.0, b) for b in range(buckets)]
+    for k in np.argsort(-size, kind="stable"):
+        load, b = loads[0]
+        to[k] = b
+        heapq.heapreplace(loads, (load + size[k], b))
+    return parts.astype(np.uint64), first, to
 
 
 def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, cap: int) -> DataFrame:
     """bucket, docs, entries, marks: for each batch of classes, the regions they fall in, in columns.
 
-    Regions go to buckets by hash. A hot run has its region cut into blocks: its members fall into groups by their own
+    Regions go to buckets by the longest word of their run, which neighbouring runs of a text share, so that a text goes to
+    few buckets; those of a frequent word are parted by hash. A hot run has its region cut into blocks: its members fall into groups by their own
     hash, and each pair of groups is a block, which both groups are sent to."""
 
     def send(batches):
-        counts, (hot_run, hot_count) = sketch.value, hot.value
+        counts, (hot_run, hot_count, parts, part_at, to) = sketch.value, hot.value
         for whole in batches:
             for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
                 if not len(x):
                     continue
                 n, every, owner, runs, _, pos = _ordered(x, counts, bits, t)
                 all_owner = np.repeat(np.arange(len(n)), n)
-                parity = np.bincount(all_owner * BITMAP + ((every >> np.uint64(30)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
+                parity = np.bincount(all_owner * BITMAP + ((every >> np.uint64(24)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
                 bitmap = np.packbits((parity & 1).astype(np.uint8).reshape(len(n), BITMAP), axis=1)
                 folded = bitmap[:, : BITMAP // 16] ^ bitmap[:, BITMAP // 16 :]
                 ref = np.frombuffer(b"".join(s[:8] for s in x["sig"]), np.uint64)
@@ -186,7 +210,8 @@ def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, ca
                 with np.errstate(over="ignore"):
                     key = mix(runs[rep] + mix((i * groups[rep] + j).astype(np.uint64)))
                 side = np.where(i == j, 2, np.where(own[rep] == i, 0, 1)).astype(np.uint8)
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                kind = (runs[rep] >> np.uint64(RUN_BITS - CLASS_BITS)).astype(np.int64)
+                bucket = to[part_at[kind] + (key % parts[kind]).astype(np.int64)]
                 by = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 out = []
@@ -317,11 +342,11 @@ class Join:
         bits = min(max_bits, max(CHUNK_BITS, int(total.runs).bit_length() + 1))
         sketch = spark.sparkContext.broadcast(count_sketch(self.classes, bits))
         cap = max(cap, int(total.placed) >> 20)  # so that at most a million regions are divided
-        hot, size = hot_runs(self.classes, sketch, bits, t, cap)
-        copies = int(total.placed) + int((size * (-(-size // cap) - 1)).sum())
+        hot, size, kinds = census(self.classes, sketch, bits, t, cap)
+        copies = int(kinds.sum()) + int((size * (-(-size // cap) - 1)).sum())
         buckets = max(2, copies // per_bucket + 1)
-        held = spark.sparkContext.broadcast((hot, size))
-        self.plan = {"runs": int(total.runs), "bits": bits, "placed": int(total.placed), "hot": len(hot), "copies": copies, "buckets": buckets}
+        held = spark.sparkContext.broadcast((hot, size, *spread(kinds, buckets)))
+        self.plan = {"runs": int(total.runs), "bits": bits, "placed": int(kinds.sum()), "hot": len(hot), "copies": copies, "buckets": buckets}
         placed = place(self.classes, sketch, held, bits, t, buckets, cap)
         pairs = cut(placed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(region_pairs(t), "ref_a bigint, ref_b bigint").distinct())
         sketch.unpersist()

@@ -17,12 +17,12 @@ def words(text: str | None) -> list[str]:
 
 
 class _Hashes(dict):
-    """Word hashes, kept while they fit."""
+    """Word hashes, kept while they fit: the length of the word in the first bits, so that the greatest is a longest word."""
 
     def __missing__(self, w: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
+        h = self[w] = (min(len(w), 31) << 59) | (xxhash.xxh64_intdigest(w) >> 5)
         return h
 
 
@@ -54,13 +54,21 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Bits of a run's hash beside its text's number in one sortable word.
-RUN_BITS = 50
+#: Bits of a run's hash beside its text's number in one sortable word; the first of them are those of its longest word.
+RUN_BITS, CLASS_BITS = 50, 14
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of n words per text as hashes of RUN_BITS bits: (text number, hash), sorted by both; fewer than 2 ** 14 texts."""
+    """Distinct runs of n words per text as hashes of RUN_BITS bits: (text number, hash), sorted by both; fewer than 2 ** 14 texts.
+
+    A hash begins with the class of the run's longest word, which neighbouring runs share."""
     runs = run_hashes(h, n)
+    if len(runs):
+        longest = h[: len(runs)]
+        for k in range(1, n):
+            longest = np.maximum(longest, h[k : k + len(runs)])
+        with np.errstate(over="ignore"):
+            runs = (mix(longest) >> np.uint64(64 - CLASS_BITS) << np.uint64(64 - CLASS_BITS)) | (runs >> np.uint64(CLASS_BITS))
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(runs)]
     if not len(runs):
         return owner, runs

@@ -101,3 +101,12 @@ def test_windows_of_document_pivots_are_the_whole_space(spark):
     sets = neardup.shingle_sets(spark.createDataFrame(collection(7), SCHEMA), 3, 6)
     got = neardup.window_copies(sets, 16, 0.5).first()
     assert got.mean_copies == 16 and got.n_docs > 100
+
+
+def test_buckets_are_even():
+    r = np.random.default_rng(1)
+    kinds = (r.pareto(1.0, 500) * 100).astype(np.int64)
+    kinds[7] = kinds.sum()  # one word has half of all
+    parts, first, to = neardup.spread(kinds, 40)
+    load = np.bincount(to, np.repeat(kinds / parts, parts.astype(int)), 40)
+    assert load.max() < 1.5 * load.mean() and len(to) == parts.sum() and parts[7] >= 20 and first[8] - first[7] == parts[7]
