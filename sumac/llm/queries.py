@@ -58,12 +58,12 @@ def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "start_char", "end_char")
+    return sentences.sentence_units(table(spark, sf_dir, "documents"), units=False).select("doc_id", "start_char", "end_char")
 
 
 def p7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units per document and their mean length."""
-    u = sentences.sentence_units(table(spark, sf_dir, "documents"))
+    u = sentences.sentence_units(table(spark, sf_dir, "documents"), units=False)
     return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg(F.col("end_char") - F.col("start_char")), 3).alias("mean_chars"), F.max("end_char").alias("last_char"))
 
 

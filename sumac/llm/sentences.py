@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,13 +167,18 @@ NEAR = 400
 HEAD = 24
 VOWEL = re.compile(r"[aeiouyàâäåæèéêëìíîïòóôöøùúûüÿœ]")
 SAME_TWO = re.compile(r"([A-Z])\1")
+LETTER = re.compile(r"[^\W\d_]")
+WIDE_MARKS, QUOTES = frozenset("。！？｡"), frozenset('"”’»“」』')
+AND_SO_ON, EXAMPLE = re.compile(r"(?:т|т\.)\s*[дп]$"), re.compile(r"e[xj]\.", re.I)
+ROMAN_NEXT, ROMAN = re.compile(r"[IVXLC]+\b"), re.compile("[ivxlcdm]+")
+INITIALS, NUMBERING = re.compile(r"[^\W\d_](?:\.-?[^\W\d_])*"), re.compile(r"\d{1,4}|[ivxlcdm]{1,6}|[IVXLCDM]{1,6}")
 
 
 def _ends(text: str, shown: str, a: int, b: int, close: int, after: int, unit_start: int, lower_style: bool, upper_style: bool, words: frozenset[str] = DICTIONARY) -> int:
     """Logarithm of the odds that the unit from unit_start ends at the mark text[a:b], closed up to `close`; the text goes on at `after`."""
     mark, nxt = text[a:b], text[after : after + LONGEST]
     gap = after > close
-    wide = any(m in "。！？｡" for m in mark) or (bool(WIDE.match(text[a - 1 : a])) and mark[0] != ".")
+    wide = not WIDE_MARKS.isdisjoint(mark) or (bool(WIDE.match(text[a - 1 : a])) and mark[0] != ".")
     closed = text[b:close].strip()
     word = NEXT_WORD.match(text, after)
     word = word[1] if word else ""
@@ -182,7 +188,7 @@ def _ends(text: str, shown: str, a: int, b: int, close: int, after: int, unit_st
     ellipsis = "…" in mark or ".." in mark
     if ellipsis:
         return 3 if word[:1].isupper() and gap and not upper_style else -3
-    if any(q in closed for q in '"”’»“」』'):
+    if closed and not QUOTES.isdisjoint(closed):
         if wide or bool(WIDE.match(nxt)):
             return 3 if opening(text[after : after + SPAN], words) > 0 else -3
         if goes_on:
@@ -207,7 +213,7 @@ def _ends(text: str, shown: str, a: int, b: int, close: int, after: int, unit_st
     low = token.lower().lstrip("¿¡*_")
     before = shown[unit_start : unit_start + left.start()] if left else ""
     number_next, upper_next = nxt[:1].isdigit() or nxt[:1] in "(\ue000" or nxt[:1] == "$", word[:1].isupper()
-    if low in MAY_END or re.search(r"(?:т|т\.)\s*[дп]$", shown[max(unit_start, a - 6) : a].lower()):
+    if low in MAY_END or (low in ("д", "п", "тд", "тп") and AND_SO_ON.search(shown[max(unit_start, a - 6) : a].lower())):
         if goes_on or (lower_next and not lower_style) or (low not in ("etc", "a.m", "p.m") and (lower_style or upper_style)):
             return -2
         if caseless_next and nxt[0] not in "$\\":
@@ -215,19 +221,19 @@ def _ends(text: str, shown: str, a: int, b: int, close: int, after: int, unit_st
         return -2 if nxt[:1].isdigit() else 2
     if low in ABBREVIATIONS:
         return -3
-    if low in BEFORE_NUMBER and (number_next or re.match(r"[IVXLC]+\b", nxt)):
+    if low in BEFORE_NUMBER and (number_next or ROMAN_NEXT.match(nxt)):
         return -3
-    if (low == "p" and re.match(r"e[xj]\.", nxt, re.I)) or (low in ("ex", "ej") and before.rstrip().lower().endswith("p.")):  # p. ex., p. ej.
+    if (low == "p" and EXAMPLE.match(nxt)) or (low in ("ex", "ej") and before.rstrip().lower().endswith("p.")):  # p. ex., p. ej.
         return -3
     if low in TITLES and upper_next and not lower_style:
         return -3 if token[0].isupper() or upper_style else 1
     if SAME_TWO.fullmatch(token):  # EE. UU.
-        return -3 if lower_next or re.match(r"([A-Z])\1\.", nxt) else 1
-    if len(low) > 1 and low.isascii() and low.isalpha() and not VOWEL.search(low) and not upper_style and not re.fullmatch("[ivxlcdm]+", low):
+        return -3 if lower_next or SAME_TWO.match(nxt) else 1
+    if len(low) > 1 and low.isascii() and low.isalpha() and not VOWEL.search(low) and not upper_style and not ROMAN.fullmatch(low):
         return -2  # no vowel: a word cut short
-    if re.fullmatch(r"[^\W\d_](?:\.-?[^\W\d_])*", token) and (token.isupper() or lower_style or len(token) > 1):
+    if INITIALS.fullmatch(token) and (token.isupper() or lower_style or len(token) > 1):
         return -3  # initials
-    if re.fullmatch(r"\d{1,4}|[ivxlcdm]{1,6}|[IVXLCDM]{1,6}", token):
+    if NUMBERING.fullmatch(token):
         if not before.strip():
             return -3  # numbering
         if token.isdigit() and before.split()[-1].lower() in BEFORE_ORDINAL and word:
@@ -258,7 +264,7 @@ class _Start:
 
     def __init__(self, shown: str, at: int, cost: float, node: int, mixed: bool):
         self.at, self.cost, self.node, self.mixed = at, cost, node, mixed
-        letter = re.search(r"[^\W\d_]", shown[at : at + 2])
+        letter = LETTER.search(shown, at, at + 2)
         self.lower = bool(letter) and letter[0].islower()
         self.has_lower, self.uppers, self.words = self.lower, 0, -2  # its first piece begins with the mark before it
 
@@ -356,14 +362,20 @@ def block_spans(whole: str, lo: int, hi: int, words: frozenset[str] = DICTIONARY
     return out
 
 
-def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text", dictionary: frozenset[str] = frozenset()) -> DataFrame:
-    """doc_id, unit_no (from 0), start_char, end_char, unit: the ordered units of every document. `dictionary` adds words to the word lattice."""
+def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text", dictionary: frozenset[str] = frozenset(), units: bool = True) -> DataFrame:
+    """doc_id, unit_no (from 0), start_char, end_char, unit: the ordered units of every document. `dictionary` adds words to
+    the word lattice; without units, their texts are left out."""
     words = DICTIONARY | dictionary
     docs = once(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL"), "doc_id")
 
     def split(batches):
         for x in batches:
-            rows = [(d, n, s, e, t[s:e]) for d, t in zip(x["doc_id"], x["text"], strict=True) for n, (s, e) in enumerate(spans(t, words))]
-            yield pd.DataFrame(rows, columns=["doc_id", "unit_no", "start_char", "end_char", "unit"])
-
-    return docs.mapInPandas(split, SCHEMA)
+            found = [spans(t, words) for t in x["text"]]
+            n = [len(f) for f in found]
+            both = np.array([s for f in found for s in f], np.int32).reshape(-1, 2)
+            out = {"doc_id": x["doc_id"].to_numpy().repeat(n), "unit_no": np.concatenate([np.arange(k) for k in n] or [[]]).astype(np.int32), "start_char": both[:, 0], "end_char": both[:, 1]}
+            if units:
+                out["unit"] = pd.Series([t[a:b] for t, f in zip(x["text"], found, strict=True) for a, b in f], dtype=object)
+            yield pd.DataFrame(out)
+
+    return docs.mapInPandas(split, SCHEMA if units else SCHEMA.removesuffix(", unit string"))
