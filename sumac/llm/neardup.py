@@ -40,6 +40,8 @@ from sumac.runtime import broadcast_if_small, cut
 
 #: Cells of the largest count sketch (16 MB), and of one chunk of it.
 MAX_BITS, CHUNK_BITS = 24, 16
+#: Cells that a task holds before it adds them up.
+HELD = 8_000_000
 #: Partial counts of a chunk that one task adds before the last sum.
 FAN = 256
 #: Bits of the parity sketch that bounds the symmetric difference of two sets from below; sets of at most SHORT runs go
@@ -74,31 +76,64 @@ def squeezed(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 128, counts, np.minimum(big, 255)).astype(np.uint8)
 
 
+def merged(cells: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order with their counts, from such ones and single cells."""
+    more = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]])) if len(more) else np.empty(0, np.int64)
+    if not len(cells):
+        return more[first], np.diff(np.append(first, len(more)))
+    both, n = np.concatenate([cells, more[first]]), np.concatenate([counts, np.diff(np.append(first, len(more)))])
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[first], np.add.reduceat(n, first)
+
+
+def packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Cells of a chunk as steps in two bytes, counts in four."""
+    return zlib.compress(np.diff(cells.astype(np.int64), prepend=0).astype(np.uint16).tobytes() + np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    n = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, np.uint16, n), dtype=np.int64), np.frombuffer(raw, np.uint32, n, 2 * n).astype(np.int64)
+
+
 def count_sketch(classes: DataFrame, bits: int) -> np.ndarray:
     """Counts of all runs of all classes in 2 ** bits cells, squeezed. Partial counts are added in two steps, so that
     a task holds FAN partials of a chunk, and the last one in FAN of all."""
     size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
-    packed = lambda c: zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1)
 
     def partial(batches):
-        c = np.zeros(size, np.uint32)
+        cells, counts, held, n = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0
         for x in batches:
             if len(x):
-                np.add.at(c, (np.frombuffer(b"".join(x["runs"]), np.uint64) & np.uint64(size - 1)).astype(np.int64), 1)
-        for k in range(size // chunk):
-            part = c[k * chunk : (k + 1) * chunk]
-            if part.any():
-                yield pd.DataFrame({"k": [k], "c": [packed(part)]})
+                held.append((np.frombuffer(b"".join(x["runs"]), np.uint64) & np.uint64(size - 1)).astype(np.uint32))
+                n += len(held[-1])
+                if n > HELD:
+                    cells, counts = merged(cells, counts, held)
+                    held, n = [], 0
+        cells, counts = merged(cells, counts, held)
+        at = np.searchsorted(cells, np.arange(0, size + 1, chunk))
+        for k in np.flatnonzero(np.diff(at)):
+            part = slice(at[k], at[k + 1])
+            yield pd.DataFrame({"k": [int(k)], "c": [packed(cells[part] - k * chunk, counts[part])]})
+
+    def total(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(chunk, np.int64)
+        for c in pdf["c"]:
+            cells, counts = unpacked(c)
+            out[cells] += counts
+        return out
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, np.int64)
-        for c in pdf["c"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [packed(total)]})
+        c = total(pdf)
+        at = np.flatnonzero(c)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [packed(at, c[at])]})
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(zlib.decompress(add(pdf)["c"].iloc[0]), np.uint32)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [zlib.compress(squeezed(total).tobytes(), 1)]})
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [zlib.compress(squeezed(total(pdf)).tobytes(), 1)]})
 
     made = classes.select("runs").mapInPandas(partial, "k int, c binary")
     some = made.groupBy("k", F.floor(F.spark_partition_id() / FAN).alias("p")).applyInPandas(add, "k int, c binary")

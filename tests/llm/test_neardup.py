@@ -110,3 +110,15 @@ def test_buckets_are_even():
     parts, first, to = neardup.spread(kinds, 40)
     load = np.bincount(to, np.repeat(kinds / parts, parts.astype(int)), 40)
     assert load.max() < 1.5 * load.mean() and len(to) == parts.sum() and parts[7] >= 20 and first[8] - first[7] == parts[7]
+
+
+def test_sketch_counts(spark, monkeypatch):
+    rows = [("x", f"{k}", dt(2020, 1, 1), " ".join(f"s{(k * 7 + j) % 40}" for j in range(20)), k) for k in range(90)]
+    sets = neardup.shingle_sets(spark.createDataFrame(rows, SCHEMA).repartition(5), 3, 6)
+    runs = np.concatenate([np.frombuffer(r.runs, np.uint64) for r in sets.collect()])
+    for bits in (8, 18):
+        want = np.bincount((runs & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        assert (neardup.count_sketch(sets, bits) == neardup.squeezed(want)).all()
+    cells, counts = neardup.merged(np.array([1, 5], np.uint32), np.array([2, 3]), [np.array([5, 0, 5], np.uint32), np.array([9], np.uint32)])
+    assert cells.tolist() == [0, 1, 5, 9] and counts.tolist() == [1, 2, 5, 1]
+    assert [x.tolist() for x in neardup.unpacked(neardup.packed(cells, counts))] == [[0, 1, 5, 9], [1, 2, 5, 1]]
