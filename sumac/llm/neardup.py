@@ -300,15 +300,13 @@ def region_pairs(t: float):
         left = n - pos[order].astype(np.int32)
         first = n - left <= _prefix(n, 2 * t / (1 + t))  # as the smaller one of a pair it need be placed no farther
         split = bool((side != 2).any())
-        found, held, step, live = [], 0, 1, np.arange(len(key))
+        found, held, step, live = [], 0, 1, np.flatnonzero(first)  # the smaller ones of pairs
         while True:
-            live = live[live + step < len(key)]
-            live = live[key[live] == key[live + step]]
-            live = live[n[live] >= t * n[live + step] - 1e-9]
+            live = live[: np.searchsorted(live, len(key) - step)]
+            live = live[(key[live] == key[live + step]) & (n[live] >= t * n[live + step] - 1e-9)]
             if not len(live):
                 break
-            a = live[first[live]]
-            b = a + step
+            a, b = live, live + step
             total = n[a] + n[b]
             need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int32)
             ok = np.minimum(left[a], left[b]) >= need
