@@ -117,6 +117,17 @@ n AS (SELECT t, id, count(*) AS n FROM s GROUP BY ALL)"""
 SQL = {
     "p3_found": f"""WITH {_RUNS}, c AS (SELECT a.t, a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.r = b.r AND a.id < b.id GROUP BY ALL)
 SELECT c.t AS table_name, id_a, id_b FROM c JOIN n x ON x.t = c.t AND x.id = id_a JOIN n y ON y.t = c.t AND y.id = id_b WHERE k >= 0.5 * (x.n + y.n - k)""",
+    "p3_groups": r"""WITH RECURSIVE w AS (SELECT t, id, list_filter(regexp_extract_all(lower(body_text), '[\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (
+  SELECT t, id, min_by(body_text, loaded_at) AS body_text FROM (SELECT 'questions' AS t, id, body_text, loaded_at FROM questions UNION ALL SELECT 'answers', id, body_text, loaded_at FROM answers) GROUP BY t, id)),
+r AS (SELECT t, id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS r FROM w WHERE len(w) >= 5),
+m AS (SELECT t, id, r, min(id) OVER (PARTITION BY t, r) AS class_id FROM r),
+c AS (SELECT t, id, r, len(r) AS n FROM m WHERE id = class_id), s AS (SELECT t, id, unnest(r) AS x FROM c),
+k AS (SELECT a.t, a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.x = b.x AND a.id < b.id GROUP BY ALL),
+e AS (SELECT k.t, a, b FROM k JOIN c x ON x.t = k.t AND x.id = a JOIN c y ON y.t = k.t AND y.id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+edges AS (SELECT t, a, b FROM e UNION ALL SELECT t, b, a FROM e), degree AS (SELECT t, a, count(*) AS n_links FROM edges GROUP BY ALL),
+reach AS (SELECT t, a, b FROM edges UNION SELECT reach.t, reach.a, edges.b FROM reach JOIN edges ON edges.t = reach.t AND edges.a = reach.b),
+g AS (SELECT t, a, least(a, min(b)) AS group_id FROM reach GROUP BY t, a)
+SELECT m.t AS table_name, m.id, class_id, coalesce(n_links, 0) AS n_links, coalesce(group_id, class_id) AS group_id FROM m LEFT JOIN degree ON degree.t = m.t AND degree.a = class_id LEFT JOIN g ON g.t = m.t AND g.a = class_id""",
     "p5_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM heldout_items),
 dr AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS r FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
