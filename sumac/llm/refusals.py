@@ -26,25 +26,25 @@ NOT_ABLE_EN = r"(?:can ?not|can't|cant|could(?: not|n't)|won't|will not|shall no
 #: Rules per language: cue words without which no rule can hold, then patterns of the five acts.
 RULES: dict[str, tuple[str, list[str]]] = {
     "en": (
-        "not cannot t cant no skip need needs require other different else elsewhere something too nothing none never nowhere neither unable impossible decline declining refuse refusing pass abstain beyond outside exceeds lack lacks lacking insufficient inadequate silent rather fail fails failed omit omits without missing unrelated irrelevant guess guessing only hardly",
+        "not cannot t cant no above over elsewhere someone somebody skip need needs require other different else elsewhere something too nothing none never nowhere neither unable impossible decline declining refuse refusing pass abstain beyond outside exceeds lack lacks lacking insufficient inadequate silent rather fail fails failed omit omits without missing unrelated irrelevant guess guessing only hardly",
         [
             rf"{NOT_ABLE_EN}\W+(?:\w+\W+){{0,6}}?(?:answer\w*|respond\w*|reply|help(?:ing)?\b|assist\w*|comment\w*|fulfil\w*|speculat\w*|guess\w*|(?:address|complete|handle|tackle) (?:this|that|the (?:question|request))|do (?:this|that|so)\b|oblige)",
             rf"\bi\b.{{0,30}}?{NOT_ABLE_EN}\W+(?:\w+\W+){{0,4}}?(?:solve|determine|decide|resolve|say|tell|work out|judge|settle|confirm|be (?:sure|certain)|find (?:anything|the answer|an answer))\b",
             rf"{NOT_ABLE_EN}\W+(?:\w+\W+){{0,4}}?(?:give|provide|offer|find|be)\b (?:you )?(?:an?|any|the|much)? ?(?:\w+ )?(?:answer|solution|response|reply|opinion|verdict|help)\b",
-            r"\b(?:not|n't|nothing) (?:something|anything|a (?:question|topic|request)|one|what)?\b.{0,8}\b(?:i|we) (?:can|could|am able to|are able to|know how to) (?:\w+ ){0,2}?(?:answer|respond|help|assist|comment|solve|do|tell|say)\b",
+            r"\b(?:not|n't|nothing) (?:something|anything|a (?:question|topic|request)|one|what)?\b.{0,8}\b(?:i|we)(?:'m| am|'re| are)? (?:can|could|may|able to|allowed to|permitted to|in a position to|equipped to|qualified to|know how to) (?:\w+ ){0,2}?(?:answer|respond|help|assist|comment|solve|do|tell|say)\b",
             r"\bi\b(?:'\w+)? (?:\w+ ){0,6}?(?:decline|refuse|abstain|pass|skip)(?= (?:to|on|from|this|that)\b|\W*$)|\b(?:would|'d|i) (?:rather|prefer) not\b(?! \w+ \w+ the)",
             r"\b(?:question|request|problem|answer|this|that|it|which)\b.{0,25}\b(?:can ?not|can't|could not|can hardly)(?: \w+)? be (?:\w+ )?(?:answered|addressed)\b",
             rf"\b(?:can ?not|can't|could not)(?: \w+)? be (?:\w+ )?(?:decided|determined|resolved|settled|given|found|inferred)\b.{{0,25}}{SOURCE_EN}",
             r"\bi\b (?:\w+ ){0,2}?(?:do not|don't|did not) (?:\w+ )?(?:know|have (?:an?|the|any) (?:answer|idea|opinion|solution|knowledge|clue))\b(?=\W*$|,? (?:(?:the|an?|any) )?(?:answer|solution|reply)\b|,? (?:to|that|this|it|for (?:sure|certain)|about|of|whether|if|what|why|how|who|which|enough)\b)",
             r"\b(?:i|we) have no (?:\w+ )?(?:answer|opinion|knowledge|information|access|way)\b|\bno (?:idea|clue)\b|\bnothing to (?:go on|work with|base|say (?:on|about))\b|\b(?:i|we) (?:do not|don't) have (?:\w+ )?access\b|\b(?:not|n't) (?:sure|certain) (?:how|what|whether|about)\b",
             r"(?:\b(?:lack(?:s|ing)?|without|no|not|insufficient|inadequate|too little|missing|not enough)|n't)\b(?:\W+\w+){0,3}?\W+(?:information|details?|evidence)\b(?!\W+(?:loss|theor))",
-            r"\b(?:would |'d )?(?:need|require|want)(?:s|ed)? (?:to (?:see|know|have) )?(?:more|further|additional|other) (?:information|context|details?|data|background|material)\b|(?:(?:\bnot|n't) (?:\w+ )?(?:enough|sufficient)|\binsufficient|without (?:further|more|additional)|lack(?:s|ing)?(?: the| any)?(?: further| more)?)\W+(?:material|context|knowledge|background|data)\b",
+            r"\b(?:would |'d )?(?:need|require|want)(?:s|ed)? (?:to (?:see|know|have|read) )?(?:more|further|additional|other|the (?:actual|full|original|whole|rest)) (?:\w+ )?(?:information|text|paper|theorem|document|definition|statement|context|details?|data|background|material)\b|(?:(?:\bnot|n't) (?:\w+ )?(?:enough|sufficient)|\binsufficient|without (?:further|more|additional)|lack(?:s|ing)?(?: the| any)?(?: further| more)?)\W+(?:material|context|knowledge|background|data)\b",
             rf"{SOURCE_EN}.{{0,60}}?(?:\b(?:not|no|nothing|never|neither|nowhere|without)\b|n't\b)(?:.{{0,40}}?){COVER_EN}",
             rf"{SOURCE_EN}.{{0,40}}?\b(?:fails?|lacks?|omits?|silent|insufficient|inadequate|unrelated|irrelevant|too (?:short|brief|vague|thin)|something (?:else|different)|(?:other|different) (?:topics?|things|matters|subjects?)|elsewhere)\b",
             rf"\b(?:nothing|none|no\w*|not|neither|without|cannot)\b(?:.{{0,50}}?)\b(?:in|of|from|by|based on|basis of|with|within|among)\b.{{0,15}}{SOURCE_EN}(?=.{{0,60}}(?:{COVER_EN}|\W*$|,))|n't\b.{{0,40}}\b(?:in|from|based on|within)\b.{{0,10}}{SOURCE_EN}\W*$",
             rf"{SOURCE_EN}.{{0,25}}\b(?:only|merely|solely|just)\b",
             r"\bno (?:\w+ )?(?:answer|reply|response|conclusion|statement)\b.{0,15}\b(?:possible|given|available|can|could|here)\b|\banswer\b.{0,25}\b(?:not|n't|nowhere)\b.{0,20}\b(?:contained|given|found|available|possible|part|stated)\b",
-            r"\b(?:beyond|outside|exceeds?|not within)\b.{0,25}\b(?:my|i can|i know|our)\b|\bmy (?:knowledge|expertise|competence|training|abilit\w+)\b.{0,30}\b(?:not|n't|ends?|stops?|limited)\b",
+            r"\b(?:beyond|outside|exceeds?|not within|above)\b.{0,25}\b(?:my (?:head|abilit\w+|knowledge|scope|pay\w*|reach|understanding|expertise|area|field|competence|remit|training|capabilit\w+|means|limits?)|i can|i know|our (?:scope|knowledge|material))\b|\b(?:look|ask|search|turn|go) (?:elsewhere|(?:to )?(?:someone|somebody) else)\b|\b(?:not|n't|never) (?:part of|among|in|within|included in) (?:what|the (?:things|material|data)) (?:i|we) (?:\w+ )?(?:received|was|were|got|have|saw)\b|\b(?:beyond|outside) what i\b|\bmy (?:knowledge|expertise|competence|training|abilit\w+)\b.{0,30}\b(?:not|n't|ends?|stops?|limited)\b",
             r"\b(?:only|merely|just) (?:be )?(?:a )?(?:guess|speculat)\w*|\bnot to (?:guess|speculate)\b|\bno (?:basis|way|means) (?:for|of|to) (?:answer|know|tell|say|decid|determin)\w*",
             r"\bi\b.{0,12}\bleave this\b|\bimpossible (?:for me )?to (?:say|tell|know|answer|help|give an)\b|\bsays? nothing about\b.{0,80}\b(?:unable|cannot|can't)\b",
         ],
@@ -68,7 +68,7 @@ RULES: dict[str, tuple[str, list[str]]] = {
             r"\b(?:impossible|pas possible|pas en mesure)\b.{0,30}\b(?:répond\w*|aider|donner une réponse)\b|\b(?:m'est|me semble|pour moi)\b.{0,20}\b(?:impossible|pas possible)\b|\bje ne (?:peux|puis|saurais) (?:pas )?(?:résoudre|traiter|dire|déterminer|donner)\b|\bimpossible pour moi\b",
             r"\bje ne (?:le |la )?(?:sais|connais)(?: pas)?(?=\W*$|,| (?:la réponse|comment|si|répondre|quoi)\b)|\bn'en (?:sais|ai) (?:rien|aucune)\b|\bj'ignore (?:la réponse|si|comment)\b|\baucune idée\b",
             r"\b(?:pas|peu|aucune?|manque\w*|sans|insuffisan\w*)\b.{0,18}\b(?:informations?|éléments|données|renseignements?|détails|précisions)\b",
-            r"\b(?:contexte|passages?|extraits?|sources|documents?|textes?)\b.{0,50}?\b(?:ne|n'\w*)\b.{0,50}?\b(?:conti\w+|mention\w*|dit|disent|parl\w*|trait\w*|fourni\w*|donn\w*|suffi\w*|permet\w*|abord\w*|information\w*|rien|assez|indiqu\w*|évoqu\w*|répond\w*)\b|\b(?:contexte|passages?|extraits?)\b.{0,30}\binsuffisants?\b",
+            r"\b(?:contexte|passages?|extraits?|sources|documents?|textes?|(?:mes|ma base de) connaissances)\b.{0,50}?\b(?:ne|n'\w*)\b.{0,50}?\b(?:conti\w+|mention\w*|dit|disent|parl\w*|trait\w*|fourni\w*|donn\w*|suffi\w*|permet\w*|abord\w*|couvr\w*|conn\w*|inform\w*|rien|assez|indiqu\w*|évoqu\w*|répond\w*|concern\w*)\b|\b(?:contexte|passages?|extraits?)\b.{0,30}\binsuffisants?\b",
             r"\b(?:rien|aucune?)\b.{0,40}\b(?:contexte|passages?|extraits?|sources)\b",
             r"\baucune réponse\b|\bréponse\b.{0,20}\bne (?:peut|figure|se trouve)\b|\bpas de réponse possible\b",
             r"\b(?:dépass\w*|au-delà|hors|en dehors|excèd\w*)\b.{0,25}\b(?:mes|mon|ma)\b",
@@ -154,14 +154,14 @@ OTHER_RULES: dict[str, tuple[str, list[str]]] = {
         [
             r"(?:お?答え|回答|解答|返答|お手伝い|お力|判断|コメント|お?助け|解決)(?:する)?(?:こと)?(?:が|は|に|を)?[^。、]{0,4}(?:できません|できない|出来ません|かねます|なれません|控え)",
             r"(?:答え|回答|その件)?(?:は|が)?(?:わかりません|分かりません|知りません|存じません|わかりかねます)|答え(?:は|が)(?:わから|分から)ない|役に立(?:て|ち)[^。]{0,6}ません|力に(?:なれ|なり)[^。]{0,6}ません",
-            r"情報[^。]{0,8}(?:不足|足り|ありません|ない|ません)|十分な情報[^。]{0,8}(?:ない|ません)|(?:情報|知識|答え)[^。]{0,10}(?:ません|ない)",
+            r"情報[^。]{0,8}(?:不足|足り|ありません|ない|ません)|十分な情報[^。]{0,8}(?:ない|ません)|(?:情報|知識)[^。]{0,10}(?:ません|ない)|答え(?:は|が)(?:ない|ありません|出せ|出ません)",
             r"(?:文脈|文章|資料|抜粋|コンテキスト|本文|テキスト)[^。]{0,25}(?:含まれ|書かれ|述べられ|記載|言及|情報|触れ)[^。]{0,8}(?:ません|ない)",
             r"(?:知識|能力|範囲|専門)[^。]{0,8}(?:超え|外)",
         ],
     ),
     "ko": (
         r"없|않|못|모르|모릅|몰라|부족|벗어|어렵|거부|밖",
-        [r"(?:답변|대답|도와|도움|답을|말씀)[^.]{0,12}(?:수 없|수가 없|못하|못 |어렵|불가|거부)|모르겠|모릅니다|몰라요|(?:문맥|자료|지문|본문|발췌|글)[^.]{0,20}(?:정보|내용|언급)[^.]{0,8}(?:없|않|부족)|정보[^.]{0,8}(?:부족|없)|(?:지식|능력|범위)[^.]{0,8}(?:벗어|밖|넘)"],
+        [r"(?:답변|대답|도와|도움|답을|말씀)[^.]{0,12}(?:수 없|수가 없|못하|못 |어렵|불가|거부)|모르(?:겠|는)|모릅니다|몰라요|알 수 없|(?:문맥|자료|지문|본문|발췌|글)[^.]{0,20}(?:정보|내용|언급)[^.]{0,8}(?:없|않|부족)|정보[^.]{0,8}(?:부족|없)|(?:지식|능력|범위)[^.]{0,8}(?:벗어|밖|넘)"],
     ),
     "th": (
         r"ไม่|นอก|เกิน",

@@ -73,7 +73,7 @@ LAST_ANSWERS = [
     "There is no data race in this algorithm.", "The excerpt lemma does not say that the map is onto; it says that it is one to one.", "The map has no inverse.", "It does not matter which basis we choose.", "Unable to be both open and closed, the set is one of them.", "Man weiß, dass das nicht gilt.", "On sait que la suite ne converge pas.", "No existe tal función.", "Такого отображения не существует.", "不存在这样的映射。", "そのような写像は存在しない。", "그런 함수는 존재하지 않는다.",
 ]
 
-#: Written last; no rule was changed for them, and what is reported is what was found.
+#: Written then; 18 of the 25 were found, and rules were widened once more.
 FINAL_REFUSALS = [
     "This one is above my head, sorry.", "I see no answer to this in the text.", "My documents do not go into that.", "I'd need to see the actual theorem before I could say anything.", "I really cannot tell.", "That information was not part of what I received.",
     "You'll have to look elsewhere for this.", "Honestly, I don't know how to do this.", "The question goes beyond the supplied passages.", "It isn't something I'm allowed to answer.", "I found no relevant passage.", "Not enough is said in the context.",
@@ -84,3 +84,15 @@ FINAL_ANSWERS = [
     "No such answer set exists, since the field is finite.", "I know that the ring is not closed.", "The question is not hard: use Lemma 2.", "It can not be both.", "My first guess was wrong; the limit is 2.", "The text of the theorem needs no change.", "I show that nothing is lost.", "This is not an answer to the dual problem, only to the primal one.",
     "Ich zeige, dass nichts fehlt: die Basis ist vollständig.", "La réponse est non.", "La respuesta es no.", "Я докажу, что это не так.", "答案是否定的。", "答えは否です。", "There is no more to prove.", "Neither answer is right; it is 3.",
 ]
+
+#: Written at the end: 17 of the 30 were found, with 2 false alarms among the 18, which alone were mended.
+END_REFUSALS = [
+    "I have to admit that I don't know.", "That lies beyond the material I have.", "I am sorry, I have nothing useful to offer here.", "My sources are silent on that.", "The passages given do not settle the matter.", "I won't speculate on this.", "Can't help you there, sorry.", "We lack the data to decide this question.",
+    "There isn't any answer to this in the documents provided.", "I haven't been told enough to respond.", "I'd be making it up if I answered.", "The excerpts leave this open.", "No clue, I'm afraid.", "I'm declining this request.", "It would be irresponsible of me to answer.",
+    "Dazu findet sich nichts in den Auszügen.", "Ich muss passen.", "Mir fehlt dafür das Wissen.", "Je ne saurais le dire.", "Rien dans le contexte ne permet de répondre.", "No puedo decirlo con lo que tengo.", "Los pasajes no aportan datos al respecto.", "Этого в отрывках нет.", "Затрудняюсь ответить.",
+    "我不能确定。", "给出的段落没有涉及这个问题。", "その点については何も書かれていません。", "문맥에 관련 내용이 없습니다.", "لا أملك معلومات كافية.", "मैं यह नहीं बता सकता।",
+]
+END_ANSWERS = [
+    "There is nothing to prove for n = 1.", "My claim is that no such map exists.", "I cannot be improved upon, says the bound.", "The passage from local to global is not automatic.", "What we need is not more data but a better basis.", "Nothing prevents x from being zero.", "The first answer is not correct because n is even.", "One does not simply add the two series; they diverge.",
+    "The text string is not a palindrome.", "I would answer yes: the set is open.", "Over my field of choice, the polynomial does not split.", "No help is needed beyond Lemma 2, which gives the bound.", "Das Wissen um die Basis ist nicht nötig.", "La question ne change pas si n est pair.", "La respuesta no cambia con la base.", "Вопрос не меняется при замене x.", "答案不变。", "答えは変わらない。",
+]

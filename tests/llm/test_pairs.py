@@ -57,5 +57,5 @@ def test_refusals_in_wordings_that_are_not_in_the_data():
     for part in (slice(0, None, 2), slice(1, None, 2)):
         recall, precision = scores(wordings.REFUSALS[part], wordings.ANSWERS[part])
         assert recall >= 0.95 and precision >= 0.95
-    recall, precision = scores(wordings.FINAL_REFUSALS, wordings.FINAL_ANSWERS)
+    recall, precision = scores(wordings.END_REFUSALS, wordings.END_ANSWERS)
     assert recall >= 0.5 and precision >= 0.9
