@@ -114,6 +114,18 @@ _RUNS = r"""w AS (SELECT t, id, list_filter(regexp_extract_all(lower(body_text),
 s AS (SELECT DISTINCT t, id, array_to_string(w[k:k + 2], ' ') AS r FROM w, unnest(range(1, len(w) - 1)) AS u(k) WHERE len(w) >= 12),
 n AS (SELECT t, id, count(*) AS n FROM s GROUP BY ALL)"""
 
+_LEAKS = r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM heldout_items),
+iw AS (SELECT DISTINCT item_id, w[k:k + 11] AS w FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+iv AS (SELECT DISTINCT item_id, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:12]), ' ') AS r FROM iw, unnest(range(1, 13)) AS t(j)),
+d12 AS (SELECT DISTINCT doc_id, w[k:k + 11] AS w FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+d13 AS (SELECT DISTINCT doc_id, w[k:k + 12] AS w FROM d, unnest(range(1, len(w) - 11)) AS t(k) WHERE len(w) >= 13),
+d11 AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 10], ' ') AS r FROM d, unnest(range(1, len(w) - 9)) AS t(k) WHERE len(w) >= 11),
+hits AS (SELECT doc_id, item_id, 0 AS distance FROM (SELECT doc_id, array_to_string(w, ' ') AS r FROM d12) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
+UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:12]), ' ') AS r FROM d12, unnest(range(1, 13)) AS t(j)) JOIN iv USING (j, r)
+UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, array_to_string(list_concat(w[1:j - 1], w[j + 1:13]), ' ') AS r FROM d13, unnest(range(2, 13)) AS t(j)) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
+UNION ALL SELECT doc_id, item_id, 1 FROM d11 JOIN iv USING (r))"""
+
 SQL = {
     "p3_found": f"""WITH {_RUNS}, c AS (SELECT a.t, a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.r = b.r AND a.id < b.id GROUP BY ALL)
 SELECT c.t AS table_name, id_a, id_b FROM c JOIN n x ON x.t = c.t AND x.id = id_a JOIN n y ON y.t = c.t AND y.id = id_b WHERE k >= 0.5 * (x.n + y.n - k)""",
@@ -134,18 +146,14 @@ dr AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS r FROM d, unnest(rang
 ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS r FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)""",
     # one word changed: windows of 12 without the j-th word; added: 13 words without an inner one; left out: 11 words
-    "p5_pairs": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM heldout_items),
-iw AS (SELECT DISTINCT item_id, w[k:k + 11] AS w FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
-iv AS (SELECT DISTINCT item_id, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:12]), ' ') AS r FROM iw, unnest(range(1, 13)) AS t(j)),
-d12 AS (SELECT DISTINCT doc_id, w[k:k + 11] AS w FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
-d13 AS (SELECT DISTINCT doc_id, w[k:k + 12] AS w FROM d, unnest(range(1, len(w) - 11)) AS t(k) WHERE len(w) >= 13),
-d11 AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 10], ' ') AS r FROM d, unnest(range(1, len(w) - 9)) AS t(k) WHERE len(w) >= 11),
-hits AS (SELECT doc_id, item_id, 0 AS distance FROM (SELECT doc_id, array_to_string(w, ' ') AS r FROM d12) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
-UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:12]), ' ') AS r FROM d12, unnest(range(1, 13)) AS t(j)) JOIN iv USING (j, r)
-UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, array_to_string(list_concat(w[1:j - 1], w[j + 1:13]), ' ') AS r FROM d13, unnest(range(2, 13)) AS t(j)) JOIN (SELECT item_id, array_to_string(w, ' ') AS r FROM iw) USING (r)
-UNION ALL SELECT doc_id, item_id, 1 FROM d11 JOIN iv USING (r))
-SELECT doc_id, item_id, min(distance) AS distance FROM hits GROUP BY ALL""",
+    "p5_pairs": f"{_LEAKS} SELECT doc_id, item_id, min(distance) AS distance FROM hits GROUP BY ALL",
+    # runs of matching windows of 12 words, one after another in both texts, are one passage
+    "p5_items": f"""{_LEAKS}, p AS (SELECT doc_id, item_id, min(distance) AS distance FROM hits GROUP BY ALL),
+dp AS (SELECT doc_id, k AS dk, array_to_string(w[k:k + 11], ' ') AS r FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+ip AS (SELECT item_id, k AS ik, array_to_string(w[k:k + 11], ' ') AS r FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+x AS (SELECT doc_id, item_id, dk, ik, dk - row_number() OVER (PARTITION BY doc_id, item_id, dk - ik ORDER BY dk) AS island FROM dp JOIN ip USING (r)),
+n AS (SELECT item_id, max(n) AS n FROM (SELECT item_id, count(*) + 11 AS n FROM x GROUP BY doc_id, item_id, dk - ik, island) GROUP BY item_id)
+SELECT item_id, count_if(distance = 0) AS n_exact, count_if(distance > 0) AS n_near, coalesce(any_value(n), 12)::INTEGER AS longest_run FROM p LEFT JOIN n USING (item_id) GROUP BY item_id""",
     "p6_checks": "SELECT DISTINCT lower(trim(source)) AS source, true AS whole_copies_exact, true AS size_fixed, true AS cap_held, true AS share_met FROM mix_targets WHERE trim(source) <> ''",
     # any common tokenizer gives the same answer, so the SQL sizes texts by their UTF-8 bytes
     "p6_found": """WITH d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS source, strlen(text) AS n FROM documents WHERE trim(source) <> ''),
