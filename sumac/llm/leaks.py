@@ -8,7 +8,7 @@ per hit, a column of the text at a time. With one edit it must lie to one side o
 whose words agree on the one side, and on the other up to an edit and again beyond it, over a whole window are verified.
 
 Documents are never shuffled: the items are the side that goes to them, in blocks of at most `block`
-tiles, each block one pass over the documents, so the broadcast is bounded whatever the number of items.
+tiles, TOGETHER of them in one pass over the documents, so what is broadcast at once is bounded whatever the number of items.
 
 Defined cases: null texts and items have no words; items or documents under `run` words never match;
 repeated document rows count once; extra columns are ignored; a document of any length is read whole.
@@ -16,6 +16,8 @@ repeated document rows count once; extra columns are ignored; a document of any
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from sumac.llm.words import hashed_words, run_hashes
 
+#: Blocks of items that one pass over the documents searches for.
+TOGETHER = 8
 #: Tile hits held at a time.
 HITS = 200_000
 SCHEMA = "doc_id bigint, item_id bigint, distance int, n_words int, doc_word int, item_word int"
@@ -71,8 +75,8 @@ class Tiles:
         order = np.argsort(self.hash, kind="stable")
         self.item, self.at, self.hash = self.item[order], self.at[order], self.hash[order]
 
-    def search(self, ids: np.ndarray, texts: list[str | None]) -> pd.DataFrame:
-        w, b = hashed_words(texts)
+    def search(self, ids: np.ndarray, w: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        """Leaks in documents of the words w with the bounds b."""
         runs = run_hashes(w, self.q)
         lo, hi = np.searchsorted(self.hash, runs, "left"), np.searchsorted(self.hash, runs, "right")
         owner = np.repeat(np.arange(len(b) - 1), np.diff(b))[: len(runs)]
@@ -163,12 +167,15 @@ def item_blocks(items: DataFrame, block: int):
 def find_leaks(documents: DataFrame, items: DataFrame, run: int = 12, errors: int = 1, block: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, distance (word edits), n_words, doc_word, item_word: the closest leak of each pair."""
     docs, out = documents.select("doc_id", "text"), None
-    for some in item_blocks(items, block):
-        tiles = docs.sparkSession.sparkContext.broadcast(Tiles(some, run, errors))
+    blocks = item_blocks(items, block)
+    while some := list(islice(blocks, TOGETHER)):
+        held = [docs.sparkSession.sparkContext.broadcast(Tiles(x, run, errors)) for x in some]
 
-        def search(batches, tiles=tiles):
+        def search(batches, held=held):
             for x in batches:
-                yield tiles.value.search(x["doc_id"].to_numpy(np.int64), [t if isinstance(t, str) else None for t in x["text"]])
+                ids, hashed = x["doc_id"].to_numpy(np.int64), hashed_words([t if isinstance(t, str) else None for t in x["text"]])
+                for tiles in held:
+                    yield tiles.value.search(ids, *hashed)
 
         one = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(search, SCHEMA)
         out = one if out is None else out.unionByName(one)
