@@ -36,12 +36,16 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from sumac.llm.words import CLASS_BITS, RUN_BITS, hashed_words, mix, shingles
-from sumac.runtime import broadcast_if_small, cut
+from sumac.runtime import broadcast_if_small, cut, settings
 
 #: Cells of the largest count sketch (16 MB), and of one chunk of it.
 MAX_BITS, CHUNK_BITS = 24, 16
-#: Cells that a task holds before it adds them up.
-HELD = 8_000_000
+#: Cells that a task holds before it adds them up, entries that it places at once, and pairs that it weighs at once.
+HELD, PLACED, WEIGHED = 4_000_000, 1_000_000, 500_000
+#: While the join runs: bytes of a batch that Spark hands to Python, and shuffles are deleted once their result is kept.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Bytes of text whose sets may stay in the executors' memory; those of more text go to the shared folder.
+KEPT_TEXT = 256_000_000
 #: Partial counts of a chunk that one task adds before the last sum.
 FAN = 256
 #: Bits of the parity sketch that bounds the symmetric difference of two sets from below; sets of at most SHORT runs go
@@ -100,25 +104,38 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, np.uint16, n), dtype=np.int64), np.frombuffer(raw, np.uint32, n, 2 * n).astype(np.int64)
 
 
+def partial_counts(batches, bits: int):
+    """k, c: counts of the runs of all batches, packed by chunk. A task holds four bytes a cell of the sketch and HELD runs,
+    whatever the number of its texts."""
+    size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
+    sums, held, n = np.zeros(size, np.uint32), [], 0
+
+    def add():
+        cells, counts = merged(np.empty(0, np.uint32), np.empty(0, np.int64), held)
+        sums[cells] += np.minimum(counts, 2**32 - 1 - sums[cells]).astype(np.uint32)
+
+    for whole in batches:
+        for x in (whole["runs"].iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
+            held.append((np.frombuffer(b"".join(x), np.uint64) & np.uint64(size - 1)).astype(np.uint32))
+            n += len(held[-1])
+            if n > HELD:
+                add()
+                held, n = [], 0
+    add()
+    for k in range(size // chunk):
+        part = sums[k * chunk : (k + 1) * chunk]
+        cells = np.flatnonzero(part)
+        if len(cells):
+            yield pd.DataFrame({"k": [k], "c": [packed(cells, part[cells])]})
+
+
 def count_sketch(classes: DataFrame, bits: int) -> np.ndarray:
     """Counts of all runs of all classes in 2 ** bits cells, squeezed. Partial counts are added in two steps, so that
     a task holds FAN partials of a chunk, and the last one in FAN of all."""
     size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
 
     def partial(batches):
-        cells, counts, held, n = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0
-        for x in batches:
-            if len(x):
-                held.append((np.frombuffer(b"".join(x["runs"]), np.uint64) & np.uint64(size - 1)).astype(np.uint32))
-                n += len(held[-1])
-                if n > HELD:
-                    cells, counts = merged(cells, counts, held)
-                    held, n = [], 0
-        cells, counts = merged(cells, counts, held)
-        at = np.searchsorted(cells, np.arange(0, size + 1, chunk))
-        for k in np.flatnonzero(np.diff(at)):
-            part = slice(at[k], at[k + 1])
-            yield pd.DataFrame({"k": [int(k)], "c": [packed(cells[part] - k * chunk, counts[part])]})
+        yield from partial_counts(batches, bits)
 
     def total(pdf: pd.DataFrame) -> np.ndarray:
         out = np.zeros(chunk, np.int64)
@@ -214,6 +231,21 @@ def spread(kinds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return parts.astype(np.uint64), first, to
 
 
+def chunks(batches, rows: int = 5000):
+    """The rows of batches of any size, `rows` at once, fewer only where they hold more than PLACED runs."""
+    held, k, n = [], 0, 0
+    for x in batches:
+        while len(x):
+            part, x = x.iloc[: rows - k], x.iloc[rows - k :]
+            held.append(part)
+            k, n = k + len(part), n + part["n"].sum()
+            if k == rows or n > PLACED:
+                yield pd.concat(held, ignore_index=True)
+                held, k, n = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, cap: int) -> DataFrame:
     """bucket, docs, entries, marks: for each batch of classes, the regions they fall in, in columns.
 
@@ -223,21 +255,27 @@ def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, ca
 
     def send(batches):
         counts, (hot_run, hot_count, parts, part_at, to) = sketch.value, hot.value
-        for whole in batches:
-            for x in (whole.iloc[k : k + 5000] for k in range(0, len(whole), 5000)):
-                if not len(x):
+        for whole in chunks(batches):
+            todo = [whole]
+            while todo:
+                x = todo.pop()
+                if len(x) > 1 and x["n"].sum() > PLACED:  # long texts
+                    todo += [x.iloc[len(x) // 2 :], x.iloc[: len(x) // 2]]
                     continue
                 n, every, owner, runs, _, pos = _ordered(x, counts, bits, t)
-                all_owner = np.repeat(np.arange(len(n)), n)
-                parity = np.bincount(all_owner * BITMAP + ((every >> np.uint64(24)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
-                bitmap = np.packbits((parity & 1).astype(np.uint8).reshape(len(n), BITMAP), axis=1)
-                folded = bitmap[:, : BITMAP // 16] ^ bitmap[:, BITMAP // 16 :]
-                ref = np.frombuffer(b"".join(s[:8] for s in x["sig"]), np.uint64)
                 groups = np.ones(len(runs), np.int64)
                 if len(hot_run):
                     at = np.minimum(np.searchsorted(hot_run, runs), len(hot_run) - 1)
                     is_hot = hot_run[at] == runs
                     groups[is_hot] = -(-hot_count[at[is_hot]] // cap)
+                if len(x) > 1 and groups.sum() > PLACED:  # members of many blocks
+                    todo += [x.iloc[len(x) // 2 :], x.iloc[: len(x) // 2]]
+                    continue
+                all_owner = np.repeat(np.arange(len(n)), n)
+                parity = np.bincount(all_owner * BITMAP + ((every >> np.uint64(24)).astype(np.int64) & (BITMAP - 1)), minlength=len(n) * BITMAP)
+                bitmap = np.packbits((parity & 1).astype(np.uint8).reshape(len(n), BITMAP), axis=1)
+                folded = bitmap[:, : BITMAP // 16] ^ bitmap[:, BITMAP // 16 :]
+                ref = np.frombuffer(b"".join(s[:8] for s in x["sig"]), np.uint64)
                 own = (mix(ref[owner] + np.uint64(1)) % groups.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(runs)), groups)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(groups) - groups, groups)
@@ -262,51 +300,62 @@ def place(classes: DataFrame, sketch, hot, bits: int, t: float, buckets: int, ca
     return classes.select("sig", "n", "runs").mapInPandas(send, "bucket int, docs binary, entries binary, marks binary")
 
 
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """refs, sizes, bitmaps whole (zero for short sets), bitmaps folded of the sets, and of the entries set, key, position, side."""
-    refs, ns, whole, half, docs, keys, poss, sides, base = [], [], [], [], [], [], [], [], 0
-    for d, e, m in zip(pdf["docs"], pdf["entries"], pdf["marks"], strict=True):
-        raw = zlib.decompress(d)
-        key = np.frombuffer(zlib.decompress(e), np.uint32)
-        mark = zlib.decompress(m)
-        k = (len(mark) - 5 * len(key)) // 4
-        refs.append(np.frombuffer(raw, np.uint64, k))
-        n = np.frombuffer(raw, np.uint32, k, 8 * k).astype(np.int64)
-        few, b = n <= SHORT, BITMAP // 8
-        long, short = np.zeros((k, b), np.uint8), np.empty((k, b // 2), np.uint8)
-        short[few] = np.frombuffer(raw, np.uint8, few.sum() * b // 2, 12 * k).reshape(-1, b // 2)
-        long[~few] = np.frombuffer(raw, np.uint8, (~few).sum() * b, 12 * k + few.sum() * b // 2).reshape(-1, b)
-        short[~few] = long[~few, : b // 2] ^ long[~few, b // 2 :]
-        ns.append(n)
-        whole.append(long)
-        half.append(short)
-        docs.append(np.repeat(np.arange(base, base + k), np.frombuffer(mark, np.uint32, k)))
-        keys.append(key)
-        poss.append(np.frombuffer(mark, np.uint32, len(key), 4 * k))
-        sides.append(np.frombuffer(mark, np.uint8, len(key), 4 * k + 4 * len(key)))
-        base += k
-    words = lambda maps: np.ascontiguousarray(np.concatenate(maps)).view(np.uint64)
-    return np.concatenate(refs), np.concatenate(ns), words(whole), words(half), np.concatenate(docs), np.concatenate(keys), np.concatenate(poss), np.concatenate(sides)
+def _unpack(d: bytes, e: bytes, m: bytes, base: int) -> tuple[np.ndarray, ...]:
+    """refs, sizes, folded bitmaps of the sets, whole bitmaps of the long ones in their order, and of the entries set (counted from base), key, position, side."""
+    raw = zlib.decompress(d)
+    key = np.frombuffer(zlib.decompress(e), np.uint32)
+    mark = zlib.decompress(m)
+    k = (len(mark) - 5 * len(key)) // 4
+    n = np.frombuffer(raw, np.uint32, k, 8 * k).astype(np.int32)
+    few, b = n <= SHORT, BITMAP // 8
+    short, long = np.empty((k, b // 2), np.uint8), np.frombuffer(raw, np.uint8, (~few).sum() * b, 12 * k + few.sum() * b // 2).reshape(-1, b).copy()
+    short[few] = np.frombuffer(raw, np.uint8, few.sum() * b // 2, 12 * k).reshape(-1, b // 2)
+    short[~few] = long[:, : b // 2] ^ long[:, b // 2 :]
+    doc = np.repeat(np.arange(base, base + k, dtype=np.int32), np.frombuffer(mark, np.uint32, k))
+    pos, side = np.frombuffer(mark, np.uint32, len(key), 4 * k).astype(np.int32), np.frombuffer(mark, np.uint8, len(key), 4 * k + 4 * len(key)).copy()
+    return np.frombuffer(raw, np.uint64, k).copy(), n, short.view(np.uint64), long.view(np.uint64), doc, key, pos, side
 
 
 def region_pairs(t: float):
-    """Candidates of one bucket of regions: pairs that the bounds do not exclude."""
+    """Candidates of buckets of regions, one after another: pairs that the bounds do not exclude. Rows come in the order of
+    their buckets and are unpacked as they come, so that of a bucket only its columns are held."""
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, n_all, whole, half, doc, key, pos, side = _unpack(pdf)
-        order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | n_all[doc].astype(np.uint64))
+    def find_all(batches):
+        bucket, parts, base = None, [[] for _ in range(8)], 0
+        for x in batches:
+            for k, *packs in zip(x["bucket"], x["docs"], x["entries"], x["marks"], strict=True):
+                if k != bucket and base:
+                    yield find(parts)
+                    parts, base = [[] for _ in range(8)], 0
+                bucket, some = k, _unpack(*packs, base)
+                base += len(some[0])
+                for own, a in zip(parts, some, strict=True):
+                    own.append(a)
+        if base:
+            yield find(parts)
+
+    def find(parts: list[list[np.ndarray]]) -> pd.DataFrame:
+        out = []
+        while parts:  # one column after another, so that only one is held twice
+            out.append(np.concatenate(parts.pop(0)))
+        ref, n_all, half, whole, doc, key, pos, side = out
+        del out
+        row = np.cumsum(n_all > SHORT, dtype=np.int32) - 1  # of a long set in `whole`
+        by = key.astype(np.uint64)
+        by <<= np.uint64(32)
+        by |= n_all[doc].astype(np.uint64)
+        order = np.argsort(by).astype(np.int32)
+        del by
         doc, key, side = doc[order], key[order], side[order]
-        n = n_all[doc].astype(np.int32)
-        left = n - pos[order].astype(np.int32)
+        n = n_all[doc]
+        left = n - pos[order]
+        del order, pos
         first = n - left <= _prefix(n, 2 * t / (1 + t))  # as the smaller one of a pair it need be placed no farther
         split = bool((side != 2).any())
-        found, held, step, live = [], 0, 1, np.flatnonzero(first)  # the smaller ones of pairs
-        while True:
-            live = live[: np.searchsorted(live, len(key) - step)]
-            live = live[(key[live] == key[live + step]) & (n[live] >= t * n[live + step] - 1e-9)]
-            if not len(live):
-                break
-            a, b = live, live + step
+        found, held, most_held, step, live = [], 0, 1_000_000, 1, np.flatnonzero(first).astype(np.int32)  # the smaller ones of pairs
+        del first
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             total = n[a] + n[b]
             need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int32)
             ok = np.minimum(left[a], left[b]) >= need
@@ -319,15 +368,26 @@ def region_pairs(t: float):
             ok = diff <= most
             both = np.flatnonzero(ok & (np.minimum(n_all[x], n_all[y]) > SHORT))
             if len(both):
-                u, v, diff = x[both], y[both], np.zeros(len(both), np.int32)
+                u, v, diff = row[x[both]], row[y[both]], np.zeros(len(both), np.int32)
                 for k in range(BITMAP // 64):
                     diff += np.bitwise_count(whole[u, k] ^ whole[v, k])
                 ok[both] = diff <= most[both]
-            if ok.any():
-                found.append(np.minimum(x[ok], y[ok]) * len(ref) + np.maximum(x[ok], y[ok]))
-                held += len(found[-1])
-                if held > 4_000_000:  # near copies meet in many regions of a bucket
-                    found, held = [np.unique(np.concatenate(found))], 0
+            return np.minimum(x[ok], y[ok]).astype(np.int64) * len(ref) + np.maximum(x[ok], y[ok])
+
+        while True:
+            live = live[: np.searchsorted(live, len(key) - step)]
+            live = live[(key[live] == key[live + step]) & (n[live] >= t * n[live + step] - 1e-9)]
+            if not len(live):
+                break
+            for at in range(0, len(live), WEIGHED):
+                a = live[at : at + WEIGHED]
+                p = alike(a, a + step)
+                if len(p):
+                    found.append(p)
+                    held += len(p)
+                    if held > most_held:  # near copies meet in many regions of a bucket
+                        found, held = [np.unique(np.concatenate(found))], 0
+                        most_held = max(most_held, len(found[0]))
             step += 1
         p = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         a, b = ref[p // max(len(ref), 1)], ref[p % max(len(ref), 1)]
@@ -335,7 +395,7 @@ def region_pairs(t: float):
         pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
         return pd.DataFrame({"ref_a": pairs[:, 0].astype(np.int64), "ref_b": pairs[:, 1].astype(np.int64)})
 
-    return find
+    return find_all
 
 
 @F.pandas_udf(T.LongType())
@@ -354,13 +414,20 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
 class Join:
     """members (table_name, id, sig), classes (sig, n, runs) and links (sig_a, sig_b, shared, similarity) of a collection.
 
-    The sets stay where they were made: of equal sets one row is kept by an anti join with the others' keys, which
+    The sets of up to KEPT_TEXT bytes of text are kept in memory, those of more in the shared folder, so that an executor's
+    memory doesn't depend on the size of the collection. They stay where they were made: of equal sets one row is kept by an anti join with the others' keys, which
     are broadcast only if a count shows at most `few` of them, as are the keys of the sets that candidates need.
     Candidates name a set by the first 8 bytes of its signature; should two sets share them, both are compared."""
 
     def __init__(self, records: DataFrame, n: int = 5, t: float = 0.8, min_words: int = 5, cap: int = 4096, per_bucket: int = 2_000_000, few: int = 200_000, max_bits: int = MAX_BITS):
+        with settings(records.sparkSession, SETTINGS):
+            self._run(records, n, t, min_words, cap, per_bucket, few, max_bits)
+
+    def _run(self, records: DataFrame, n: int, t: float, min_words: int, cap: int, per_bucket: int, few: int, max_bits: int) -> None:
         spark = records.sparkSession
-        sets = shingle_sets(records, n, min_words).persist(StorageLevel.MEMORY_AND_DISK)
+        text = records.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        sets = shingle_sets(records, n, min_words)
+        sets = sets.persist(StorageLevel.MEMORY_AND_DISK) if text <= KEPT_TEXT else cut(sets)
         first = F.min_by("sig", F.struct(F.col("loaded_at").isNull(), "loaded_at", "sig")).alias("sig")
         members = cut(sets.groupBy("table_name", "id").agg(first, (F.max("sig") != F.min("sig")).alias("several")))
         self.members = members.drop("several")
@@ -381,7 +448,7 @@ class Join:
         held = spark.sparkContext.broadcast((hot, size, *spread(kinds, buckets)))
         self.plan = {"runs": int(total.runs), "bits": bits, "placed": int(kinds.sum()), "hot": len(hot), "copies": copies, "buckets": buckets}
         placed = place(self.classes, sketch, held, bits, t, buckets, cap)
-        pairs = cut(placed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(region_pairs(t), "ref_a bigint, ref_b bigint").distinct())
+        pairs = cut(placed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(region_pairs(t), "ref_a bigint, ref_b bigint").distinct())
         sketch.unpersist()
         held.unpersist()
         needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
@@ -391,7 +458,8 @@ class Join:
         shared = checked.select("sig_a", "sig_b", "n_a", "n_b", common("runs_a", "runs_b").alias("shared"))
         union = F.col("n_a") + F.col("n_b") - F.col("shared")
         self.links = cut(shared.filter(F.col("shared") >= t * union - 1e-9).select("sig_a", "sig_b", "shared", (F.col("shared") / union).alias("similarity")))
-        sets.unpersist()
+        if text <= KEPT_TEXT:
+            sets.unpersist()
 
     def pairs(self) -> DataFrame:
         """table_name, id_a, id_b: all pairs of ids, those of equal sets included."""

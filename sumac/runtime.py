@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,24 @@ def guarded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, of: dict[str, str]):
+    """Settings of the session for what runs inside; a Spark that does not know one goes on without it."""
+    old = {}
+    for k, v in of.items():
+        try:
+            before = spark.conf.get(k)
+            spark.conf.set(k, v)
+            old[k] = before
+        except Exception:
+            pass
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     guarded(spark)

@@ -1,9 +1,11 @@
 """The metric-space join against brute force."""
 
 import random
+import tracemalloc
 from datetime import datetime as dt
 
 import numpy as np
+import pandas as pd
 
 from sumac.llm import neardup
 from sumac.llm.words import words
@@ -122,3 +124,35 @@ def test_sketch_counts(spark, monkeypatch):
     cells, counts = neardup.merged(np.array([1, 5], np.uint32), np.array([2, 3]), [np.array([5, 0, 5], np.uint32), np.array([9], np.uint32)])
     assert cells.tolist() == [0, 1, 5, 9] and counts.tolist() == [1, 2, 5, 1]
     assert [x.tolist() for x in neardup.unpacked(neardup.packed(cells, counts))] == [[0, 1, 5, 9], [1, 2, 5, 1]]
+
+
+def test_sets_of_much_text_leave_the_executors_memory(spark, monkeypatch):
+    rows, sketch, kept = collection(8), neardup.count_sketch, []
+    persistent = lambda: len(spark.sparkContext._jsc.getPersistentRDDs())
+    monkeypatch.setattr(neardup, "count_sketch", lambda *a: kept.append(persistent()) or sketch(*a))
+    monkeypatch.setattr(neardup, "KEPT_TEXT", 1000, raising=False)
+    before, conf = persistent(), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    j = neardup.Join(spark.createDataFrame(rows, SCHEMA), 3, 0.5, 6, max_bits=10, cap=5, per_bucket=300)
+    assert kept == [before] and {tuple(r) for r in j.pairs().collect()} == brute(rows, 3, 0.5, 6)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == conf
+
+
+def test_counts_of_a_task_hold_no_more_for_more_texts():
+    def batches():
+        for k in range(24):
+            yield pd.DataFrame({"runs": [np.random.default_rng(k).integers(0, 1 << 50, 10**6, np.uint64).tobytes()]})
+
+    tracemalloc.start()
+    total = 0
+    for x in neardup.partial_counts(batches(), 24):
+        total += int(neardup.unpacked(x["c"][0])[1].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 24 * 10**6 and peak < 400e6
+
+
+def test_chunks_of_batches_of_any_size():
+    x = pd.DataFrame({"k": np.arange(1000), "n": [1] * 990 + [neardup.PLACED + 1] * 10})
+    for step, want in ((1, [100] * 9 + [91] + [1] * 9), (150, [100] * 10)):
+        got = list(neardup.chunks((x.iloc[k : k + step] for k in range(0, 1000, step)), 100))
+        assert pd.concat(got)["k"].tolist() == list(range(1000)) and [len(g) for g in got] == want
