@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sumac.functions.columns import dot, norm, unit
 from sumac.streaming.ingest import submit_chunks
@@ -38,6 +42,29 @@ def hashed_vectors(tokens: DataFrame, dim: int = 64) -> DataFrame:
     return t.select("token", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.when(k == F.col("i"), F.col("s")).otherwise(0.0)).alias("v"))
 
 
+def hashed_units(tokens: Column, dim: int = 64) -> Column:
+    """The sum of the hashed vectors of a row's tokens, of length one; null where nothing is left. Rows are read where they lie, none is shuffled."""
+
+    def place(token: str) -> tuple[int, float]:
+        h = hashlib.md5(token.encode()).hexdigest()
+        return int(h[:4], 16) % dim, -1.0 if int(h[4], 16) % 2 else 1.0
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def f(rows: pa.Array) -> pa.Array:
+        each = rows.flatten().dictionary_encode()
+        at = [place(t) for t in each.dictionary.to_pylist()]
+        index, sign = np.array([i for i, _ in at], np.int64), np.array([x for _, x in at])
+        n, code = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(), each.indices.to_numpy()
+        cell = np.repeat(np.arange(len(rows)), n) * dim + index[code]
+        v = np.bincount(cell, sign[code], minlength=len(rows) * dim).reshape(len(rows), dim).astype(np.float64)
+        long = np.sqrt((v * v).sum(axis=1))
+        v /= np.where(long > 0, long, 1.0)[:, None]
+        ends = np.concatenate([[0], np.cumsum(np.where(long > 0, dim, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[long > 0].ravel()), mask=pa.array(long == 0))
+
+    return f(tokens)
+
+
 def sentence_vectors(tokens: DataFrame, vectors: DataFrame, key: str, dim: int) -> DataFrame:
     """Mean over in-vocabulary tokens (key, token), repeats counted; zeros where none is known."""
     known = elementwise_mean(tokens.join(vectors, "token").select(key, "v"), [key])

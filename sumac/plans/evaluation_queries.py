@@ -127,11 +127,10 @@ hit AS (SELECT qid, fid, formula_id, doc_id, rank FROM (SELECT *, row_number() O
 def _formula_hits(spark, d):
     """Hits of all topic formulas among the formulas of all answers, by vectors of hashed tokens."""
     t = table(spark, d, "topics").select(F.col("topic_id").alias("qid"), F.explode("formulas").alias("f")).select("qid", F.col("f.formula_id").alias("fid"), F.col("f.latex").alias("latex"))
-    a = answers(spark, d).select(F.col("id").alias("doc_id"), F.explode("formulas").alias("f")).select("doc_id", F.col("f.formula_id").alias("formula_id"), F.col("f.latex").alias("latex"))
+    a = answers(spark, d, "formulas").select(F.col("id").alias("doc_id"), F.explode("formulas").alias("f")).select("doc_id", F.col("f.formula_id").alias("formula_id"), F.col("f.latex").alias("latex"))
     c = a.groupBy("formula_id").agg(F.min("latex").alias("latex"))
-    words = t.select("latex").unionByName(c.select("latex")).distinct().select("latex", F.explode(F.regexp_extract_all("latex", F.lit(LATEX_TOKEN), F.lit(0))).alias("token")).filter("token <> ''")
-    v = cut(V.sentence_vectors(words, V.hashed_vectors(words, 64), "latex", 64).filter(C.norm(F.col("v")) > 0))
-    return S.formula_search(c.join(v, "latex"), t.join(v, "latex"), a.select("formula_id", "doc_id").distinct(), 200)
+    words = F.filter(F.regexp_extract_all("latex", F.lit(LATEX_TOKEN), F.lit(0)), lambda x: x != "")
+    return S.formula_search(c, t, a, V.hashed_units(words, 64), 200)
 
 
 @query(f"WITH {ANS}, {_FORM} SELECT qid, fid, formula_id, doc_id, rank::INTEGER AS rank FROM hit")

@@ -11,10 +11,10 @@ from sumac.operators.search import exact_search
 from sumac.runtime import broadcast_if_small, table
 
 
-def answers(spark: SparkSession, d: str) -> DataFrame:
-    """One row per answer id, the first loaded."""
+def answers(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    """One row per answer id, the first loaded; only: the columns beside the id, where not all are asked for."""
     a = table(spark, d, "answers")
-    return a.groupBy("id").agg(F.min_by(F.struct("parent_id", "score", "body_text", "formulas"), "loaded_at").alias("r")).select("id", "r.*")
+    return a.groupBy("id").agg(F.min_by(F.struct(*(only or ("parent_id", "score", "body_text", "formulas"))), "loaded_at").alias("r")).select("id", "r.*")
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:

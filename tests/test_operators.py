@@ -297,3 +297,33 @@ def test_encoder_and_poll(spark):
 
 def test_unknown_content_elements_have_no_tuples():
     assert X.tuples_of("<math><apply><frobnicate/><ci>x</ci></apply></math>", "opt") == [] and X.tree_of("<math><apply><frobnicate/><ci>x</ci></apply></math>", "opt") is None
+
+
+def test_ties_do_not_swell_a_batch():
+    s = np.array([[0.5] * 50, [*range(50)], [0.1] * 40 + [0.9] * 10])
+    want = [sorted(range(50), key=lambda i: (-row[i], i))[:12] for row in s]
+    assert [sorted(np.flatnonzero(r)) for r in S.first_k(s, 12)] == [sorted(w) for w in want]
+    asked, v = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 0.0]] * 500)
+    found = list(S.best_of(asked, v, 3, "ip"))
+    assert [(q.tolist(), d.tolist()) for q, d, _ in found] == [([0, 0, 0, 1, 1, 1], [0, 1, 2, 0, 1, 2])]
+
+
+def test_formulas_written_alike_are_searched_once(spark):
+    from pyspark.sql import functions as F
+
+    from sumac.operators import embedding as V
+
+    latex = ["$a$", "$a$", "$b$", "$a b$", "$ b a $", "$$", None]
+    formulas = spark.createDataFrame([(f"f{k:03}", latex[k % len(latex)]) for k in range(140)], "formula_id string, latex string")
+    queries = spark.createDataFrame([("q1", "x", "$a$"), ("q1", "y", "$a b$"), ("q2", "x", "$a$"), ("q2", "x", "$b$"), ("q2", "z", "$$")], "qid string, fid string, latex string")
+    owners = formulas.select("formula_id", F.concat(F.lit("d"), "formula_id").alias("doc_id"))
+    vector = V.hashed_units(F.regexp_extract_all("latex", F.lit("[a-z]"), F.lit(0)))
+    got = S.formula_search(formulas, queries, owners.union(owners), vector, 30)
+    v = {r.latex: r.v for r in formulas.union(queries.select("fid", "latex")).select("latex").distinct().select("latex", vector.alias("v")).collect()}
+    assert v[None] is None and v["$$"] is None and v["$a b$"] == v["$ b a $"]
+    want = []
+    for qid, fid in {(q.qid, q.fid) for q in queries.collect()}:
+        of = [v[q.latex] for q in queries.collect() if (q.qid, q.fid) == (qid, fid) and v[q.latex]]
+        near = sorted((-round(float(np.dot(q, v[f.latex])), 6) + 0.0, f.formula_id) for f in formulas.collect() if v[f.latex] for q in of)
+        want += [(qid, fid, f, f"d{f}", n + 1) for n, (_, f) in enumerate(near[:30])]
+    assert sorted(map(tuple, got.select("qid", "fid", "formula_id", "doc_id", "rank").collect())) == sorted(want)
